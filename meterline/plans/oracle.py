@@ -37,6 +37,23 @@ BASE_CTES = {
       CASE WHEN event_type = 'purchase' AND k % 5 = 3 THEN concat('purchase:Production:', CAST(event_id AS VARCHAR))
         WHEN event_type = 'purchase' AND k % 5 = 4 THEN concat('purchase:Sandbox:', CAST(event_id AS VARCHAR)) END AS apple_event_id,
       created_at FROM ev0 WHERE event_type IN ('purchase','click','view'))""",
+    "usage_requests": """usage_requests AS (SELECT event_id AS id, user_id,
+      CASE k % 8 WHEN 0 THEN 'audio' WHEN 1 THEN 'image' WHEN 2 THEN 'classifier' ELSE 'text' END AS kind,
+      CASE k % 8 WHEN 0 THEN '@cf/openai/whisper-large-v3-turbo' WHEN 1 THEN 'gpt-image-2' WHEN 2 THEN 'typesafe/jev'
+        ELSE CASE k % 4 WHEN 0 THEN '@cf/meta/llama-3.3-70b-instruct-fp8-fast'
+          WHEN 1 THEN '@cf/mistralai/mistral-small-3.1-24b-instruct'
+          WHEN 2 THEN '@cf/meta/llama-3.1-8b-instruct-fp8-fast' ELSE 'retired/model-x' END END AS model,
+      CASE k % 5 WHEN 0 THEN NULL WHEN 1 THEN CAST(-5.0 AS DOUBLE) WHEN 2 THEN CAST(9000.0 AS DOUBLE)
+        ELSE CAST(k * 40 AS DOUBLE) END AS requested_max_tokens,
+      CAST(floor(value * 500) AS BIGINT) AS body_chars, k % 3 AS images,
+      CASE WHEN k % 7 = 0 THEN NULL ELSE CAST(floor(value * 40) AS BIGINT) END AS input_tokens,
+      CASE WHEN k % 7 = 0 THEN NULL ELSE CAST(floor(value * 9) AS BIGINT) END AS output_tokens,
+      CAST(floor(value * 60) AS BIGINT) AS response_chars, CAST(floor(value * 100000) AS BIGINT) AS audio_bytes,
+      CASE WHEN k % 6 = 0 THEN NULL ELSE CAST(floor(value * 2) AS BIGINT) END AS audio_seconds,
+      CASE WHEN k % 13 = 0 THEN concat('AiError: ', CAST(3000 + k % 50 AS VARCHAR), ': upstream rejected')
+        WHEN k % 13 = 1 THEN 'Error 5006: content blocked by safety policy' WHEN k % 13 = 2 THEN 'network timeout'
+        END AS provider_error, created_at
+      FROM ev0 WHERE event_type IN ('click', 'view'))""",
 }
 
 

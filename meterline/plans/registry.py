@@ -38,4 +38,4 @@ def load_all() -> None:
         importlib.import_module(f"meterline.plans.{mod}")
 
 
-MODULES = ["q_engagement", "q_money"]
+MODULES = ["q_engagement", "q_money", "q_pricing"]

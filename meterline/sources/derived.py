@@ -107,6 +107,49 @@ def ledger(ev0: DataFrame) -> DataFrame:
                     "created_at"))
 
 
+# Fixed values of the usage-request derivation (click/view events are metered requests):
+# k % 8 picks the request kind, k % 4 the text model (3 = a model no longer sold).
+USAGE_TEXT_MODELS = {0: "@cf/meta/llama-3.3-70b-instruct-fp8-fast",
+                     1: "@cf/mistralai/mistral-small-3.1-24b-instruct",
+                     2: "@cf/meta/llama-3.1-8b-instruct-fp8-fast",
+                     3: "retired/model-x"}
+
+
+def usage_requests(ev0: DataFrame) -> DataFrame:
+    """Metered requests: one per click/view event, with request shape and reported usage."""
+    k = F.col("k")
+    v = F.col("value")
+
+    def fl(x, m):
+        return F.floor(x * m).cast("long")
+
+    kind = (F.when(k % 8 == 0, "audio").when(k % 8 == 1, "image").when(k % 8 == 2, "classifier")
+            .otherwise("text"))
+    text_model = F.when(k % 4 == 0, USAGE_TEXT_MODELS[0]).when(k % 4 == 1, USAGE_TEXT_MODELS[1]) \
+        .when(k % 4 == 2, USAGE_TEXT_MODELS[2]).otherwise(USAGE_TEXT_MODELS[3])
+    model = (F.when(k % 8 == 0, "@cf/openai/whisper-large-v3-turbo").when(k % 8 == 1, "gpt-image-2")
+             .when(k % 8 == 2, "typesafe/jev").otherwise(text_model))
+    nul = F.lit(None)
+    return (ev0.where(F.col("event_type").isin("click", "view"))
+            .select(F.col("event_id").alias("id"), "user_id", kind.alias("kind"), model.alias("model"),
+                    F.when(k % 5 == 0, nul.cast("double")).when(k % 5 == 1, F.lit(-5.0))
+                     .when(k % 5 == 2, F.lit(9000.0)).otherwise((k * 40).cast("double"))
+                     .alias("requested_max_tokens"),
+                    fl(v, 500).alias("body_chars"),
+                    (k % 3).alias("images"),
+                    F.when(k % 7 == 0, nul.cast("long")).otherwise(fl(v, 40)).alias("input_tokens"),
+                    F.when(k % 7 == 0, nul.cast("long")).otherwise(fl(v, 9)).alias("output_tokens"),
+                    fl(v, 60).alias("response_chars"),
+                    fl(v, 100000).alias("audio_bytes"),
+                    F.when(k % 6 == 0, nul.cast("long")).otherwise(fl(v, 2)).alias("audio_seconds"),
+                    F.when(k % 13 == 0, F.concat(F.lit("AiError: "), (3000 + k % 50).cast("string"),
+                                                 F.lit(": upstream rejected")))
+                     .when(k % 13 == 1, F.lit("Error 5006: content blocked by safety policy"))
+                     .when(k % 13 == 2, F.lit("network timeout"))
+                     .alias("provider_error"),
+                    "created_at"))
+
+
 def analytics_state(spark: SparkSession, tracking_started_at: int = TRACKING_STARTED_AT) -> DataFrame:
     """The one scalar state row (``tracking_started_at``)."""
     return spark.createDataFrame([("tracking_started_at", tracking_started_at)], "key string, value long")
@@ -153,6 +196,10 @@ class Model:
     def store_transactions(self) -> DataFrame:
         return store_transactions(self.ev0)
 
+    @property
+    def usage(self) -> DataFrame:
+        return usage_requests(self.ev0)
+
     @property
     def state(self) -> DataFrame:
         return analytics_state(self.spark)
