@@ -54,6 +54,18 @@ BASE_CTES = {
         WHEN k % 13 = 1 THEN 'Error 5006: content blocked by safety policy' WHEN k % 13 = 2 THEN 'network timeout'
         END AS provider_error, created_at
       FROM ev0 WHERE event_type IN ('click', 'view'))""",
+    "checkout_feed": """checkout_feed AS (
+      WITH b AS (SELECT *, concat(CASE WHEN k % 5 = 1 THEN 'cs_live_' ELSE 'cs_test_' END, CAST(event_id AS VARCHAR)) AS session_id,
+        CASE WHEN k % 7 = 0 THEN 'checkout.session.expired' WHEN k % 2 = 0 THEN 'checkout.session.completed'
+          ELSE 'checkout.session.async_payment_succeeded' END AS type,
+        CASE WHEN k % 9 = 0 THEN 'unpaid' ELSE 'paid' END AS payment_status,
+        CASE k % 23 WHEN 0 THEN '0' WHEN 1 THEN '1.5' WHEN 2 THEN '999999' ELSE CAST(user_id AS VARCHAR) END AS meta_user_id,
+        CASE k % 17 WHEN 0 THEN 'Infinity' WHEN 1 THEN '1e6' WHEN 2 THEN '-1' WHEN 3 THEN '9007199254740992'
+          WHEN 4 THEN 'not-a-number' WHEN 5 THEN '0'
+          ELSE CAST(CAST(floor(value) AS BIGINT) * 1000000 AS VARCHAR) END AS meta_credit
+        FROM ev0 WHERE event_type = 'purchase' AND k % 5 IN (0, 1))
+      SELECT session_id, type, payment_status, meta_user_id, meta_credit, created_at AS arrival, 0 AS delivery FROM b
+      UNION ALL SELECT session_id, type, payment_status, meta_user_id, meta_credit, created_at + 1000, 1 FROM b WHERE k % 4 = 0)""",
 }
 
 

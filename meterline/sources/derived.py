@@ -150,6 +150,36 @@ def usage_requests(ev0: DataFrame) -> DataFrame:
                     "created_at"))
 
 
+LEDGER_CUTOFF = 1_705_276_800_000  # 2024-01-15T00:00Z: ledger rows before it are "already written"
+
+
+def checkout_feed(ev0: DataFrame) -> DataFrame:
+    """Card checkout webhook deliveries (all metadata as strings), with replays.
+
+    Fixed rules: k % 7 = 0 expired sessions, k % 9 = 0 unpaid, k % 23 in (0, 1, 2)
+    malformed / unknown user ids, k % 17 in 0..5 malformed or non-positive credit;
+    k % 4 = 0 deliveries are sent twice (second copy 1 s later).
+    """
+    k = F.col("k")
+    base = ev0.where((F.col("event_type") == "purchase") & (k % 5).isin(0, 1))
+    cols = [
+        F.concat(F.when(k % 5 == 1, "cs_live_").otherwise("cs_test_"), F.col("event_id").cast("string"))
+        .alias("session_id"),
+        F.when(k % 7 == 0, "checkout.session.expired").when(k % 2 == 0, "checkout.session.completed")
+        .otherwise("checkout.session.async_payment_succeeded").alias("type"),
+        F.when(k % 9 == 0, "unpaid").otherwise("paid").alias("payment_status"),
+        F.when(k % 23 == 0, "0").when(k % 23 == 1, "1.5").when(k % 23 == 2, "999999")
+        .otherwise(F.col("user_id").cast("string")).alias("meta_user_id"),
+        F.when(k % 17 == 0, "Infinity").when(k % 17 == 1, "1e6").when(k % 17 == 2, "-1")
+        .when(k % 17 == 3, "9007199254740992").when(k % 17 == 4, "not-a-number").when(k % 17 == 5, "0")
+        .otherwise((F.floor(F.col("value")).cast("long") * 1_000_000).cast("string")).alias("meta_credit"),
+    ]
+    first = base.select(*cols, F.col("created_at").alias("arrival"), F.lit(0).alias("delivery"))
+    again = base.where(k % 4 == 0).select(*cols, (F.col("created_at") + 1000).alias("arrival"),
+                                          F.lit(1).alias("delivery"))
+    return first.unionByName(again)
+
+
 def analytics_state(spark: SparkSession, tracking_started_at: int = TRACKING_STARTED_AT) -> DataFrame:
     """The one scalar state row (``tracking_started_at``)."""
     return spark.createDataFrame([("tracking_started_at", tracking_started_at)], "key string, value long")
@@ -200,6 +230,10 @@ class Model:
     def usage(self) -> DataFrame:
         return usage_requests(self.ev0)
 
+    @property
+    def checkout_feed(self) -> DataFrame:
+        return checkout_feed(self.ev0)
+
     @property
     def state(self) -> DataFrame:
         return analytics_state(self.spark)
