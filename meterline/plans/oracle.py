@@ -66,10 +66,29 @@ BASE_CTES = {
         FROM ev0 WHERE event_type = 'purchase' AND k % 5 IN (0, 1))
       SELECT session_id, type, payment_status, meta_user_id, meta_credit, created_at AS arrival, 0 AS delivery FROM b
       UNION ALL SELECT session_id, type, payment_status, meta_user_id, meta_credit, created_at + 1000, 1 FROM b WHERE k % 4 = 0)""",
+    "store_feed": """store_feed AS (
+      WITH sb AS (SELECT event_id, user_id, k, created_at,
+        CASE WHEN k % 59 = 0 THEN concat(CAST(event_id AS VARCHAR), '/x') ELSE CAST(event_id AS VARCHAR) END AS transaction_id,
+        CASE WHEN k % 19 = 0 THEN 'com.other.app' ELSE 'com.iphoneadvanced.app' END AS bundle_id,
+        CASE WHEN k % 29 = 0 THEN 'Non-Consumable' ELSE 'Consumable' END AS type,
+        CASE WHEN k % 31 = 0 THEN 'FAMILY_SHARED' ELSE 'PURCHASED' END AS ownership,
+        CASE WHEN k % 37 = 0 THEN 2 ELSE 1 END AS quantity,
+        CASE WHEN k % 41 = 0 THEN 'unknown' ELSE concat('com.iphoneadvanced.app.credits',
+          CASE k % 4 WHEN 0 THEN '5' WHEN 1 THEN '10' WHEN 2 THEN '25' ELSE '50' END) END AS product_id,
+        CASE WHEN k % 5 = 3 THEN 'Production' WHEN k % 43 = 0 THEN 'Xcode' ELSE 'Sandbox' END AS environment,
+        CASE WHEN k % 47 = 0 THEN sha256(CAST(user_id + 1 AS VARCHAR)) WHEN k % 53 = 0 THEN NULL
+          WHEN k % 2 = 0 THEN upper(sha256(CAST(user_id AS VARCHAR))) ELSE sha256(CAST(user_id AS VARCHAR)) END AS app_account_token
+        FROM ev0 WHERE event_type = 'purchase' AND k % 5 IN (3, 4))
+      SELECT event_id * 8 + 0 AS id, user_id, transaction_id, bundle_id, type, ownership, quantity, product_id, environment, app_account_token, 0 AS seq, false AS revoked, created_at + 0 AS signed_date, created_at + (0) AS arrival FROM sb
+      UNION ALL SELECT event_id * 8 + 1 AS id, user_id, transaction_id, bundle_id, type, ownership, quantity, product_id, environment, app_account_token, 1 AS seq, false AS revoked, created_at + 0 AS signed_date, created_at + (500) AS arrival FROM sb WHERE k % 8 = 0
+      UNION ALL SELECT event_id * 8 + 2 AS id, user_id, transaction_id, bundle_id, type, ownership, quantity, product_id, environment, app_account_token, 2 AS seq, true AS revoked, created_at + 172800000 AS signed_date, created_at + (172800000) AS arrival FROM sb WHERE k % 3 = 0
+      UNION ALL SELECT event_id * 8 + 3 AS id, user_id, transaction_id, bundle_id, type, ownership, quantity, product_id, environment, app_account_token, 3 AS seq, false AS revoked, created_at + 259200000 AS signed_date, created_at + (259200000) AS arrival FROM sb WHERE k % 6 = 0
+      UNION ALL SELECT event_id * 8 + 4 AS id, user_id, transaction_id, bundle_id, type, ownership, quantity, product_id, environment, app_account_token, 4 AS seq, true AS revoked, created_at + 86400000 AS signed_date, created_at + (345600000) AS arrival FROM sb WHERE k % 12 = 0
+      UNION ALL SELECT event_id * 8 + 5 AS id, user_id, transaction_id, bundle_id, type, ownership, quantity, product_id, environment, app_account_token, 5 AS seq, true AS revoked, created_at + 1 AS signed_date, created_at + (-1000) AS arrival FROM sb WHERE k % 7 = 0)""",
 }
 
 
-def with_base(body: str, *extra: str) -> str:
+def with_base(body: str, *extra: str, recursive: bool = False) -> str:
     """Prefix ``body`` with all base views plus ``extra`` CTE definitions."""
     ctes = list(BASE_CTES.values()) + list(extra)
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(ctes) + "\n" + body

@@ -180,6 +180,58 @@ def checkout_feed(ev0: DataFrame) -> DataFrame:
     return first.unionByName(again)
 
 
+DAY2 = 2 * DAY
+
+
+def account_token(id_col: Column) -> Column:
+    """O11 deterministic variant: the account token is sha256 of the decimal id (lower hex)."""
+    return F.sha2(id_col.cast("string"), 256)
+
+
+def store_feed(ev0: DataFrame) -> DataFrame:
+    """Store transaction events (purchase / replay / refund / reversal / stale refund /
+    refund-before-delivery), one row per delivered signed state.
+
+    Fixed rules on k: 19 other bundle, 29 non-consumable, 31 family shared, 37 quantity 2,
+    41 unknown product, 43 Xcode environment, 47 another account's token, 53 no token,
+    59 malformed id; k % 2 = 0 token upper-cased (matching is case-insensitive).
+    Event variants: 0 delivery; 1 replay (k % 8 = 0, +500 ms); 2 refund (k % 3 = 0, +2 d);
+    3 reversal (k % 6 = 0, +3 d); 4 stale refund (k % 12 = 0, arrives +4 d, signed +1 d);
+    5 refund before delivery (k % 7 = 0, arrives -1 s, signed +1 ms).
+    """
+    k, ca = F.col("k"), F.col("created_at")
+    b = ev0.where((F.col("event_type") == "purchase") & (k % 5).isin(3, 4))
+    amount = (F.when(k % 4 == 0, "5").when(k % 4 == 1, "10").when(k % 4 == 2, "25").otherwise("50"))
+    tok = account_token(F.col("user_id"))
+    b = b.select(
+        "event_id", "user_id", "k", "created_at",
+        F.when(k % 59 == 0, F.concat(F.col("event_id").cast("string"), F.lit("/x")))
+         .otherwise(F.col("event_id").cast("string")).alias("transaction_id"),
+        F.when(k % 19 == 0, "com.other.app").otherwise("com.iphoneadvanced.app").alias("bundle_id"),
+        F.when(k % 29 == 0, "Non-Consumable").otherwise("Consumable").alias("type"),
+        F.when(k % 31 == 0, "FAMILY_SHARED").otherwise("PURCHASED").alias("ownership"),
+        F.when(k % 37 == 0, 2).otherwise(1).alias("quantity"),
+        F.when(k % 41 == 0, "unknown").otherwise(F.concat(F.lit("com.iphoneadvanced.app.credits"), amount))
+         .alias("product_id"),
+        F.when(k % 5 == 3, "Production").when(k % 43 == 0, "Xcode").otherwise("Sandbox").alias("environment"),
+        F.when(k % 47 == 0, account_token(F.col("user_id") + 1)).when(k % 53 == 0, F.lit(None).cast("string"))
+         .when(k % 2 == 0, F.upper(tok)).otherwise(tok).alias("app_account_token"))
+    variants = [  # seq, filter, arrival offset, signed offset, revoked
+        (0, None, 0, 0, False), (1, k % 8 == 0, 500, 0, False), (2, k % 3 == 0, DAY2, DAY2, True),
+        (3, k % 6 == 0, 3 * DAY, 3 * DAY, False), (4, k % 12 == 0, 4 * DAY, DAY, True),
+        (5, k % 7 == 0, -1000, 1, True)]
+    out = None
+    keep = ["user_id", "transaction_id", "bundle_id", "type", "ownership", "quantity", "product_id",
+            "environment", "app_account_token"]
+    for seq, cond, arr, sig, rev in variants:
+        part = b if cond is None else b.where(cond)
+        part = part.select((F.col("event_id") * 8 + seq).alias("id"), *keep, F.lit(seq).alias("seq"),
+                           F.lit(rev).alias("revoked"), (ca + sig).alias("signed_date"),
+                           (ca + arr).alias("arrival"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def analytics_state(spark: SparkSession, tracking_started_at: int = TRACKING_STARTED_AT) -> DataFrame:
     """The one scalar state row (``tracking_started_at``)."""
     return spark.createDataFrame([("tracking_started_at", tracking_started_at)], "key string, value long")
@@ -234,6 +286,10 @@ class Model:
     def checkout_feed(self) -> DataFrame:
         return checkout_feed(self.ev0)
 
+    @property
+    def store_feed(self) -> DataFrame:
+        return store_feed(self.ev0)
+
     @property
     def state(self) -> DataFrame:
         return analytics_state(self.spark)
