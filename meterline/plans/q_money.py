@@ -61,7 +61,10 @@ def q_signup_cohorts(spark, sf_dir):
 _TOT = ", ".join(f"CAST(COALESCE(SUM({x}), 0) AS BIGINT) AS {x}" for x in coh.COHORT_COLUMNS)
 
 
-@register("cohort_totals", with_base(f"SELECT {_TOT} FROM cohorts", ACCOUNTS_CTE, COHORTS_CTE))
+COHORT_TOTALS_SQL = with_base(f"SELECT {_TOT} FROM cohorts", ACCOUNTS_CTE, COHORTS_CTE)
+
+
+@register("cohort_totals", COHORT_TOTALS_SQL)
 def q_cohort_totals(spark, sf_dir):
     return coh.cohort_totals(coh.signup_cohorts(_lifecycle(spark, sf_dir), CC))
 
