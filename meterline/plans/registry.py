@@ -38,4 +38,4 @@ def load_all() -> None:
         importlib.import_module(f"meterline.plans.{mod}")
 
 
-MODULES = ["q_engagement", "q_money", "q_pricing", "q_ledger", "q_purchases", "q_privacy", "q_text", "q_kpi"]
+MODULES = ["q_engagement", "q_money", "q_pricing", "q_ledger", "q_purchases", "q_privacy", "q_text", "q_kpi", "q_streaming"]
