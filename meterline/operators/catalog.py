@@ -95,8 +95,11 @@ def cost_label(usd: Column) -> Column:
     """Cents to two significant digits, ``<0.01¢`` below a hundredth of a cent."""
     c = usd * 100
     e = F.floor(F.log10(c)) - 1
-    two = F.round(c / F.pow(F.lit(10.0), e)) * F.pow(F.lit(10.0), e)
-    return F.when(c < 0.01, F.lit("<0.01¢")).otherwise(F.concat(F.lit("~"), two.cast("string"), F.lit("¢")))
+    r = F.round(c / F.pow(F.lit(10.0), e))
+    # Divide by an exact power of ten (not multiply by 10^-k) so 12 -> 1.2, not 1.2000000000000002.
+    two = F.when(e < 0, r / F.pow(F.lit(10.0), -e)).otherwise(r * F.pow(F.lit(10.0), e))
+    text = F.regexp_replace(two.cast("string"), r"\.0$", "")
+    return F.when(c < 0.01, F.lit("<0.01¢")).otherwise(F.concat(F.lit("~"), text, F.lit("¢")))
 
 
 def result_count(df: DataFrame, by: str = "category") -> DataFrame:

@@ -298,3 +298,56 @@ WHERE strpos(split_part(text, chr(10), 1), '{NOTE_NEEDLE}') > 0 GROUP BY source"
 def q_newest_matching_note(spark, sf_dir):
     d = _m(spark, sf_dir).table("documents")
     return tp.newest_matching(d, "source", "doc_id", F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), NOTE_NEEDLE)
+
+
+# --- F9 / F10 request telemetry ---------------------------------------------------------
+def _request_log(ev0):
+    k = F.col("k")
+    slugs = [a["slug"] for a in catalog_dict()["automations"]]
+    by_pos = F.element_at(F.array(*[F.lit(s) for s in slugs]), (k % len(slugs) + 1).cast("int"))
+    path = (F.when(k % 6 == 0, "/api/v1/generate")
+            .when(k % 6 == 1, "/api/v1/ai/run/@cf/meta/llama-3.1-8b-instruct-fp8-fast")
+            .when(k % 6 == 2, "/api/v1/keys").when(k % 6 == 3, "/api/v1/run/old-shortcut")
+            .otherwise(F.concat(F.lit("/api/v1/run/"), by_pos)))
+    failed = F.when(k % 4 == 0, 402).when(k % 4 == 1, 422).when(k % 4 == 2, 429).otherwise(502)
+    status = F.when(F.col("event_type") == "error", failed).when(F.col("event_type") == "signup", 400).otherwise(200)
+    finished = F.col("created_at") + F.floor(F.col("value") * 10).cast("long") - \
+        F.when(k % 13 == 0, F.lit(100000)).otherwise(F.lit(0))
+    return ev0.select(F.col("event_id").alias("request_id"),
+                      F.when(k % 17 == 0, "GET").otherwise("POST").alias("method"), path.alias("path"),
+                      status.cast("int").alias("status"), F.col("created_at").alias("started_at"),
+                      finished.alias("finished_at"),
+                      F.when(k % 19 == 0, F.lit(None).cast("long")).otherwise(F.col("user_id")).alias("user_id"),
+                      (k % 4 == 0).alias("can_mint"))
+
+
+def _request_log_sql() -> str:
+    slugs = [a["slug"] for a in catalog_dict()["automations"]]
+    arr = "[" + ", ".join(f"'{s}'" for s in slugs) + "]"
+    return f"""reqlog AS (SELECT event_id AS request_id, CASE WHEN k % 17 = 0 THEN 'GET' ELSE 'POST' END AS method,
+  CASE k % 6 WHEN 0 THEN '/api/v1/generate' WHEN 1 THEN '/api/v1/ai/run/@cf/meta/llama-3.1-8b-instruct-fp8-fast'
+    WHEN 2 THEN '/api/v1/keys' WHEN 3 THEN '/api/v1/run/old-shortcut'
+    ELSE concat('/api/v1/run/', {arr}[k % {len(slugs)} + 1]) END AS path,
+  CASE WHEN event_type = 'error' THEN CASE k % 4 WHEN 0 THEN 402 WHEN 1 THEN 422 WHEN 2 THEN 429 ELSE 502 END
+    WHEN event_type = 'signup' THEN 400 ELSE 200 END AS status,
+  created_at AS started_at,
+  created_at + CAST(floor(value * 10) AS BIGINT) - CASE WHEN k % 13 = 0 THEN 100000 ELSE 0 END AS finished_at,
+  CASE WHEN k % 19 = 0 THEN NULL ELSE user_id END AS user_id, k % 4 = 0 AS can_mint FROM ev0),
+known(slug) AS (SELECT unnest({arr}))"""
+
+
+REQUEST_EVENTS_SQL = with_base("""SELECT request_id AS id, CASE WHEN status = 200 THEN 'run_succeeded' ELSE 'run_failed' END AS event_name,
+  user_id, CASE WHEN starts_with(path, '/api/v1/run/') THEN COALESCE(k.slug, 'retired-shortcut')
+    WHEN ends_with(path, '/generate') THEN 'custom-api' ELSE 'raw-api' END AS slug, status,
+  greatest(0, finished_at - started_at) AS duration_ms,
+  CASE WHEN can_mint THEN 'iphone-app' WHEN starts_with(path, '/api/v1/run/') THEN 'shortcut-key' ELSE 'api' END AS source,
+  finished_at AS created_at
+FROM reqlog r LEFT JOIN known k ON starts_with(r.path, '/api/v1/run/') AND k.slug = split_part(r.path, '/', 5)
+WHERE method = 'POST' AND regexp_matches(path, '^/api/v1/(run/[^/]+|generate|ai/run/.+)$') AND user_id IS NOT NULL""",
+    _request_log_sql())
+
+
+@register("request_events", REQUEST_EVENTS_SQL)
+def q_request_events(spark, sf_dir):
+    from meterline.operators.telemetry import request_events
+    return request_events(_request_log(_m(spark, sf_dir).ev0), read_catalog(spark))
