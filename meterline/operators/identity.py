@@ -3,6 +3,7 @@ O9, O10, W5, X1, X2, X9)."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +48,9 @@ def identity_resolution(claims: DataFrame, identities: DataFrame, accounts: Data
     c = c.withColumn("base", F.when(F.col("identity_user").isNotNull(), "login")
                      .when(~verified, "rejected")
                      .when(F.col("account_id").isNotNull(), "linked").otherwise("created"))
+    # Referenced by three aggregates and two joins below: computed once, not re-expanded
+    # (and re-scanned) at every reference.
+    c = c.persist(StorageLevel.MEMORY_AND_DISK)
     fs = (c.where(F.col("base") != "rejected").groupBy("provider", "subject")
           .agg(F.min("claim_id").alias("fsc")))
     c = c.join(fs, ["provider", "subject"], "left") \
@@ -60,11 +64,14 @@ def identity_resolution(claims: DataFrame, identities: DataFrame, accounts: Data
                .otherwise(F.col("base")))
     c = c.withColumn("action", action1)
     new_ids = id_allocation(c.where(F.col("action") == "created").select("claim_id"), registry, ["claim_id"]) \
-        .select(F.col("claim_id").alias("new_claim"), F.col("id").alias("new_id"))
-    c = (c.join(new_ids, c["claim_id"] == new_ids["new_claim"], "left").drop("new_claim")
-         .join(new_ids.select(F.col("new_claim").alias("fec"), F.col("new_id").alias("fe_new_id")), "fec", "left"))
+        .select(F.col("claim_id").alias("owner"), F.col("id").alias("new_id"))
+    # The claim whose new account this claim uses: itself when created, the first claim
+    # with the same email when linked within the batch.  One join resolves both.
+    owner = (F.when(F.col("action") == "created", F.col("claim_id"))
+             .when((F.col("action") == "linked") & F.col("account_id").isNull(), F.col("fec")))
+    c = c.withColumn("owner", owner).join(new_ids, "owner", "left")
     c = c.withColumn("uid1", F.when(F.col("batch_login"), F.lit(None).cast("long"))
-                     .otherwise(F.coalesce("identity_user", "account_id", "new_id", "fe_new_id")))
+                     .otherwise(F.coalesce("identity_user", "account_id", "new_id")))
     firsts = c.select(F.col("claim_id").alias("fsc"), F.col("uid1").alias("fs_uid"))
     c = c.join(firsts, "fsc", "left")
     return c.select("claim_id", "provider", "subject", "action",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from meterline.operators import identity as idt
@@ -56,7 +57,9 @@ class _T:
 
     def __init__(self, spark, sf_dir):
         self.m = m = Model(spark, sf_dir)
-        self.users = m.users
+        # The users dimension is derived by an aggregate over all events and is read by
+        # most tables below: materialise it once per job.
+        self.users = m.users.persist(StorageLevel.MEMORY_AND_DISK)
         self.accounts = ac.accounts(self.users)
         self.api_keys = ac.api_keys(m.ev0)
         self.key_requests = ac.key_requests(m.ev0)

@@ -29,6 +29,32 @@ SCALE_CONF = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``meterline`` importable in Python workers/executors (once per application).
+
+    The ordered folds run Python inside tasks; their step functions are pickled by
+    reference, so executors need the package -- the ``--py-files`` mechanism.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    parent = os.path.dirname(pkg)
+    path = os.path.join(tempfile.mkdtemp(prefix="meterline-pkg-"), "meterline.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith((".py", ".json")):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, parent))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def apply_conf(spark: SparkSession) -> SparkSession:
     """Pin the semantic settings on an existing session (idempotent)."""
     for k, v in REQUIRED_CONF.items():
@@ -38,6 +64,7 @@ def apply_conf(spark: SparkSession) -> SparkSession:
             spark.conf.set(k, v)
         except Exception:  # static conf on a running session: leave the cluster's value
             pass
+    ship_package(spark)
     return spark
 
 

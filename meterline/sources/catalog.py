@@ -40,12 +40,35 @@ PUBLIC_FIELDS = ["slug", "name", "tagline", "category", "icon", "color", "trigge
                  "typicalCost", "icloudUrl", "block", "tags", "input", "output", "pairWith"]
 
 
-def read_catalog(spark: SparkSession, path: str = CATALOG_PATH) -> DataFrame:
-    """One row per automation, with its position (catalog order) as ``pos``."""
-    raw = spark.read.schema(CATALOG_SCHEMA).option("multiLine", "true").json(path)
+def read_catalog(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """One row per automation, with its position (catalog order) as ``pos``.
+
+    A catalog on shared storage is scanned with ``spark.read.json`` (explicit schema,
+    multi-line); the bundled catalog ships inside the package, so it is parsed on the
+    driver and handed to Spark as one row (executors never see driver-local paths).
+    """
+    if path is None:
+        raw = spark.createDataFrame([_as_row(catalog_dict())], CATALOG_SCHEMA)
+    else:
+        raw = spark.read.schema(CATALOG_SCHEMA).option("multiLine", "true").json(path)
     return raw.select(F.posexplode("automations").alias("pos", "a")).select("pos", "a.*")
 
 
+def _as_row(doc: dict) -> tuple:
+    """Nested dict -> tuple structure matching CATALOG_SCHEMA (absent fields -> None)."""
+    def conv(v, t):
+        if v is None:
+            return None
+        if isinstance(t, T.StructType):
+            return tuple(conv(v.get(f.name), f.dataType) for f in t.fields)
+        if isinstance(t, T.ArrayType):
+            return [conv(x, t.elementType) for x in v]
+        if isinstance(t, T.DoubleType):
+            return float(v)
+        return v
+    return conv(doc, CATALOG_SCHEMA)
+
+
 def catalog_dict(path: str = CATALOG_PATH) -> dict:
     with open(path) as f:
         return json.load(f)
