@@ -137,3 +137,15 @@ def window_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """W5 (small-group form): first row per key by arrival."""
     w = Window.partitionBy(*key).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def soft_revoke(keys: DataFrame, requests: DataFrame) -> DataFrame:
+    """``revoked_at`` set from revocation requests that name both the key id and its
+    owner (a request by anyone else changes nothing); the latest request wins, as
+    successive ``UPDATE ... WHERE id = ? AND user_id = ?`` statements would leave it.
+    ``requests``: key_id, user_id, requested_at."""
+    hits = (requests.join(keys.select(F.col("id").alias("key_id"), "user_id"), ["key_id", "user_id"], "left_semi")
+            .groupBy("key_id").agg(F.max("requested_at").alias("_req")))
+    j = keys.join(hits, keys["id"] == hits["key_id"], "left")
+    return j.select(*[F.coalesce(F.col("_req"), F.col("revoked_at")).alias("revoked_at") if c == "revoked_at"
+                      else keys[c] for c in keys.columns])

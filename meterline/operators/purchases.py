@@ -22,7 +22,7 @@ def purchase_validation(feed: DataFrame, users: DataFrame,
     Rules in order: account must exist; bundle, consumable type, purchased ownership,
     quantity 1 and a listed product; numeric id of 1-30 digits; the transaction's account
     token (case-insensitive) equals the account's; production, or sandbox for an
-    allow-listed account.
+    allow-listed account; and (J12) no other account redeemed the transaction first.
     """
     accounts = users.select(F.col("id").alias("user_id"), account_token(F.col("id")).alias("user_token"))
     j = feed.join(accounts, "user_id", "left")
@@ -37,9 +37,18 @@ def purchase_validation(feed: DataFrame, users: DataFrame,
               .when((F.col("environment") != "Production")
                     & ~((F.col("environment") == "Sandbox") & F.col("user_id").isin(*sandbox_ids)),
                     "sandbox_not_allowed"))
-    return j.select("id", "user_id", "transaction_id", "seq", "environment", "revoked", "signed_date",
-                    "arrival", F.when(reason.isNull(), credit).alias("credit_micros"),
-                    reason.alias("reject_reason"))
+    v = j.withColumn("_reason", reason)
+    # A transaction belongs to the first account that redeemed it (by arrival); the
+    # same transaction presented by another account is refused.  Owner per transaction
+    # is an aggregate (skew-safe), joined back on the transaction key.
+    owners = (v.where(F.col("_reason").isNull()).groupBy("environment", "transaction_id")
+              .agg(F.min_by("user_id", F.struct("arrival", "id")).alias("_owner")))
+    v = v.join(owners, ["environment", "transaction_id"], "left")
+    final = F.when(F.col("_reason").isNull() & (F.col("user_id") != F.col("_owner")), F.lit("already_assigned")) \
+        .otherwise(F.col("_reason"))
+    return v.select("id", "user_id", "transaction_id", "seq", "environment", "revoked", "signed_date",
+                    "arrival", F.when(final.isNull(), credit).alias("credit_micros"),
+                    final.alias("reject_reason"))
 
 
 def accepted_store_events(validated: DataFrame) -> DataFrame:

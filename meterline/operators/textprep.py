@@ -193,3 +193,27 @@ def newest_matching(docs: DataFrame, key: str, order: str, title: Column, needle
     """K8: per key, the newest row whose title contains ``needle`` (``max_by``, no sort)."""
     return (docs.where(F.instr(title, needle) > 0).groupBy(key)
             .agg(F.max(order).alias(order)))
+
+
+# ---- L4 / X23 classification answers ---------------------------------------------------
+
+ANSWER_SCHEMA = ("answers struct<category: struct<choice: string, confidence: double>>, "
+                 "result struct<answers: struct<category: struct<choice: string, confidence: double>>>")
+
+
+def answered_choice(answer_json: Column) -> Column:
+    """The chosen name at either nesting level (``answers`` or ``result.answers``)."""
+    a = F.from_json(answer_json, ANSWER_SCHEMA)
+    return F.coalesce(a["answers"]["category"]["choice"], a["result"]["answers"]["category"]["choice"])
+
+
+def classification_result(names: Column, choice: Column, input_chars: Column) -> tuple[Column, Column]:
+    """L4: keep only a listed name; a listed answer is charged the classifier price for
+    ``ceil(chars / 4) + 300`` estimated tokens, anything else costs 0 and fails (502).
+    Fewer than two choices never reaches the model (400)."""
+    from meterline.operators import pricing as pr
+    ok = F.array_contains(names, choice)
+    status = F.when(F.size(names) < 2, 400).when(ok, 200).otherwise(502)
+    tokens = F.ceil(input_chars / F.lit(4)).cast("long") + D.CLASSIFIER_ESTIMATE_EXTRA
+    cost = F.when(status == 200, pr.classifier_cost_expr(tokens)).when(status == 502, F.lit(0).cast("long"))
+    return status, cost

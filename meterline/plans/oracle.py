@@ -84,7 +84,8 @@ BASE_CTES = {
       UNION ALL SELECT event_id * 8 + 2 AS id, user_id, transaction_id, bundle_id, type, ownership, quantity, product_id, environment, app_account_token, 2 AS seq, true AS revoked, created_at + 172800000 AS signed_date, created_at + (172800000) AS arrival FROM sb WHERE k % 3 = 0
       UNION ALL SELECT event_id * 8 + 3 AS id, user_id, transaction_id, bundle_id, type, ownership, quantity, product_id, environment, app_account_token, 3 AS seq, false AS revoked, created_at + 259200000 AS signed_date, created_at + (259200000) AS arrival FROM sb WHERE k % 6 = 0
       UNION ALL SELECT event_id * 8 + 4 AS id, user_id, transaction_id, bundle_id, type, ownership, quantity, product_id, environment, app_account_token, 4 AS seq, true AS revoked, created_at + 86400000 AS signed_date, created_at + (345600000) AS arrival FROM sb WHERE k % 12 = 0
-      UNION ALL SELECT event_id * 8 + 5 AS id, user_id, transaction_id, bundle_id, type, ownership, quantity, product_id, environment, app_account_token, 5 AS seq, true AS revoked, created_at + 1 AS signed_date, created_at + (-1000) AS arrival FROM sb WHERE k % 7 = 0)""",
+      UNION ALL SELECT event_id * 8 + 5 AS id, user_id, transaction_id, bundle_id, type, ownership, quantity, product_id, environment, app_account_token, 5 AS seq, true AS revoked, created_at + 1 AS signed_date, created_at + (-1000) AS arrival FROM sb WHERE k % 7 = 0
+      UNION ALL SELECT event_id * 8 + 6 AS id, user_id + 1 AS user_id, transaction_id, bundle_id, type, ownership, quantity, product_id, environment, sha256(CAST(user_id + 1 AS VARCHAR)) AS app_account_token, 6 AS seq, false AS revoked, created_at + 0 AS signed_date, created_at + (1000) AS arrival FROM sb WHERE k % 23 = 4)""",
 }
 
 

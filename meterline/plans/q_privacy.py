@@ -264,3 +264,14 @@ WHERE user_id IN (SELECT id FROM consent WHERE ai_consent_version = 1)""", CONSE
 def q_consented_events(spark, sf_dir):
     t = _T(spark, sf_dir)
     return pv.consented_events(t.m.events, pv.consent_update(t.accounts, t.consent))
+
+
+# --- F15 soft revoke --------------------------------------------------------------------
+@register("key_revocations", _acc(f"""SELECT k.id, k.user_id, k.prefix, COALESCE(r.req, k.revoked_at) AS revoked_at
+FROM api_keys k LEFT JOIN (SELECT q.key_id, MAX(q.requested_at) AS req FROM (
+  SELECT event_id AS key_id, CASE WHEN k % 2 = 0 THEN user_id ELSE user_id + 1 END AS user_id,
+    created_at + {2 * DAY} AS requested_at FROM ev0 WHERE event_type = 'signup' AND k % 7 = 0) q
+  JOIN api_keys a ON a.id = q.key_id AND a.user_id = q.user_id GROUP BY q.key_id) r ON r.key_id = k.id"""))
+def q_key_revocations(spark, sf_dir):
+    t = _T(spark, sf_dir)
+    return idt.soft_revoke(t.api_keys, ac.revoke_requests(t.m.ev0)).select("id", "user_id", "prefix", "revoked_at")

@@ -14,11 +14,13 @@ RATE_WINDOW_MS = 15 * 60 * 1000
 RATE_MAX = 10
 
 _SB = ", ".join(str(x) for x in pu.SANDBOX_USER_IDS)
-VALIDATION_SQL = with_base(f"""SELECT f.id, f.user_id, f.transaction_id, f.seq, f.environment, f.revoked, f.signed_date, f.arrival,
-  CASE WHEN r.reason IS NULL THEN r.credit END AS credit_micros, r.reason AS reject_reason
-FROM store_feed f JOIN (SELECT f.id,
-  CASE f.product_id WHEN 'com.iphoneadvanced.app.credits5' THEN 5000000 WHEN 'com.iphoneadvanced.app.credits10' THEN 10000000
-    WHEN 'com.iphoneadvanced.app.credits25' THEN 25000000 WHEN 'com.iphoneadvanced.app.credits50' THEN 50000000 END AS credit,
+VALIDATION_SQL = with_base("""SELECT id, user_id, transaction_id, seq, environment, revoked, signed_date, arrival,
+  CASE WHEN final IS NULL THEN credit END AS credit_micros, final AS reject_reason FROM (
+  SELECT v.*, CASE WHEN v.reason IS NULL AND v.user_id <> o.owner THEN 'already_assigned' ELSE v.reason END AS final
+  FROM v LEFT JOIN own o ON o.environment = v.environment AND o.transaction_id = v.transaction_id)""",
+    f"""v AS (SELECT f.*, CASE f.product_id WHEN 'com.iphoneadvanced.app.credits5' THEN 5000000
+    WHEN 'com.iphoneadvanced.app.credits10' THEN 10000000 WHEN 'com.iphoneadvanced.app.credits25' THEN 25000000
+    WHEN 'com.iphoneadvanced.app.credits50' THEN 50000000 END AS credit,
   CASE WHEN u.id IS NULL THEN 'account_deleted'
     WHEN f.bundle_id <> 'com.iphoneadvanced.app' OR f.type <> 'Consumable' OR f.ownership <> 'PURCHASED' OR f.quantity <> 1
       OR f.product_id NOT IN ('com.iphoneadvanced.app.credits5', 'com.iphoneadvanced.app.credits10',
@@ -27,7 +29,10 @@ FROM store_feed f JOIN (SELECT f.id,
     WHEN NOT COALESCE(lower(f.app_account_token) = sha256(CAST(u.id AS VARCHAR)), false) THEN 'different_account'
     WHEN f.environment <> 'Production' AND NOT (f.environment = 'Sandbox' AND f.user_id IN ({_SB})) THEN 'sandbox_not_allowed'
   END AS reason
-  FROM store_feed f LEFT JOIN users u ON u.id = f.user_id) r ON r.id = f.id""")
+  FROM store_feed f LEFT JOIN users u ON u.id = f.user_id)""",
+    """own AS (SELECT environment, transaction_id, user_id AS owner FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY environment, transaction_id ORDER BY arrival, id) AS rn
+  FROM v WHERE reason IS NULL) WHERE rn = 1)""")
 
 
 def _validated(m: Model):
@@ -99,3 +104,33 @@ def q_rate_limit_flags(spark, sf_dir):
     hits = ev0.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"),
                       F.col("created_at").alias("ts"))
     return folds.rate_limit_flags(hits, RATE_WINDOW_MS, RATE_MAX)
+
+
+# --- F18 / J13 store notifications ------------------------------------------------------
+# Fixed rule: each delivered state is also sent as a notification; variant 6 arrives as an
+# unhandled type, ids divisible by 97 are TEST pings, ids divisible by 89 lack a payload.
+_NOTIF_TYPE_SQL = """CASE WHEN id % 97 = 0 THEN 'TEST' WHEN seq IN (0, 1) THEN 'ONE_TIME_CHARGE'
+  WHEN seq IN (2, 5) THEN 'REFUND' WHEN seq = 3 THEN 'REFUND_REVERSED' WHEN seq = 4 THEN 'REVOKE'
+  ELSE 'CONSUMPTION_REQUEST' END"""
+
+
+def _notifications(m: Model):
+    seq = F.col("seq")
+    t = (F.when(F.col("id") % 97 == 0, "TEST").when(seq.isin(0, 1), "ONE_TIME_CHARGE").when(seq.isin(2, 5), "REFUND")
+         .when(seq == 3, "REFUND_REVERSED").when(seq == 4, "REVOKE").otherwise("CONSUMPTION_REQUEST"))
+    return m.store_feed.select("id", t.alias("notification_type"),
+                               F.when(F.col("id") % 89 != 0, F.concat(F.lit("jws."), F.col("transaction_id")))
+                               .alias("signed_transaction_info"), "app_account_token", "environment")
+
+
+@register("notification_routing", with_base(f"""SELECT n.id, n.notification_type, u.id AS routed_user_id, n.environment
+FROM (SELECT id, {_NOTIF_TYPE_SQL} AS notification_type,
+    CASE WHEN id % 89 <> 0 THEN concat('jws.', transaction_id) END AS signed_transaction_info,
+    app_account_token, environment FROM store_feed) n
+JOIN users u ON lower(n.app_account_token) = sha256(CAST(u.id AS VARCHAR))
+WHERE n.notification_type IN ('ONE_TIME_CHARGE', 'REFUND', 'REVOKE', 'REFUND_REVERSED')
+  AND n.signed_transaction_info IS NOT NULL AND (n.environment <> 'Sandbox' OR u.id IN ({_SB}))"""))
+def q_notification_routing(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    return pu.route_notifications(_notifications(m), m.users) \
+        .select("id", "notification_type", "routed_user_id", "environment")

@@ -351,3 +351,43 @@ WHERE method = 'POST' AND regexp_matches(path, '^/api/v1/(run/[^/]+|generate|ai/
 def q_request_events(spark, sf_dir):
     from meterline.operators.telemetry import request_events
     return request_events(_request_log(_m(spark, sf_dir).ev0), read_catalog(spark))
+
+
+# --- L4 / X23 classification answers over parsed choices ---------------------------------
+# Fixed rule: the model answers the choice at position (conv_id % n) + 1, except every third
+# turn, which answers an unlisted "Other"; even conversations nest the answer under "result".
+CLASSIFICATION_SQL = f"""WITH ch AS ({CHOICES_SQL}),
+  lists AS (SELECT conv_id, turn, list(name ORDER BY idx) AS names FROM ch GROUP BY conv_id, turn),
+  turns AS (SELECT c.conv_id, c.turn, length(c.text) AS chars, COALESCE(l.names, []::VARCHAR[]) AS names
+    FROM conversations c LEFT JOIN lists l ON l.conv_id = c.conv_id AND l.turn = c.turn WHERE c.role = 'user'),
+  ans AS (SELECT *, CASE WHEN turn % 3 = 0 OR len(names) = 0 THEN 'Other' ELSE names[conv_id % len(names) + 1] END AS pick FROM turns),
+  js AS (SELECT *, CASE WHEN conv_id % 2 = 0
+      THEN json_object('result', json_object('answers', json_object('category', json_object('choice', pick, 'confidence', 0.9))))
+      ELSE json_object('answers', json_object('category', json_object('choice', pick, 'confidence', 0.9))) END AS answer FROM ans),
+  r AS (SELECT conv_id, turn, chars, names, COALESCE(json_extract_string(answer, '$.answers.category.choice'),
+    json_extract_string(answer, '$.result.answers.category.choice')) AS choice FROM js)
+SELECT conv_id, turn, choice, CAST(CASE WHEN len(names) < 2 THEN 400 WHEN list_contains(names, choice) THEN 200 ELSE 502 END AS INTEGER) AS status,
+  CAST(CASE WHEN len(names) < 2 THEN NULL WHEN list_contains(names, choice)
+    THEN greatest(1, ceil((CAST(ceil(chars / 4) AS BIGINT) + 300) * CAST(0.042 AS DOUBLE) * CAST(1.5 AS DOUBLE))) ELSE 0 END AS BIGINT) AS cost_micros
+FROM r"""
+
+
+@register("classification_answers", CLASSIFICATION_SQL)
+def q_classification_answers(spark, sf_dir):
+    ch = q_conversation_choices(spark, sf_dir)
+    lists = ch.groupBy("conv_id", "turn").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("idx", "name"))), lambda x: x["name"]).alias("names"))
+    turns = (_m(spark, sf_dir).table("conversations").where(F.col("role") == "user")
+             .join(lists, ["conv_id", "turn"], "left")
+             .select("conv_id", "turn", F.length("text").alias("chars"),
+                     F.coalesce("names", F.array().cast("array<string>")).alias("names")))
+    n = F.size("names")
+    pick = F.when((F.col("turn") % 3 == 0) | (n == 0), F.lit("Other")) \
+        .otherwise(F.element_at("names", (F.col("conv_id") % n + 1).cast("int")))
+    inner = F.struct(F.struct(F.struct(pick.alias("choice"), F.lit(0.9).alias("confidence")).alias("category"))
+                     .alias("answers"))
+    answer = F.when(F.col("conv_id") % 2 == 0, F.to_json(F.struct(inner.alias("result")))) \
+        .otherwise(F.to_json(inner))
+    a = turns.withColumn("choice", tp.answered_choice(answer))
+    status, cost = tp.classification_result(F.col("names"), F.col("choice"), F.col("chars"))
+    return a.select("conv_id", "turn", "choice", status.cast("int").alias("status"), cost.alias("cost_micros"))

@@ -119,3 +119,14 @@ def existing_waitlist(requests: DataFrame) -> DataFrame:
 
 def erasure_requests(users: DataFrame) -> DataFrame:
     return users.where(F.col("id") % 10 == 0).select(F.col("id").alias("user_id"))
+
+
+def revoke_requests(ev0: DataFrame) -> DataFrame:
+    """Key revocation requests: signup events with ``k % 7 = 0`` ask to revoke the key
+    whose id is that event's id, two days later; odd ``k`` are sent by the next account
+    (not the owner) and must have no effect."""
+    k = F.col("k")
+    return (ev0.where((F.col("event_type") == "signup") & (k % 7 == 0))
+            .select(F.col("event_id").alias("key_id"),
+                    F.when(k % 2 == 0, F.col("user_id")).otherwise(F.col("user_id") + 1).alias("user_id"),
+                    (F.col("created_at") + 2 * DAY).alias("requested_at")))

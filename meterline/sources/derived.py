@@ -197,7 +197,8 @@ def store_feed(ev0: DataFrame) -> DataFrame:
     59 malformed id; k % 2 = 0 token upper-cased (matching is case-insensitive).
     Event variants: 0 delivery; 1 replay (k % 8 = 0, +500 ms); 2 refund (k % 3 = 0, +2 d);
     3 reversal (k % 6 = 0, +3 d); 4 stale refund (k % 12 = 0, arrives +4 d, signed +1 d);
-    5 refund before delivery (k % 7 = 0, arrives -1 s, signed +1 ms).
+    5 refund before delivery (k % 7 = 0, arrives -1 s, signed +1 ms); 6 the same
+    transaction presented by the next account id with that account's token (k % 23 = 4, +1 s).
     """
     k, ca = F.col("k"), F.col("created_at")
     b = ev0.where((F.col("event_type") == "purchase") & (k % 5).isin(3, 4))
@@ -219,12 +220,16 @@ def store_feed(ev0: DataFrame) -> DataFrame:
     variants = [  # seq, filter, arrival offset, signed offset, revoked
         (0, None, 0, 0, False), (1, k % 8 == 0, 500, 0, False), (2, k % 3 == 0, DAY2, DAY2, True),
         (3, k % 6 == 0, 3 * DAY, 3 * DAY, False), (4, k % 12 == 0, 4 * DAY, DAY, True),
-        (5, k % 7 == 0, -1000, 1, True)]
+        (5, k % 7 == 0, -1000, 1, True),
+        (6, k % 23 == 4, 1000, 0, False)]  # the same transaction presented by the next account
     out = None
     keep = ["user_id", "transaction_id", "bundle_id", "type", "ownership", "quantity", "product_id",
             "environment", "app_account_token"]
     for seq, cond, arr, sig, rev in variants:
         part = b if cond is None else b.where(cond)
+        if seq == 6:
+            part = part.withColumn("user_id", F.col("user_id") + 1) \
+                .withColumn("app_account_token", account_token(F.col("user_id")))
         part = part.select((F.col("event_id") * 8 + seq).alias("id"), *keep, F.lit(seq).alias("seq"),
                            F.lit(rev).alias("revoked"), (ca + sig).alias("signed_date"),
                            (ca + arr).alias("arrival"))
