@@ -3,7 +3,6 @@ O9, O10, W5, X1, X2, X9)."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +36,7 @@ def identity_resolution(claims: DataFrame, identities: DataFrame, accounts: Data
     earlier in the batch links to the new account.  "First" is found with aggregates.
     """
     from meterline.operators.privacy import id_allocation
+    from meterline.session import materialize
 
     idn = identities.select("provider", "subject", F.col("user_id").alias("identity_user"))
     acc = accounts.select(F.lower(F.col("email")).alias("email_key"), F.col("id").alias("account_id"),
@@ -48,9 +48,7 @@ def identity_resolution(claims: DataFrame, identities: DataFrame, accounts: Data
     c = c.withColumn("base", F.when(F.col("identity_user").isNotNull(), "login")
                      .when(~verified, "rejected")
                      .when(F.col("account_id").isNotNull(), "linked").otherwise("created"))
-    # Referenced by three aggregates and two joins below: computed once, not re-expanded
-    # (and re-scanned) at every reference.
-    c = c.persist(StorageLevel.MEMORY_AND_DISK)
+    c = materialize(c)  # read by two aggregates and three joins below
     fs = (c.where(F.col("base") != "rejected").groupBy("provider", "subject")
           .agg(F.min("claim_id").alias("fsc")))
     c = c.join(fs, ["provider", "subject"], "left") \
@@ -62,7 +60,7 @@ def identity_resolution(claims: DataFrame, identities: DataFrame, accounts: Data
     action1 = (F.when(F.col("batch_login"), "login")
                .when((F.col("base") == "created") & (F.col("fec") < F.col("claim_id")), "linked")
                .otherwise(F.col("base")))
-    c = c.withColumn("action", action1)
+    c = materialize(c.withColumn("action", action1))  # read by the numbering and the joins below
     new_ids = id_allocation(c.where(F.col("action") == "created").select("claim_id"), registry, ["claim_id"]) \
         .select(F.col("claim_id").alias("owner"), F.col("id").alias("new_id"))
     # The claim whose new account this claim uses: itself when created, the first claim

@@ -53,9 +53,36 @@ def _acc(body: str, *extra: str) -> str:
 
 
 class _T:
-    """Spark-side account tables for one scale-factor directory."""
+    """Spark-side account tables for one scale-factor directory.
+
+    One instance per (application, directory): the users dimension (an aggregate over all
+    events) and the identity resolution are materialised once and shared by the queries
+    that read them, instead of being re-derived -- and re-cached -- per query.
+    """
+
+    _memo: dict = {}
+
+    def __new__(cls, spark, sf_dir):
+        key = (spark.sparkContext.applicationId, sf_dir)
+        inst = cls._memo.get(key)
+        if inst is None:
+            inst = super().__new__(cls)
+            inst._init(spark, sf_dir)
+            cls._memo[key] = inst
+        return inst
 
     def __init__(self, spark, sf_dir):
+        pass
+
+    @property
+    def ident(self):
+        if self._ident is None:
+            self._ident = idt.identity_resolution(self.claims, self.identities, self.accounts, self.registry) \
+                .persist(StorageLevel.MEMORY_AND_DISK)
+        return self._ident
+
+    def _init(self, spark, sf_dir):
+        self._ident = None
         self.m = m = Model(spark, sf_dir)
         # The users dimension is derived by an aggregate over all events and is read by
         # most tables below: materialise it once per job.
@@ -165,7 +192,7 @@ IDENT_CTES = [
 
 
 def _ident(t: _T):
-    return idt.identity_resolution(t.claims, t.identities, t.accounts, t.registry)
+    return t.ident
 
 
 @register("identity_resolution", _acc("SELECT * FROM ident", *IDENT_CTES))

@@ -39,3 +39,11 @@ def load_all() -> None:
 
 
 MODULES = ["q_engagement", "q_money", "q_pricing", "q_ledger", "q_purchases", "q_privacy", "q_text", "q_kpi", "q_streaming"]
+
+
+def reset_caches(spark: SparkSession) -> None:
+    """Drop every materialised intermediate (memoised tables and Spark's cache), so the
+    next query run computes from the source tables again (used between bench runs)."""
+    from meterline.plans import q_privacy
+    q_privacy._T._memo.clear()
+    spark.catalog.clearCache()

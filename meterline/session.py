@@ -98,3 +98,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df):
+    """Cut lineage: reliable checkpoint into the session's shared checkpoint folder.
+
+    Used where one intermediate feeds several self-joins/aggregates, so the plan reads
+    the written result instead of re-expanding (and re-scanning) its whole lineage at
+    every reference.  Reliable (not local) checkpoints survive executor loss.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
