@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterline.functions.keys import spread_nulls
+
 EMAIL_RE = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 MAX_EMAIL = 254
 KEY_PREFIX = "aa_live_"
@@ -43,7 +45,8 @@ def identity_resolution(claims: DataFrame, identities: DataFrame, accounts: Data
                           (F.col("email_verified_at").isNull() & F.col("has_password")).alias("unconfirmed"))
     c = (claims.withColumn("email_key", F.lower(F.col("email")))
          .join(idn, ["provider", "subject"], "left")
-         .join(acc, "email_key", "left"))
+         .withColumn("_k", spread_nulls(F.col("email_key"), F.col("claim_id"), string=True))
+         .join(acc.withColumnRenamed("email_key", "_k"), "_k", "left").drop("_k"))
     verified = F.col("email").isNotNull() & F.col("email_verified")
     c = c.withColumn("base", F.when(F.col("identity_user").isNotNull(), "login")
                      .when(~verified, "rejected")
@@ -94,9 +97,12 @@ def key_lookup(requests: DataFrame, keys: DataFrame, accounts: DataFrame) -> Dat
     equality with an unrevoked key (no secret is ever stored or joined in clear)."""
     r = requests.withColumn("key_hash", F.when(F.col("secret").startswith(KEY_PREFIX),
                                                F.sha2(F.col("secret"), 256)))
-    k = (keys.where(F.col("revoked_at").isNull()).select(F.col("id").alias("key_id"), "key_hash", "user_id")
+    # Requests without the key prefix have no digest: spread them (see spread_nulls).
+    r = r.withColumn("_k", spread_nulls(F.col("key_hash"), F.col("request_id"), string=True))
+    k = (keys.where(F.col("revoked_at").isNull()).select(F.col("id").alias("key_id"), F.col("key_hash").alias("_k"),
+                                                         "user_id")
          .join(accounts.select(F.col("id").alias("user_id")), "user_id", "left_semi"))
-    return r.join(k, "key_hash", "left").select("request_id", "ts", "key_id", "user_id")
+    return r.join(k, "_k", "left").select("request_id", "ts", "key_id", "user_id")
 
 
 def live_sessions(sessions: DataFrame, accounts: DataFrame, now_ms: int) -> DataFrame:

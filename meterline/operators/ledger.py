@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterline.functions.keys import spread_nulls
+
 HOUR = 3_600_000
 MAX_SAFE_INTEGER = 9_007_199_254_740_991
 CHECKOUT_TYPES = ("checkout.session.completed", "checkout.session.async_payment_succeeded")
@@ -85,8 +87,12 @@ def checkout_fulfilment(feed: DataFrame, existing_ledger: DataFrame, users: Data
     known = existing_ledger.where(F.col("stripe_session_id").isNotNull()) \
         .select(F.col("stripe_session_id").alias("session_id")).distinct() \
         .withColumn("in_ledger", F.lit(True))
-    accounts = users.select(F.col("id").alias("uid")).withColumn("account", F.lit(True))
-    f = (f.join(known, "session_id", "left").join(accounts, "uid", "left"))
+    accounts = users.select(F.col("id").alias("_k")).withColumn("account", F.lit(True))
+    # Malformed metadata gives a NULL uid; spread those rows instead of sending them all
+    # to the NULL partition of the account lookup.
+    f = (f.join(known, "session_id", "left")
+         .withColumn("_k", spread_nulls(F.col("uid"), F.col("session_id"), F.col("arrival"), F.col("delivery")))
+         .join(accounts, "_k", "left").drop("_k"))
     eligible = (F.col("type").isin(*CHECKOUT_TYPES) & (F.col("payment_status") == "paid")
                 & F.col("uid").isNotNull() & F.col("credit").isNotNull()
                 & F.col("account").isNotNull() & F.col("in_ledger").isNull())

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterline.functions.keys import spread_nulls
 from meterline.functions.sequence import global_sequence
 
 
@@ -24,12 +25,16 @@ def erase(tables: dict[str, DataFrame], erasure_ids: DataFrame) -> dict[str, Dat
     gone = erasure_ids.select("user_id").distinct()
     out = dict(tables)
     out["users"] = tables["users"].join(gone.withColumnRenamed("user_id", "id"), "id", "left_anti")
+    g = gone.select(F.col("user_id").alias("_k"))
     for name in ("events", "api_keys", "sessions", "identities", "ledger"):
         if name in tables:
-            out[name] = tables[name].join(gone, "user_id", "left_anti")
+            t = tables[name]
+            out[name] = (t.withColumn("_k", spread_nulls(F.col("user_id"), *[F.col(c) for c in t.columns]))
+                         .join(g, "_k", "left_anti").drop("_k"))
     if "store_transactions" in tables:
         st = tables["store_transactions"]
-        flagged = st.join(gone.withColumn("_erased", F.lit(True)), "user_id", "left")
+        flagged = (st.withColumn("_k", spread_nulls(F.col("user_id"), *[F.col(c) for c in st.columns]))
+                   .join(g.withColumn("_erased", F.lit(True)), "_k", "left"))
         out["store_transactions"] = flagged.select(
             *[F.when(F.col("_erased").isNull(), F.col(c)).alias(c) if c == "user_id" else F.col(c)
               for c in st.columns])
@@ -99,3 +104,31 @@ def consented_events(events: DataFrame, accounts: DataFrame, version: int = 1) -
     """keep rows of accounts whose consent version is current."""
     ok = accounts.where(F.col("ai_consent_version") == version).select(F.col("id").alias("user_id"))
     return events.join(ok, "user_id", "left_semi")
+
+
+def erasure_counts(tables: dict[str, DataFrame], erasure_ids: DataFrame,
+                   kept: tuple[str, ...] = ("store_transactions", "registry")) -> DataFrame:
+    """O6 summary in one pass per table: rows before, rows after and rows still linked to
+    an account, from a flagged left join with the erasure list (no before/after re-scan).
+    ``kept`` tables keep every row (transactions lose only their link; the registry
+    keeps everything)."""
+    gone = erasure_ids.select("user_id").distinct().withColumn("_erased", F.lit(True))
+    parts = []
+    for name, df in tables.items():
+        key = "id" if name in ("users", "registry") else "user_id"
+        f = (df.select(F.col(key).alias("user_id"),
+                       spread_nulls(F.col(key), *[F.col(c) for c in df.columns]).alias("_k"))
+             .join(gone.withColumnRenamed("user_id", "_k"), "_k", "left"))
+        erased = F.coalesce(F.col("_erased"), F.lit(False))
+        if name == "registry":
+            erased = F.lit(False)
+        after = F.lit(True) if name in kept else ~erased
+        parts.append(f.agg(F.count(F.lit(1)).alias("rows_before"),
+                           F.count(F.when(after, 1)).alias("rows_after"),
+                           F.count(F.when(~erased & F.col("user_id").isNotNull(), 1)).alias("linked_after"))
+                     .withColumn("table_name", F.lit(name)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("table_name", *[F.col(c).cast("long").alias(c)
+                                      for c in ("rows_before", "rows_after", "linked_after")])

@@ -125,20 +125,7 @@ ERASURE_SQL = _acc("\nUNION ALL ".join(_parts))
 @register("erasure_summary", ERASURE_SQL)
 def q_erasure_summary(spark, sf_dir):
     t = _T(spark, sf_dir)
-    before = t.tables()
-    after = pv.erase(before, t.erased)
-    parts = []
-    for name in before:
-        key = "id" if name in ("users", "registry") else "user_id"
-        b = before[name].agg(F.count(F.lit(1)).alias("rows_before"))
-        a = after[name].agg(F.count(F.lit(1)).alias("rows_after"),
-                            F.count(F.col(key)).alias("linked_after"))
-        parts.append(b.crossJoin(a).withColumn("table_name", F.lit(name)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("table_name", *[F.col(c).cast("long").alias(c)
-                                      for c in ("rows_before", "rows_after", "linked_after")])
+    return pv.erasure_counts(t.tables(), t.erased)
 
 
 @register("erasure_transactions", _acc("""SELECT t.id, CASE WHEN e.user_id IS NULL THEN t.user_id END AS user_id, t.environment

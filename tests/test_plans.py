@@ -82,3 +82,16 @@ def test_hot_user_results_are_exact(spark):
     daily = {r.day: r.active for r in eng.daily_series(ev, c, 0).collect()}
     exp = ok.groupby("day").user_id.nunique()
     assert all(daily[d] == n for d, n in exp.items())
+
+
+def test_null_keys_are_spread_and_never_match(spark):
+    from pyspark.sql import functions as F
+    from meterline.functions.keys import spread_nulls
+    df = spark.range(0, 20000).select(F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(F.col("id")).alias("k"),
+                                      "id")
+    s = df.select(spread_nulls(F.col("k"), F.col("id")).alias("s"), "k")
+    nulls = s.where(F.col("k").isNull())
+    assert nulls.where(F.col("s") >= 0).count() == 0
+    assert nulls.select("s").distinct().count() > 1000  # spread over many keys, not one
+    t = df.select(spread_nulls(F.col("k").cast("string"), F.col("id"), string=True).alias("s"), "k")
+    assert t.where(F.col("k").isNull() & F.col("s").startswith("\x00")).count() == 10000
