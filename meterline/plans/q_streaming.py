@@ -48,3 +48,18 @@ def q_stream_checkout_credits(spark, sf_dir):
     existing = (m.ledger.where((F.col("created_at") < F.lit(LEDGER_CUTOFF)) & F.col("stripe_session_id").isNotNull())
                 .select(F.col("stripe_session_id").alias("session_id")))
     return jobs.checkout_stream(spark, sf_dir, m.users, existing)
+
+
+# --- ST3 / ST5 stateful streaming folds (same oracles as their batch forms) --------------
+from meterline.plans import q_purchases as qp  # noqa: E402
+from meterline.streaming import stateful  # noqa: E402
+
+
+@register("stream_rate_limit_flags", qp.RATE_SQL)
+def q_stream_rate_limit_flags(spark, sf_dir):
+    return stateful.rate_limit_stream(spark, sf_dir, qp.RATE_WINDOW_MS, qp.RATE_MAX)
+
+
+@register("stream_conditional_debits", qp.DEBITS_SQL)
+def q_stream_conditional_debits(spark, sf_dir):
+    return stateful.conditional_debit_stream(spark, sf_dir)

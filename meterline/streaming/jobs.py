@@ -41,9 +41,10 @@ def _run_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def event_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
-    """The driver's events file as a stream (explicit schema, no inference)."""
-    r = (spark.readStream.schema(SCHEMAS["events"]).option("pathGlobFilter", "events.parquet"))
+def event_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None,
+                 glob: str = "events.parquet") -> DataFrame:
+    """The driver's events file(s) as a stream (explicit schema, no inference)."""
+    r = (spark.readStream.schema(SCHEMAS["events"]).option("pathGlobFilter", glob))
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     return r.parquet(sf_dir)
