@@ -146,3 +146,12 @@ def today(events: DataFrame, c: Clock) -> DataFrame:
         F.coalesce(F.sum("r"), F.lit(0)).cast("long").alias("runs"),
         F.count(F.when(F.col("r") > 0, 1)).cast("long").alias("active"),
         F.max("last").alias("last_event"))
+
+
+def approx_active_users(events: DataFrame, c: Clock, rsd: float = 0.01) -> DataFrame:
+    """A16 (opt-in approximate form): distinct successful users per day with HyperLogLog++
+    (``approx_count_distinct``, relative standard deviation ``rsd``).  The exact forms
+    above are the default; this trades exactness for one pass with no user-level shuffle."""
+    ok = successes(events, c.start, c.end)
+    return (ok.groupBy(day_of("created_at").alias("day"))
+            .agg(F.approx_count_distinct("user_id", rsd).alias("active_approx")))

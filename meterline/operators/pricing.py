@@ -162,3 +162,22 @@ def usage_by_user(settled: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("requests"),
         F.count(F.when(F.col("ledger_amount").isNotNull(), 1)).alias("charged_requests"),
         F.coalesce(F.sum("actual_micros"), F.lit(0)).cast("long").alias("charged_micros"))
+
+
+def retail_prices(prices: DataFrame) -> DataFrame:
+    """Price list as sold (provider price x markup), plus the 2-decimal display text."""
+    m = _d(D.MARKUP)
+    return prices.select("model", "label", (F.col("price_in") * m).alias("retail_in"),
+                         (F.col("price_out") * m).alias("retail_out"),
+                         F.format_string("$%.2f", F.col("price_in") * m).alias("retail_in_text"),
+                         F.format_string("$%.2f", F.col("price_out") * m).alias("retail_out_text"))
+
+
+def products_by_credit(products: DataFrame) -> DataFrame:
+    """K9: consumable credit products, smallest first."""
+    return products.orderBy("credit_micros")
+
+
+def audio_payload(raw: Column) -> Column:
+    """base64 of raw audio bytes (the model API takes base64 text)."""
+    return F.base64(raw)
