@@ -23,6 +23,12 @@ def _as_int(c):
     return c.cast("int")
 
 
+def weight(df: DataFrame):
+    """Row weight: 1 for event rows, ``n`` for pre-aggregated rollup rows (same columns
+    plus a count ``n``), so every operator here runs on raw events or on the rollup."""
+    return F.col("n") if "n" in df.columns else F.lit(1)
+
+
 def run_outcomes(events: DataFrame, lo: int, hi: int) -> DataFrame:
     """authenticated run outcomes with ``lo <= created_at < hi``."""
     return events.where(F.col("event_name").isin(*RUN_EVENTS) & F.col("user_id").isNotNull()
@@ -36,10 +42,11 @@ def successes(events: DataFrame, lo: int, hi: int) -> DataFrame:
 
 def _user_days(df: DataFrame, *keys: str) -> DataFrame:
     """Distinct (keys..., user_id, day) with attempts / successes per cell."""
+    w = weight(df)
     return (df.withColumn("day", day_of("created_at"))
             .groupBy(*keys, "user_id", "day")
-            .agg(F.count(F.lit(1)).alias("n_attempts"),
-                 F.sum(_as_int(F.col("event_name") == "run_succeeded")).alias("n_runs")))
+            .agg(F.sum(w).alias("n_attempts"),
+                 F.sum(w * _as_int(F.col("event_name") == "run_succeeded")).alias("n_runs")))
 
 
 def weekly_repeat_users(events: DataFrame, c: Clock) -> DataFrame:
@@ -105,7 +112,7 @@ def failures_by_status(events: DataFrame, c: Clock) -> DataFrame:
     """A11 + F8: failed runs by status (NULL status is its own group), attempts desc."""
     failed = events.where((F.col("event_name") == "run_failed") & F.col("user_id").isNotNull()
                           & in_range("created_at", c.start, c.end))
-    per_user = failed.groupBy("status", "user_id").agg(F.count(F.lit(1)).alias("n"))
+    per_user = failed.groupBy("status", "user_id").agg(F.sum(weight(failed)).alias("n"))
     return (per_user.groupBy("status")
             .agg(F.sum("n").alias("attempts"), F.count(F.lit(1)).alias("users"))
             .orderBy(F.desc("attempts"), F.asc_nulls_last("status")))
@@ -123,9 +130,10 @@ def sources(events: DataFrame, c: Clock) -> DataFrame:
     """Outcomes by request source; NULL source reported as 'unknown', runs desc."""
     runs = run_outcomes(events, c.start, c.end).withColumn(
         "source", F.coalesce(F.col("source"), F.lit("unknown")))
+    w = weight(runs)
     per_user = runs.groupBy("source", "user_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(_as_int(F.col("event_name") == "run_succeeded")).alias("r"))
+        F.sum(w).alias("n"),
+        F.sum(w * _as_int(F.col("event_name") == "run_succeeded")).alias("r"))
     return (per_user.groupBy("source")
             .agg(F.sum("n").alias("attempts"), F.sum("r").alias("runs"),
                  F.sum(_as_int(F.col("r") > 0)).alias("users"))
@@ -137,9 +145,10 @@ def today(events: DataFrame, c: Clock) -> DataFrame:
     part = events.where(F.col("event_name").isin(*RUN_EVENTS) & F.col("user_id").isNotNull()
                         & (F.col("created_at") >= F.lit(c.end))
                         & (F.col("created_at") <= F.lit(c.now)))
+    w = weight(part)
     per_user = part.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(_as_int(F.col("event_name") == "run_succeeded")).alias("r"),
+        F.sum(w).alias("n"),
+        F.sum(w * _as_int(F.col("event_name") == "run_succeeded")).alias("r"),
         F.max("created_at").alias("last"))
     return per_user.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("attempts"),

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterline.functions.clock import Clock, day_of
-from meterline.operators.engagement import run_outcomes
+from meterline.operators.engagement import run_outcomes, weight
 
 
 def _as_int(c):
@@ -27,7 +27,7 @@ def nearest_rank_percentile(df: DataFrame, key: str, value: str, pct: int = 95,
                             out: str = "p95_ms") -> DataFrame:
     """Exact nearest-rank percentile of ``value`` per ``key`` via a value histogram."""
     hist = (df.where(F.col(value).isNotNull())
-            .groupBy(key, value).agg(F.count(F.lit(1)).alias("cnt")))
+            .groupBy(key, value).agg(F.sum(weight(df)).alias("cnt")))
     w_run = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     w_all = Window.partitionBy(key)
     ranked = (hist.withColumn("cum", F.sum("cnt").over(w_run))
@@ -51,13 +51,17 @@ def feature_p95(events: DataFrame, c: Clock) -> DataFrame:
         "slug", F.col("n").cast("long").alias("n"), F.col("p95_ms").cast("long").alias("p95_ms"))
 
 
-def feature_table(events: DataFrame, c: Clock) -> DataFrame:
-    """A4: slug, attempts, runs, users, credit_blocks, repeat_users, p95_ms (users desc, runs desc)."""
+def feature_table(events: DataFrame, c: Clock, latency: DataFrame | None = None) -> DataFrame:
+    """A4: slug, attempts, runs, users, credit_blocks, repeat_users, p95_ms (users desc, runs desc).
+
+    ``latency``: optional (slug, duration_ms, n) histogram of the period's successes, for
+    when ``events`` is a rollup without durations."""
     runs = run_outcomes(events, c.start, c.end).withColumn("day", day_of("created_at"))
+    w = weight(runs)
     cells = (runs.groupBy("slug", "user_id", "day")
-             .agg(F.count(F.lit(1)).alias("a"),
-                  F.sum(_as_int(F.col("event_name") == "run_succeeded")).alias("r"),
-                  F.sum(_as_int(F.col("status") == 402)).alias("b")))
+             .agg(F.sum(w).alias("a"),
+                  F.sum(w * _as_int(F.col("event_name") == "run_succeeded")).alias("r"),
+                  F.sum(w * _as_int(F.col("status") == 402)).alias("b")))
     per_user = (cells.groupBy("slug", "user_id")
                 .agg(F.sum("a").alias("a"), F.sum("r").alias("r"), F.sum("b").alias("b"),
                      F.sum(_as_int(F.col("r") > 0)).alias("days")))
@@ -67,7 +71,8 @@ def feature_table(events: DataFrame, c: Clock) -> DataFrame:
         F.sum(_as_int(F.col("r") > 0)).cast("long").alias("users"),
         F.sum("b").cast("long").alias("credit_blocks"),
         F.sum(_as_int(F.col("days") >= 2)).cast("long").alias("repeat_users"))
-    p95 = nearest_rank_percentile(runs.where(F.col("event_name") == "run_succeeded"),
+    p95 = nearest_rank_percentile(latency if latency is not None else
+                                  runs.where(F.col("event_name") == "run_succeeded"),
                                   "slug", "duration_ms").select("slug", "p95_ms")
     # Left join on '=' -- a NULL slug never matches, so its P95 stays NULL.
     return (per_slug.join(p95, "slug", "left")

@@ -1,8 +1,12 @@
 """V12 + S7: the assembled dashboard document for one reporting clock.
 
-The run events of the widest window used by any section are read once (narrow
-projection, time bounds pushed to the scan) and persisted, so the nine section
-queries share one scan instead of nine.  Each section is then an aggregate whose
+Shared rollup, not shared raw events: the run events of the widest day-aligned window
+are aggregated once into ``activity_daily`` -- (day, user, event, slug, source, status)
+-> count -- and that rollup (persisted) feeds the period, weekly, daily, failure, source,
+feature and payer sections.  Every bound of those sections is a whole UTC day, so they
+are exact on the rollup (the operators take the count as a row weight).  Only what needs
+millisecond precision reads raw rows: the (slug, duration) latency histogram for P95, the
+successes of the cohort window (two columns), and the partial current day.  Each section
 output is bounded by the report shape (<= 90 days, slugs, statuses, sources, cohort
 weeks), which is what ``collect_list`` gathers into the single JSON row.
 """
@@ -13,7 +17,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterline.functions.clock import DAY, clock
+from meterline.functions.clock import DAY, clock, day_of
 from meterline.operators import cohorts as coh
 from meterline.operators import engagement as eng
 from meterline.operators import features as feat
@@ -30,28 +34,46 @@ def _many(df: DataFrame, name: str, order: list[str]) -> DataFrame:
     return df.agg(F.transform(F.array_sort(F.collect_list(s)), lambda x: x["_row"]).alias(name))
 
 
+def activity_daily(m: Model, lo: int, hi: int) -> DataFrame:
+    """Run outcomes in ``[lo, hi)`` (day-aligned) rolled up per (day, user, event, slug,
+    source, status); ``created_at`` is the day start so day-aligned range filters stay exact."""
+    ev = eng.run_outcomes(m.events_between(lo, hi), lo, hi)
+    return (ev.groupBy(day_of("created_at").alias("day"), "user_id", "event_name", "slug", "source", "status")
+            .agg(F.count(F.lit(1)).alias("n"))
+            .select("event_name", "user_id", "slug", "status", "source",
+                    (F.col("day") * DAY).alias("created_at"), "n"))
+
+
+def latency_histogram(m: Model, c) -> DataFrame:
+    """(slug, duration_ms) -> count over the period's successes, for the exact P95."""
+    ok = eng.successes(m.events_between(c.start, c.end), c.start, c.end).where(F.col("duration_ms").isNotNull())
+    return ok.groupBy("slug", "duration_ms").agg(F.count(F.lit(1)).alias("n"))
+
+
 def dashboard(m: Model, now_ms: int, days, tracking_since: int) -> DataFrame:
     c = clock(now_ms, days)
-    lo = min(c.previous_start, c.end - 14 * DAY, max(c.start, tracking_since))
-    ev = (m.events_between(lo, c.now + 1)
-          .select("event_name", "user_id", "slug", "status", "duration_ms", "source", "created_at")
-          .persist(StorageLevel.MEMORY_AND_DISK))
-    periods = eng.period_engagement(ev, c)
+    lo = min(c.previous_start, c.end - 14 * DAY)
+    act = activity_daily(m, lo, c.end).persist(StorageLevel.MEMORY_AND_DISK)
+    periods = eng.period_engagement(act, c)
     current = periods.where(F.col("period") == "current").drop("period")
     previous = periods.where(F.col("period") == "previous").drop("period")
-    accounts = coh.account_lifecycle(m.users, ev, m.ledger, m.store_transactions, c, tracking_since)
+    cohort_start = max(c.start, tracking_since)
+    cohort_ev = (eng.successes(m.events_between(cohort_start, c.end), cohort_start, c.end)
+                 .select("event_name", "user_id", "created_at"))
+    accounts = coh.account_lifecycle(m.users, cohort_ev, m.ledger, m.store_transactions, c, tracking_since)
     cohorts = coh.signup_cohorts(accounts, c)
+    today_ev = m.events_between(c.end, c.now + 1)
     parts = [
         _one(current, "current"), _one(previous, "previous"),
-        _one(eng.weekly_repeat_users(ev, c), "weekly"),
+        _one(eng.weekly_repeat_users(act, c), "weekly"),
         _many(cohorts, "cohorts", ["week"]),
         _one(coh.cohort_totals(cohorts), "totals"),
-        _one(money.money_summary(m.users, ev, m.ledger, m.store_transactions, c), "money"),
-        _many(eng.failures_by_status(ev, c), "failures", ["attempts"]),
-        _many(feat.feature_table(ev, c), "features", ["users", "runs"]),
-        _many(eng.sources(ev, c), "sources", ["runs"]),
-        _one(eng.today(ev, c), "today"),
-        _many(eng.daily_series(ev, c, tracking_since), "daily", ["day"]),
+        _one(money.money_summary(m.users, act, m.ledger, m.store_transactions, c), "money"),
+        _many(eng.failures_by_status(act, c), "failures", ["attempts"]),
+        _many(feat.feature_table(act, c, latency=latency_histogram(m, c)), "features", ["users", "runs"]),
+        _many(eng.sources(act, c), "sources", ["runs"]),
+        _one(eng.today(today_ev, c), "today"),
+        _many(eng.daily_series(act, c, tracking_since), "daily", ["day"]),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -95,3 +95,27 @@ def test_null_keys_are_spread_and_never_match(spark):
     assert nulls.select("s").distinct().count() > 1000  # spread over many keys, not one
     t = df.select(spread_nulls(F.col("k").cast("string"), F.col("id"), string=True).alias("s"), "k")
     assert t.where(F.col("k").isNull() & F.col("s").startswith("\x00")).count() == 10000
+
+
+def test_rollup_sections_equal_raw_event_sections(spark):
+    from pyspark.sql import functions as F
+    from meterline.plans.dashboard import activity_daily  # noqa: F401  (same rollup shape below)
+    end = 1_706_572_800_000
+    ev = synthetic_events(spark, 60_000, 300, end, days=40, hot_share=0.2)
+    ev = ev.withColumn("source", F.when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("source")))
+    act = (ev.groupBy(F.expr("created_at div 86400000").alias("day"), "user_id", "event_name", "slug", "source", "status")
+           .agg(F.count(F.lit(1)).alias("n"))
+           .select("event_name", "user_id", "slug", "status", "source", (F.col("day") * 86_400_000).alias("created_at"), "n"))
+    c = clock(end + 5000, 7)
+
+    def same(a, b):
+        return sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+    assert same(eng.period_engagement(act, c), eng.period_engagement(ev, c))
+    assert same(eng.weekly_repeat_users(act, c), eng.weekly_repeat_users(ev, c))
+    assert same(eng.daily_series(act, c, 0), eng.daily_series(ev, c, 0))
+    assert same(eng.failures_by_status(act, c), eng.failures_by_status(ev, c))
+    assert same(eng.sources(act, c), eng.sources(ev, c))
+    ok = ev.where("event_name = 'run_succeeded'").where(F.col("created_at") >= c.start).where(F.col("created_at") < c.end)
+    hist = ok.groupBy("slug", "duration_ms").agg(F.count(F.lit(1)).alias("n"))
+    assert same(feat.feature_table(act, c, latency=hist), feat.feature_table(ev, c))
