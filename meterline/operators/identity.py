@@ -153,3 +153,10 @@ def soft_revoke(keys: DataFrame, requests: DataFrame) -> DataFrame:
     j = keys.join(hits, keys["id"] == hits["key_id"], "left")
     return j.select(*[F.coalesce(F.col("_req"), F.col("revoked_at")).alias("revoked_at") if c == "revoked_at"
                       else keys[c] for c in keys.columns])
+
+
+def end_claimed_sessions(sessions: DataFrame, resolution: DataFrame) -> DataFrame:
+    """When a verified sign-in claims an unconfirmed account (its password is turned
+    off), that account's existing sessions end -- the sessions left afterwards."""
+    claimed = resolution.where(F.col("password_disabled")).select("user_id").distinct()
+    return sessions.join(claimed, "user_id", "left_anti")

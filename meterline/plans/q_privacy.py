@@ -289,3 +289,11 @@ FROM api_keys k LEFT JOIN (SELECT q.key_id, MAX(q.requested_at) AS req FROM (
 def q_key_revocations(spark, sf_dir):
     t = _T(spark, sf_dir)
     return idt.soft_revoke(t.api_keys, ac.revoke_requests(t.m.ev0)).select("id", "user_id", "prefix", "revoked_at")
+
+
+# --- O9 sessions ended by an account claim ----------------------------------------------
+@register("sessions_after_claims", _acc("""SELECT s.user_id, s.token_hash, s.expires_at FROM sessions s
+WHERE s.user_id NOT IN (SELECT user_id FROM ident WHERE password_disabled AND user_id IS NOT NULL)""", *IDENT_CTES))
+def q_sessions_after_claims(spark, sf_dir):
+    t = _T(spark, sf_dir)
+    return idt.end_claimed_sessions(t.sessions, t.ident).select("user_id", "token_hash", "expires_at")

@@ -23,6 +23,8 @@ SCALE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Remove reliable-checkpoint files once their DataFrame is garbage-collected.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Cap on what the planner may broadcast on its own; explicit broadcasts in this
     # library are only applied to fixed-size dimension tables (prices, products, labels).
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
