@@ -23,6 +23,9 @@ SCALE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Skip PySpark's per-call Python call-site capture (error context only); it costs a
+    # JVM round trip per DataFrame/Column call while plans are being built.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Remove reliable-checkpoint files once their DataFrame is garbage-collected.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Cap on what the planner may broadcast on its own; explicit broadcasts in this
