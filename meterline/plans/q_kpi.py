@@ -162,5 +162,6 @@ def q_source_report(spark, sf_dir):
 @register("dashboard_json")
 def q_dashboard_json(spark, sf_dir):
     from meterline.plans.dashboard import dashboard
-    from meterline.sources.derived import Model
-    return dashboard(Model(spark, sf_dir), qe.NOW, 30, TRACKING_SINCE)
+    from meterline.sources.derived import Model, tracking_since
+    m = Model(spark, sf_dir)
+    return dashboard(m, qe.NOW, 30, tracking_since(m.state, qe.NOW))

@@ -306,3 +306,11 @@ class Model:
 
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
+
+
+def tracking_since(state: DataFrame, now_ms: int) -> int:
+    """``tracking_started_at`` from the one-row state table, ``now`` when missing.
+    A 1-row scalar: reading it on the driver is bounded by construction."""
+    row = (state.where(F.col("key") == "tracking_started_at")
+           .agg(F.coalesce(F.max("value"), F.lit(int(now_ms))).alias("v")).first())
+    return int(row.v)
