@@ -26,6 +26,9 @@ SCALE_CONF = {
     # Skip PySpark's per-call Python call-site capture (error context only); it costs a
     # JVM round trip per DataFrame/Column call while plans are being built.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Streaming state off-heap in RocksDB (state larger than executor memory at scale).
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Remove reliable-checkpoint files once their DataFrame is garbage-collected.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Cap on what the planner may broadcast on its own; explicit broadcasts in this
