@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 from meterline.functions.keys import spread_nulls
 
-EMAIL_RE = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
+EMAIL_RE = r"^[^\s@]+@[^\s@]+\.[^\s@]+\z"
 MAX_EMAIL = 254
 KEY_PREFIX = "aa_live_"
 
 
 def normalise_email(c):
-    """Trim + lower-case."""
-    return F.lower(F.trim(c))
+    """Trim (all leading/trailing whitespace, as the service's trim) + lower-case."""
+    return F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
 
 
 def valid_email(c):

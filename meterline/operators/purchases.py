@@ -31,7 +31,7 @@ def purchase_validation(feed: DataFrame, users: DataFrame,
               .when((F.col("bundle_id") != D.BUNDLE_ID) | (F.col("type") != "Consumable")
                     | (F.col("ownership") != "PURCHASED") | (F.col("quantity") != 1) | credit.isNull(),
                     "unsupported_purchase")
-              .when(~F.col("transaction_id").rlike(r"^\d{1,30}$"), "invalid_transaction_id")
+              .when(~F.col("transaction_id").rlike(r"^\d{1,30}\z"), "invalid_transaction_id")
               .when(~F.coalesce(F.lower(F.col("app_account_token")) == F.col("user_token"), F.lit(False)),
                     "different_account")
               .when((F.col("environment") != "Production")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Metered endpoint pattern and API-only slugs.
-METERED_PATH = r"^/api/v1/(run/[^/]+|generate|ai/run/.+)$"
+METERED_PATH = r"^/api/v1/(run/[^/]+|generate|ai/run/.+)\z"  # \z: end of input only
 RUN_PREFIX = "/api/v1/run/"
 
 

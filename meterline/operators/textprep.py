@@ -13,7 +13,9 @@ from meterline.sources import dims as D
 # structured-answer ("meal") caps and the image data-URL prefixes.
 SECRET_PATTERN = r"aa_live_[A-Za-z0-9_-]+"
 SECRET_REDACTION = "aa_live_[redacted]"
-EMPTY_SECTION = r"(?i)\n\n[^\n]+\n- None\.?[ \t]*(?=\n\n|$)"
+# ``\z`` (end of input), not ``$``: in Java ``$`` also matches before a final line
+# terminator, while the service's pattern ends only at the true end of the text.
+EMPTY_SECTION = r"(?i)\n\n[^\n]+\n- None\.?[ \t]*(?=\n\n|\z)"
 MEAL_CAPS = {"calories": 10_000, "protein": 1_000, "carbs": 1_000, "fat": 1_000}
 MEAL_NAME_MAX = 120
 DATA_URL = r"^data:image/(jpeg|png|webp|gif);base64,"

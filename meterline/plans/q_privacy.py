@@ -245,12 +245,12 @@ WAITLIST_SQL = _acc(f"""SELECT r.request_id, CASE WHEN s.status IN ('joined', 'a
   '{ac.WAITLIST_PROJECT}' AS project, s.status FROM wr r JOIN (
   SELECT w.request_id, CASE WHEN w.website <> '' THEN 'honeypot'
     WHEN NOT (regexp_matches(w.email, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$') AND length(w.email) <= 254) THEN 'invalid'
-    WHEN w.email IN (SELECT lower(trim(raw_email)) FROM waitlist_requests WHERE pre_existing) THEN 'already'
+    WHEN w.email IN (SELECT lower(regexp_replace(raw_email, '^\\s+|\\s+$', '', 'g')) FROM waitlist_requests WHERE pre_existing) THEN 'already'
     WHEN w.request_id = f.first_request THEN 'joined' ELSE 'already' END AS status
   FROM wr w LEFT JOIN (SELECT email, MIN(request_id) AS first_request FROM wr WHERE website = ''
     AND regexp_matches(email, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$') AND length(email) <= 254 GROUP BY email) f
   ON f.email = w.email) s ON s.request_id = r.request_id""",
-    "wr AS (SELECT *, lower(trim(raw_email)) AS email FROM waitlist_requests)")
+    "wr AS (SELECT *, lower(regexp_replace(raw_email, '^\\s+|\\s+$', '', 'g')) AS email FROM waitlist_requests)")
 
 
 @register("waitlist_dedupe", WAITLIST_SQL)

@@ -113,7 +113,7 @@ def waitlist_requests(customer: DataFrame) -> DataFrame:
 def existing_waitlist(requests: DataFrame) -> DataFrame:
     """Rows already on the list before the batch (from the marked requests)."""
     return (requests.where(F.col("pre_existing"))
-            .select(F.lower(F.trim(F.col("raw_email"))).alias("email"))
+            .select(F.lower(F.regexp_replace(F.col("raw_email"), r"^\s+|\s+$", "")).alias("email"))
             .withColumn("project", F.lit(WAITLIST_PROJECT)).distinct())
 
 

@@ -11,11 +11,12 @@ def test_g13_waitlist(spark):
     req = spark.createDataFrame([
         (1, "  Pat@Example.com ", ""), (2, "PAT@example.com", ""), (3, "not-an-email", ""),
         (4, "a@b", ""), (5, "a b@c.d", ""), (6, "@x.com", ""), (7, "x@" + "y" * 260 + ".com", ""),
-        (8, "bot@spam.com", "http://spam")], "request_id long, raw_email string, website string")
+        (8, "bot@spam.com", "http://spam"), (9, "\tNew@X.io\n", "")], "request_id long, raw_email string, website string")
     existing = spark.createDataFrame([], "email string, project string")
     out = {r.request_id: (r.status, r.email) for r in idt.waitlist_dedupe(req, existing, "p").collect()}
     assert out[1] == ("joined", "pat@example.com") and out[2] == ("already", "pat@example.com")
     assert all(out[i][0] == "invalid" for i in (3, 4, 5, 6, 7)) and out[8][0] == "honeypot"
+    assert out[9] == ("joined", "new@x.io")  # trim removes tabs/newlines too
 
 
 def test_g14_registry_never_reuses_ids(spark):

@@ -66,7 +66,8 @@ def test_g7_purchase_rejects(spark):
                 environment="Production", revoked=False, signed_date=1000, arrival=1)
     overrides = [dict(product_id="unknown"), dict(quantity=2), dict(ownership="FAMILY_SHARED"),
                  dict(bundle_id="another.app"), dict(environment="Sandbox"), dict(environment="Xcode"),
-                 dict(type="Non-Consumable"), dict(app_account_token=None), dict(transaction_id="bad/id"), {}]
+                 dict(type="Non-Consumable"), dict(app_account_token=None), dict(transaction_id="bad/id"),
+                 dict(transaction_id="123\n"), {}]
     rows = []
     for i, o in enumerate(overrides):
         r = dict(base, id=i, app_account_token="TOKEN")
@@ -77,8 +78,8 @@ def test_g7_purchase_rejects(spark):
         .otherwise(F.col("app_account_token")))
     users = spark.createDataFrame([(1,), (4,)], "id long")
     got = {r.id: r.reject_reason for r in pu.purchase_validation(feed, users).collect()}
-    assert all(got[i] is not None for i in range(9))
-    assert got[9] is None
+    assert all(got[i] is not None for i in range(10))
+    assert got[10] is None
     # allow-listed sandbox account is accepted
     sb = feed.where(F.col("id") == 4).withColumn("user_id", F.lit(4).cast("long")).withColumn(
         "app_account_token", account_token(F.lit(4)))

@@ -45,6 +45,9 @@ def test_g17_drop_empty_sections_and_transcript(spark):
     s = "Summary line\n\nDecisions\n- None\n\nActions\n- Call Bob\n\nRisks\n- none."
     out = col1(spark, [s], lambda c: tp.with_transcript(c, F.lit("hello")))
     assert out == ["Summary line\n\nActions\n- Call Bob\n\nTranscript\nhello"]
+    # A section followed by a lone trailing newline is not at the end of the text: kept.
+    kept = col1(spark, ["S\n\nDecisions\n- None\n", "S\n\nA\n- None\n\nB\n- NONE."], tp.drop_empty_sections)
+    assert kept == ["S\n\nDecisions\n- None\n", "S"]
 
 
 def test_secret_scan_and_redaction(spark):
