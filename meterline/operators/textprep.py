@@ -19,6 +19,15 @@ EMPTY_SECTION = r"(?i)\n\n[^\n]+\n- None\.?[ \t]*(?=\n\n|\z)"
 MEAL_CAPS = {"calories": 10_000, "protein": 1_000, "carbs": 1_000, "fat": 1_000}
 MEAL_NAME_MAX = 120
 DATA_URL = r"^data:image/(jpeg|png|webp|gif);base64,"
+# The service's String.trim(): WhiteSpace (TAB, VT, FF, SP, NBSP, ZWNBSP, Zs) and
+# LineTerminator (LF, CR, LS, PS) characters.
+JS_WS = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+JS_TRIM = f"^{JS_WS}+|{JS_WS}+$"
+
+
+def js_trim(c: Column) -> Column:
+    """String.trim() semantics (Spark's ``trim`` removes spaces only)."""
+    return F.regexp_replace(c, JS_TRIM, "")
 
 
 # ---- X4 / L4 choices ------------------------------------------------------------------
@@ -29,12 +38,12 @@ def parse_choices(text: Column) -> Column:
     drop empties; ``name: description`` at the first colon (position > 0), description
     defaults to the name."""
     parts = F.when(text.rlike("[\n;]"), F.split(text, "[\n;]+")).otherwise(F.split(text, ",+"))
-    items = F.filter(F.transform(parts, lambda c: F.trim(c)), lambda c: c != "")
+    items = F.filter(F.transform(parts, js_trim), lambda c: c != "")
 
     def entry(c):
         at = F.instr(c, ":")
-        name = F.when(at > 1, F.trim(F.substring(c, 1, at - 1))).otherwise(F.trim(c))
-        desc = F.when(at > 1, F.trim(F.substring(c, at + 1, 1 << 30)))
+        name = F.when(at > 1, js_trim(F.substring(c, 1, at - 1))).otherwise(c)
+        desc = F.when(at > 1, js_trim(F.substring(c, at + 1, 1 << 30)))
         desc = F.when(F.coalesce(desc, F.lit("")) == "", name).otherwise(desc)
         return F.struct(name.alias("name"), desc.alias("description"))
 
@@ -61,7 +70,7 @@ def replace_first(s: Column, token: str, value: Column) -> Column:
 
 
 def fill_prompt(template: Column, choice: Column, instructions: Column) -> Column:
-    return F.trim(replace_first(replace_first(template, "{{choice}}", choice), "{{instructions}}", instructions))
+    return js_trim(replace_first(replace_first(template, "{{choice}}", choice), "{{instructions}}", instructions))
 
 
 def wrap_input(prompt: Column, inp: Column) -> Column:
@@ -79,10 +88,10 @@ def prompt_table(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     cat = catalog.select("slug", "model", "system", "prompt", "choices", "image", "acceptsImage",
                          "imageModel", "defaultInstructions", "needsInstructions")
     r = requests.join(F.broadcast(cat), "slug", "left")
-    inp = F.trim(F.coalesce(F.col("input"), F.lit("")))
+    inp = js_trim(F.coalesce(F.col("input"), F.lit("")))
     takes_image = F.coalesce(F.col("image"), F.lit(False)) | F.coalesce(F.col("acceptsImage"), F.lit(False))
     image = takes_image & F.col("has_image")
-    instr = F.coalesce(F.nullif(F.trim(F.coalesce(F.col("instructions"), F.lit(""))), F.lit("")),
+    instr = F.coalesce(F.nullif(js_trim(F.coalesce(F.col("instructions"), F.lit(""))), F.lit("")),
                        F.col("defaultInstructions"), F.lit(""))
     choice = choice_or_first(F.col("choice"), F.col("choices"))
     prompt = fill_prompt(F.col("prompt"), choice, instr)
@@ -125,7 +134,7 @@ def meal_valid(obj_text: Column) -> Column:
     v = F.try_parse_json(obj_text)
     meal = F.try_variant_get(v, "$.meal", "string")
     meal_t = F.schema_of_variant(F.variant_get(v, "$.meal", "variant"))
-    ok = (meal_t == "STRING") & (F.trim(meal) != "") & (F.length(meal) <= MEAL_NAME_MAX)
+    ok = (meal_t == "STRING") & (js_trim(meal) != "") & (F.length(meal) <= MEAL_NAME_MAX)
     for key, cap in MEAL_CAPS.items():
         t = F.schema_of_variant(F.variant_get(v, f"$.{key}", "variant"))
         num = F.try_variant_get(v, f"$.{key}", "double")
@@ -143,7 +152,7 @@ def drop_empty_sections(text: Column) -> Column:
 
 def with_transcript(summary: Column, transcript: Column) -> Column:
     """Cleaned summary followed by the transcript."""
-    return F.concat(drop_empty_sections(F.trim(summary)), F.lit("\n\nTranscript\n"), transcript)
+    return F.concat(drop_empty_sections(js_trim(summary)), F.lit("\n\nTranscript\n"), transcript)
 
 
 def image_url(value: Column) -> Column:

@@ -13,7 +13,9 @@ from meterline.sources.derived import Model
 
 SEARCH_QUERY = "tion"
 SEARCH_LANGS = ("en", "fr")
-TRIM_WS = r"^\s+|\s+$"
+# RE2 spelling of the service's trim() character set (same set as textprep.JS_WS).
+_RE2_WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+TRIM_WS = f"^{_RE2_WS}+|{_RE2_WS}+$"
 
 
 def _m(spark, sf_dir):
@@ -81,28 +83,10 @@ SELECT conv_id, turn, CAST(ROW_NUMBER() OVER (PARTITION BY conv_id, turn ORDER B
   name, description FROM g"""
 
 
-def _ws_trim(c):
-    return F.regexp_replace(c, TRIM_WS, "")
-
-
 @register("conversation_choices", CHOICES_SQL)
 def q_conversation_choices(spark, sf_dir):
     c = _m(spark, sf_dir).table("conversations").where(F.col("role") == "user")
-    t = F.col("text")
-    parts = F.when(t.rlike("[\n;]"), F.split(t, "[\n;]+")).otherwise(F.split(t, ",+"))
-    items = F.filter(F.transform(parts, _ws_trim), lambda x: x != "")
-
-    def entry(x):
-        at = F.instr(x, ":")
-        name = F.when(at > 1, _ws_trim(F.substring(x, 1, at - 1))).otherwise(x)
-        d0 = F.when(at > 1, _ws_trim(F.substring(x, at + 1, 1 << 30))).otherwise(F.lit(""))
-        return F.struct(name.alias("name"), F.when(d0 == "", name).otherwise(d0).alias("description"))
-
-    entries = F.transform(items, entry)
-    m = F.map_from_entries(entries)
-    names = F.array_distinct(F.transform(entries, lambda e: e["name"]))
-    parsed = F.transform(names, lambda n: F.struct(n.alias("name"), m[n].alias("description")))
-    return (c.select("conv_id", "turn", F.posexplode(parsed).alias("i", "ch"))
+    return (c.select("conv_id", "turn", F.posexplode(tp.parse_choices(F.col("text"))).alias("i", "ch"))
             .select("conv_id", "turn", (F.col("i") + 1).cast("long").alias("idx"),
                     F.col("ch.name").alias("name"), F.col("ch.description").alias("description")))
 
@@ -150,10 +134,10 @@ PROMPT_SQL = with_base(f"""SELECT request_id, slug, status, CASE WHEN status = 2
     WHEN needsInstructions IS NOT NULL AND instr = '' THEN 400 ELSE 200 END AS status,
     CASE WHEN prompt2 = '' THEN inp WHEN inp = '' THEN prompt2 ELSE concat(prompt2, chr(10), chr(10), '<input>', chr(10), inp, chr(10), '</input>') END AS content,
     CASE WHEN img AND imageModel IS NOT NULL THEN imageModel ELSE model END AS mdl FROM (
-    SELECT *, trim({_rf(_rf('prompt', '{{choice}}', 'ch'), '{{instructions}}', 'instr')}) AS prompt2 FROM (
-      SELECT r.request_id, r.slug, trim(COALESCE(r.input, '')) AS inp,
+    SELECT *, regexp_replace({_rf(_rf('prompt', '{{choice}}', 'ch'), '{{instructions}}', 'instr')}, '{TRIM_WS}', '', 'g') AS prompt2 FROM (
+      SELECT r.request_id, r.slug, regexp_replace(COALESCE(r.input, ''), '{TRIM_WS}', '', 'g') AS inp,
         (COALESCE(c.image, false) OR COALESCE(c.acceptsImage, false)) AND r.has_image AS img,
-        COALESCE(NULLIF(trim(COALESCE(r.instructions, '')), ''), c.defaultInstructions, '') AS instr,
+        COALESCE(NULLIF(regexp_replace(COALESCE(r.instructions, ''), '{TRIM_WS}', '', 'g'), ''), c.defaultInstructions, '') AS instr,
         CASE WHEN c.choices IS NULL THEN '' WHEN list_contains(c.choices, r.choice) THEN r.choice ELSE c.choices[1] END AS ch,
         c.model, c.system, c.prompt, c.image, c.imageModel, c.needsInstructions
       FROM req r LEFT JOIN catalog c ON c.slug = r.slug)))""", _catalog_values(), REQ_SQL)
@@ -207,11 +191,12 @@ def _num_ok(key: str, cap: int) -> str:
             f"CAST(json_extract(o, '$.{key}') AS DOUBLE) BETWEEN 0 AND {cap})")
 
 
-_MEAL_OK = ("COALESCE(json_type(o, '$.meal') = 'VARCHAR' AND trim(json_extract_string(o, '$.meal')) <> '' "
+_MEAL_OK = ("COALESCE(json_type(o, '$.meal') = 'VARCHAR' AND "
+            f"regexp_replace(json_extract_string(o, '$.meal'), '{TRIM_WS}', '', 'g') <> '' "
             f"AND length(json_extract_string(o, '$.meal')) <= {tp.MEAL_NAME_MAX} AND "
             + " AND ".join(_num_ok(k, c) for k, c in tp.MEAL_CAPS.items()) + ", false)")
 ANSWERS_SQL = with_base(f"""SELECT a.answer_id, a.o IS NOT NULL AS has_object, kk.kept_keys, {_MEAL_OK} AS meal_ok,
-  CASE WHEN {_MEAL_OK} THEN trim(json_extract_string(o, '$.meal')) END AS meal,
+  CASE WHEN {_MEAL_OK} THEN regexp_replace(json_extract_string(o, '$.meal'), '{TRIM_WS}', '', 'g') END AS meal,
   CASE WHEN {_MEAL_OK} THEN CAST(CAST(json_extract(o, '$.calories') AS DOUBLE) AS BIGINT) END AS calories
 FROM ans a LEFT JOIN (SELECT answer_id, array_to_string(list_sort(list(key)), ',') AS kept_keys FROM (
   SELECT answer_id, unnest(json_keys(o)) AS key, o FROM ans WHERE o IS NOT NULL) z
@@ -234,7 +219,7 @@ def q_structured_answers(spark, sf_dir):
     return o.select("answer_id", F.col("o").isNotNull().alias("has_object"),
                     F.when(F.size(keys) > 0, F.array_join(keys, ",")).alias("kept_keys"),
                     ok.alias("meal_ok"),
-                    F.when(ok, F.trim(F.try_variant_get(v, "$.meal", "string"))).alias("meal"),
+                    F.when(ok, tp.js_trim(F.try_variant_get(v, "$.meal", "string"))).alias("meal"),
                     F.when(ok, F.try_variant_get(v, "$.calories", "double").cast("long")).alias("calories"))
 
 
