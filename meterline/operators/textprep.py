@@ -25,6 +25,12 @@ JS_WS = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\
 JS_TRIM = f"^{JS_WS}+|{JS_WS}+$"
 
 
+def js_length(c: Column) -> Column:
+    """String.length: UTF-16 code units (a character above U+FFFF counts twice), which is
+    what the service's size caps and ``ceil(length / 4)`` token estimates measure."""
+    return (F.octet_length(F.encode(c, "UTF-16LE")) / 2).cast("long")
+
+
 def js_trim(c: Column) -> Column:
     """String.trim() semantics (Spark's ``trim`` removes spaces only)."""
     return F.regexp_replace(c, JS_TRIM, "")
@@ -98,7 +104,7 @@ def prompt_table(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     status = (F.when(F.col("model").isNull(), 404)
               .when(F.coalesce(F.col("image"), F.lit(False)) & ~image, 400)
               .when((inp == "") & ~image, 400)
-              .when(F.length(instr) > D.MAX_INSTRUCTIONS, 413)
+              .when(js_length(instr) > D.MAX_INSTRUCTIONS, 413)
               .when(F.col("needsInstructions").isNotNull() & (instr == ""), 400)
               .otherwise(200))
     # Empty prompt: the input itself is the prompt (no wrapping).
@@ -134,7 +140,7 @@ def meal_valid(obj_text: Column) -> Column:
     v = F.try_parse_json(obj_text)
     meal = F.try_variant_get(v, "$.meal", "string")
     meal_t = F.schema_of_variant(F.variant_get(v, "$.meal", "variant"))
-    ok = (meal_t == "STRING") & (js_trim(meal) != "") & (F.length(meal) <= MEAL_NAME_MAX)
+    ok = (meal_t == "STRING") & (js_trim(meal) != "") & (js_length(meal) <= MEAL_NAME_MAX)
     for key, cap in MEAL_CAPS.items():
         t = F.schema_of_variant(F.variant_get(v, f"$.{key}", "variant"))
         num = F.try_variant_get(v, f"$.{key}", "double")
@@ -176,7 +182,7 @@ def secret_scan(df: DataFrame, id_col: str, text_col: str, pattern: str = SECRET
 
 def token_budget(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Characters, estimated tokens ``ceil(chars / 4)`` and the per-request size cap."""
-    n = F.length(F.col(text_col)).cast("long")
+    n = js_length(F.col(text_col))
     return docs.select(id_col, n.alias("chars"), F.ceil(n / F.lit(4)).cast("long").alias("est_tokens"),
                        (n > D.MAX_BODY_CHARS).alias("too_large"))
 

@@ -18,6 +18,11 @@ _RE2_WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{20
 TRIM_WS = f"^{_RE2_WS}+|{_RE2_WS}+$"
 
 
+def _jslen(x: str) -> str:
+    """UTF-16 length in DuckDB: code points + one more per character above U+FFFF."""
+    return f"(length({x}) + length(regexp_replace({x}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))"
+
+
 def _m(spark, sf_dir):
     return Model(spark, sf_dir)
 
@@ -49,18 +54,18 @@ def q_secret_scan(spark, sf_dir):
 
 
 # --- L5 token budgets -------------------------------------------------------------------
-@register("token_budget", """SELECT doc_id, CAST(length(text) AS BIGINT) AS chars,
-  CAST(ceil(length(text) / 4) AS BIGINT) AS est_tokens, length(text) > 200000 AS too_large FROM documents""")
+@register("token_budget", f"""SELECT doc_id, CAST({_jslen('text')} AS BIGINT) AS chars,
+  CAST(ceil({_jslen('text')} / 4) AS BIGINT) AS est_tokens, {_jslen('text')} > 200000 AS too_large FROM documents""")
 def q_token_budget(spark, sf_dir):
     return tp.token_budget(_m(spark, sf_dir).table("documents"), "doc_id", "text")
 
 
-@register("conversation_budget", """SELECT conv_id, CAST(COUNT(*) AS BIGINT) AS turns, CAST(SUM(length(text)) AS BIGINT) AS chars,
-  CAST(ceil(SUM(length(text)) / 4) AS BIGINT) AS est_tokens, SUM(length(text)) > 200000 AS too_large
+@register("conversation_budget", f"""SELECT conv_id, CAST(COUNT(*) AS BIGINT) AS turns, CAST(SUM({_jslen('text')}) AS BIGINT) AS chars,
+  CAST(ceil(SUM({_jslen('text')}) / 4) AS BIGINT) AS est_tokens, SUM({_jslen('text')}) > 200000 AS too_large
 FROM conversations GROUP BY conv_id""")
 def q_conversation_budget(spark, sf_dir):
     c = _m(spark, sf_dir).table("conversations")
-    n = F.sum(F.length("text")).cast("long")
+    n = F.sum(tp.js_length(F.col("text"))).cast("long")
     return (c.groupBy("conv_id").agg(F.count(F.lit(1)).cast("long").alias("turns"), n.alias("chars"))
             .select("conv_id", "turns", "chars", F.ceil(F.col("chars") / F.lit(4)).cast("long").alias("est_tokens"),
                     (F.col("chars") > 200000).alias("too_large")))
@@ -130,7 +135,7 @@ def _rf(s: str, tok: str, val: str) -> str:
 PROMPT_SQL = with_base(f"""SELECT request_id, slug, status, CASE WHEN status = 200 THEN mdl END AS model,
   CASE WHEN status = 200 THEN system END AS system, CASE WHEN status = 200 THEN content END AS content FROM (
   SELECT *, CASE WHEN model IS NULL THEN 404 WHEN COALESCE(image, false) AND NOT img THEN 400
-    WHEN inp = '' AND NOT img THEN 400 WHEN length(instr) > 8000 THEN 413
+    WHEN inp = '' AND NOT img THEN 400 WHEN {_jslen('instr')} > 8000 THEN 413
     WHEN needsInstructions IS NOT NULL AND instr = '' THEN 400 ELSE 200 END AS status,
     CASE WHEN prompt2 = '' THEN inp WHEN inp = '' THEN prompt2 ELSE concat(prompt2, chr(10), chr(10), '<input>', chr(10), inp, chr(10), '</input>') END AS content,
     CASE WHEN img AND imageModel IS NOT NULL THEN imageModel ELSE model END AS mdl FROM (
@@ -191,9 +196,10 @@ def _num_ok(key: str, cap: int) -> str:
             f"CAST(json_extract(o, '$.{key}') AS DOUBLE) BETWEEN 0 AND {cap})")
 
 
+_MEAL_TEXT = "json_extract_string(o, '$.meal')"
 _MEAL_OK = ("COALESCE(json_type(o, '$.meal') = 'VARCHAR' AND "
             f"regexp_replace(json_extract_string(o, '$.meal'), '{TRIM_WS}', '', 'g') <> '' "
-            f"AND length(json_extract_string(o, '$.meal')) <= {tp.MEAL_NAME_MAX} AND "
+            f"AND {_jslen(_MEAL_TEXT)} <= {tp.MEAL_NAME_MAX} AND "
             + " AND ".join(_num_ok(k, c) for k, c in tp.MEAL_CAPS.items()) + ", false)")
 ANSWERS_SQL = with_base(f"""SELECT a.answer_id, a.o IS NOT NULL AS has_object, kk.kept_keys, {_MEAL_OK} AS meal_ok,
   CASE WHEN {_MEAL_OK} THEN regexp_replace(json_extract_string(o, '$.meal'), '{TRIM_WS}', '', 'g') END AS meal,
@@ -343,7 +349,7 @@ def q_request_events(spark, sf_dir):
 # turn, which answers an unlisted "Other"; even conversations nest the answer under "result".
 CLASSIFICATION_SQL = f"""WITH ch AS ({CHOICES_SQL}),
   lists AS (SELECT conv_id, turn, list(name ORDER BY idx) AS names FROM ch GROUP BY conv_id, turn),
-  turns AS (SELECT c.conv_id, c.turn, length(c.text) AS chars, COALESCE(l.names, []::VARCHAR[]) AS names
+  turns AS (SELECT c.conv_id, c.turn, {_jslen('c.text')} AS chars, COALESCE(l.names, []::VARCHAR[]) AS names
     FROM conversations c LEFT JOIN lists l ON l.conv_id = c.conv_id AND l.turn = c.turn WHERE c.role = 'user'),
   ans AS (SELECT *, CASE WHEN turn % 3 = 0 OR len(names) = 0 THEN 'Other' ELSE names[conv_id % len(names) + 1] END AS pick FROM turns),
   js AS (SELECT *, CASE WHEN conv_id % 2 = 0
@@ -364,7 +370,7 @@ def q_classification_answers(spark, sf_dir):
         F.transform(F.array_sort(F.collect_list(F.struct("idx", "name"))), lambda x: x["name"]).alias("names"))
     turns = (_m(spark, sf_dir).table("conversations").where(F.col("role") == "user")
              .join(lists, ["conv_id", "turn"], "left")
-             .select("conv_id", "turn", F.length("text").alias("chars"),
+             .select("conv_id", "turn", tp.js_length(F.col("text")).alias("chars"),
                      F.coalesce("names", F.array().cast("array<string>")).alias("names")))
     n = F.size("names")
     pick = F.when((F.col("turn") % 3 == 0) | (n == 0), F.lit("Other")) \

@@ -103,3 +103,10 @@ def test_catalog_related_featured_public(spark):
 def test_cost_label(spark):
     out = col1(spark, [0.0000001, 0.001109, 0.0123], cg.cost_label, "double")
     assert out[0] == "<0.01¢" and out[1] == "~0.11¢" and out[2] == "~1.2¢"
+
+
+def test_js_length_and_trim(spark):
+    out = col1(spark, ["a\U0001F600", "abc", ""], tp.js_length)
+    assert out == [3, 3, 0]  # a character above U+FFFF is two UTF-16 code units
+    out = col1(spark, ["\t  x y　\n", "﻿z"], tp.js_trim)
+    assert out == ["x y", "z"]
