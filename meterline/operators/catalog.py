@@ -105,3 +105,11 @@ def cost_label(usd: Column) -> Column:
 def result_count(df: DataFrame, by: str = "category") -> DataFrame:
     """Matches per group."""
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("matches"))
+
+
+def categories_without_blocks(catalog: DataFrame, categories: list[str]) -> DataFrame:
+    """J18 (anti): categories (in order) that contain no building block."""
+    spark = catalog.sparkSession
+    cats = spark.createDataFrame([(i, c) for i, c in enumerate(categories)], "cpos int, category string")
+    blocks = catalog.where(F.coalesce(F.col("block"), F.lit(False))).select("category")
+    return cats.join(blocks, "category", "left_anti").orderBy("cpos")

@@ -110,3 +110,20 @@ def test_js_length_and_trim(spark):
     assert out == [3, 3, 0]  # a character above U+FFFF is two UTF-16 code units
     out = col1(spark, ["\t  x y　\n", "﻿z"], tp.js_trim)
     assert out == ["x y", "z"]
+
+
+def test_catalog_category_pruning_and_metadata_merge(spark):
+    from meterline.sources.catalog import catalog_dict
+    cat = read_catalog(spark)
+    cats = catalog_dict()["categories"]
+    assert [r.category for r in cg.visible_categories(cat, cats).collect()] == \
+        ["Building Blocks", "Writing", "Capture", "Everyday"]  # no Productivity items in this catalog
+    hidden = ["snap-calories"]
+    assert "Everyday" not in [r.category for r in cg.visible_categories(cat, cats, hidden).collect()]
+    assert [r.category for r in cg.categories_without_blocks(cat, cats).collect()] == \
+        ["Writing", "Productivity", "Capture", "Everyday"]
+    meta = spark.createDataFrame([("ask-ai", "Text", ["x"]), ("no-such", "Y", ["y"])],
+                                 "slug string, input string, extra array<string>")
+    merged = {r.slug: r for r in cg.merge_metadata(cat, meta).collect()}
+    assert merged["ask-ai"].input == "Text" and merged["ask-ai"].extra == ["x"]
+    assert "no-such" not in merged and merged["tone-shifter"].extra is None
