@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from meterline.functions.keys import spread_nulls
 
+# Email pattern and length cap, API key prefix.
 EMAIL_RE = r"^[^\s@]+@[^\s@]+\.[^\s@]+\z"
 MAX_EMAIL = 254
 KEY_PREFIX = "aa_live_"

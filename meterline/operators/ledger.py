@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from meterline.functions.keys import spread_nulls
 
 HOUR = 3_600_000
+# Largest safe integer of the service's number type; checkout event types
+# that fulfil a payment.
 MAX_SAFE_INTEGER = 9_007_199_254_740_991
 CHECKOUT_TYPES = ("checkout.session.completed", "checkout.session.async_payment_succeeded")
 

@@ -12,6 +12,7 @@ from meterline.sources.derived import account_token
 # Fixed configuration: accounts allowed to redeem sandbox purchases (a short config list,
 # applied as a literal IN-list, never as a data-sized broadcast).
 SANDBOX_USER_IDS = (4, 8, 12, 16, 20)
+# The store notification types that carry a transaction to apply.
 NOTIFICATION_TYPES = ("ONE_TIME_CHARGE", "REFUND", "REVOKE", "REFUND_REVERSED")
 
 

@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# 30-day sessions, the waitlist project key.
 SESSION_MS = 30 * 86_400_000
 DAY = 86_400_000
 WAITLIST_PROJECT = "iPhoneAutomation"
