@@ -14,11 +14,11 @@ RATE_WINDOW_MS = 15 * 60 * 1000
 RATE_MAX = 10
 
 _SB = ", ".join(str(x) for x in pu.SANDBOX_USER_IDS)
-VALIDATION_SQL = with_base("""SELECT id, user_id, transaction_id, seq, environment, revoked, signed_date, arrival,
+VAL_BODY = """SELECT id, user_id, transaction_id, seq, environment, revoked, signed_date, arrival,
   CASE WHEN final IS NULL THEN credit END AS credit_micros, final AS reject_reason FROM (
   SELECT v.*, CASE WHEN v.reason IS NULL AND v.user_id <> o.owner THEN 'already_assigned' ELSE v.reason END AS final
-  FROM v LEFT JOIN own o ON o.environment = v.environment AND o.transaction_id = v.transaction_id)""",
-    f"""v AS (SELECT f.*, CASE f.product_id WHEN 'com.iphoneadvanced.app.credits5' THEN 5000000
+  FROM v LEFT JOIN own o ON o.environment = v.environment AND o.transaction_id = v.transaction_id)"""
+V_CTE = f"""v AS (SELECT f.*, CASE f.product_id WHEN 'com.iphoneadvanced.app.credits5' THEN 5000000
     WHEN 'com.iphoneadvanced.app.credits10' THEN 10000000 WHEN 'com.iphoneadvanced.app.credits25' THEN 25000000
     WHEN 'com.iphoneadvanced.app.credits50' THEN 50000000 END AS credit,
   CASE WHEN u.id IS NULL THEN 'account_deleted'
@@ -29,10 +29,11 @@ VALIDATION_SQL = with_base("""SELECT id, user_id, transaction_id, seq, environme
     WHEN NOT COALESCE(lower(f.app_account_token) = sha256(CAST(u.id AS VARCHAR)), false) THEN 'different_account'
     WHEN f.environment <> 'Production' AND NOT (f.environment = 'Sandbox' AND f.user_id IN ({_SB})) THEN 'sandbox_not_allowed'
   END AS reason
-  FROM store_feed f LEFT JOIN users u ON u.id = f.user_id)""",
-    """own AS (SELECT environment, transaction_id, user_id AS owner FROM (
+  FROM store_feed f LEFT JOIN users u ON u.id = f.user_id)"""
+OWN_CTE = """own AS (SELECT environment, transaction_id, user_id AS owner FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY environment, transaction_id ORDER BY arrival, id) AS rn
-  FROM v WHERE reason IS NULL) WHERE rn = 1)""")
+  FROM v WHERE reason IS NULL) WHERE rn = 1)"""
+VALIDATION_SQL = with_base(VAL_BODY, V_CTE, OWN_CTE)
 
 
 def _validated(m: Model):
@@ -50,13 +51,66 @@ def _states(m: Model):
     return folds.purchase_states(pu.accepted_store_events(_validated(m)), ledger_events)
 
 
-@register("purchase_states")
+_TX_T = "STRUCT(revoked INTEGER, last_signed BIGINT, revision BIGINT, removed BIGINT, credit BIGINT)"
+PURCHASE_STATES_SQL = with_base("""SELECT user_id, event_id, transaction_id, arrival, applied, revision, revoked, delta,
+  balance AS balance_after, ledger_kind, apple_event_id FROM fold WHERE seq > 0 AND source = 'store'""",
+    V_CTE, OWN_CTE, f"val AS ({VAL_BODY})",
+    """ev AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY arrival, source, id) AS seq FROM (
+  SELECT user_id, id, concat(environment, ':', transaction_id) AS transaction_id, credit_micros, revoked, signed_date,
+    arrival, CAST(NULL AS BIGINT) AS amount_micros, 'store' AS source FROM val WHERE reject_reason IS NULL
+  UNION ALL
+  SELECT user_id, id, NULL, NULL, NULL, NULL, created_at, amount_micros, 'ledger' FROM ledger WHERE apple_event_id IS NULL))""",
+    f"""fold AS (SELECT user_id, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS balance,
+    MAP([]::VARCHAR[], []::{_TX_T}[]) AS txs, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS BIGINT) AS event_id,
+    CAST(NULL AS VARCHAR) AS transaction_id, CAST(NULL AS BIGINT) AS arrival, CAST(NULL AS BOOLEAN) AS applied,
+    CAST(NULL AS BIGINT) AS revision, CAST(NULL AS INTEGER) AS revoked, CAST(NULL AS BIGINT) AS delta,
+    CAST(NULL AS VARCHAR) AS ledger_kind, CAST(NULL AS VARCHAR) AS apple_event_id
+  FROM (SELECT DISTINCT user_id FROM ev) d
+  UNION ALL
+  SELECT user_id, seq,
+    CASE WHEN source = 'ledger' THEN CASE WHEN amount_micros >= 0 OR balance >= -amount_micros
+      THEN balance + amount_micros ELSE balance END ELSE balance + delta END,
+    CASE WHEN source = 'ledger' THEN txs ELSE map_concat(txs, MAP([transaction_id], [new_t])) END,
+    source, id, transaction_id, arrival, applied, new_t.revision, new_t.revoked, delta,
+    CASE WHEN applied THEN CASE WHEN nr = 1 THEN 'refund' ELSE 'topup' END END,
+    CASE WHEN applied THEN CASE WHEN new_t.revision = 1 AND nr = 0 THEN concat('purchase:', transaction_id)
+      ELSE concat('state:', transaction_id, ':', CAST(new_t.revision AS VARCHAR)) END END
+  FROM (SELECT *,
+      CASE WHEN applied THEN {{'revoked': nr, 'last_signed': greatest(old.last_signed, signed_date),
+          'revision': old.revision + 1, 'removed': removed, 'credit': old.credit}}::{_TX_T}
+        ELSE {{'revoked': old.revoked, 'last_signed': greatest(old.last_signed, signed_date),
+          'revision': old.revision, 'removed': old.removed, 'credit': old.credit}}::{_TX_T} END AS new_t
+    FROM (SELECT *,
+        CASE WHEN NOT applied THEN 0 WHEN old.revoked = 2 THEN CASE WHEN nr = 1 THEN 0 ELSE old.credit END
+          WHEN nr = 1 THEN -least(old.credit, balance) ELSE old.removed END AS delta,
+        CASE WHEN nr = 1 THEN CASE WHEN old.revoked = 2 THEN old.credit ELSE least(old.credit, balance) END
+          ELSE 0 END AS removed
+      FROM (SELECT *, COALESCE(old.revoked <> nr AND old.last_signed < signed_date, false) AS applied
+        FROM (SELECT f.balance, f.txs, e.*, CAST(CASE WHEN e.revoked THEN 1 ELSE 0 END AS INTEGER) AS nr,
+            CASE WHEN e.source = 'store' THEN COALESCE(f.txs[e.transaction_id],
+              {{'revoked': 2, 'last_signed': 0, 'revision': 0, 'removed': 0, 'credit': e.credit_micros}}::{_TX_T}) END AS old
+          FROM fold f JOIN ev e ON e.user_id = f.user_id AND e.seq = f.seq + 1) s1) s2) s3) s4)""", recursive=True)
+
+
+@register("purchase_states", PURCHASE_STATES_SQL)
 def q_purchase_states(spark, sf_dir):
-    """ST1: per-event result of the purchase state machine (golden-tested, rows-only here)."""
+    """ST1: per-event result of the purchase state machine (oracle: DuckDB recursive CTE)."""
     return _states(Model(spark, sf_dir))
 
 
-@register("store_transaction_states")
+STORE_TX_STATES_SQL = PURCHASE_STATES_SQL.replace(
+    """SELECT user_id, event_id, transaction_id, arrival, applied, revision, revoked, delta,
+  balance AS balance_after, ledger_kind, apple_event_id FROM fold WHERE seq > 0 AND source = 'store'""",
+    """SELECT user_id, transaction_id, revision, revoked, net_delta, applied_events FROM (
+  SELECT user_id, transaction_id, revision, revoked,
+    CAST(SUM(delta) OVER (PARTITION BY user_id, transaction_id) AS BIGINT) AS net_delta,
+    CAST(COUNT(CASE WHEN applied THEN 1 END) OVER (PARTITION BY user_id, transaction_id) AS BIGINT) AS applied_events,
+    ROW_NUMBER() OVER (PARTITION BY user_id, transaction_id ORDER BY arrival DESC, event_id DESC) AS rn
+  FROM fold WHERE seq > 0 AND source = 'store') WHERE rn = 1""")
+assert STORE_TX_STATES_SQL != PURCHASE_STATES_SQL
+
+
+@register("store_transaction_states", STORE_TX_STATES_SQL)
 def q_store_transaction_states(spark, sf_dir):
     """Final state per transaction: the last event's revision/revoked/delta (max_by arrival)."""
     s = _states(Model(spark, sf_dir))
