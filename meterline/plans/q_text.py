@@ -230,7 +230,21 @@ def q_structured_answers(spark, sf_dir):
 
 
 # --- X7 / X13 meeting notes (rows-only: the clean-up needs a look-ahead) -----------------
-@register("meeting_notes")
+def _drop_empty_sections_sql(x: str) -> str:
+    """RE2 has no look-ahead: mark every "\\n\\n" with a sentinel first, consume the sentinel
+    instead of looking ahead (so back-to-back sections still match), then drop sentinels."""
+    marked = f"replace({x}, chr(10) || chr(10), chr(1) || chr(10) || chr(10))"
+    cleaned = f"regexp_replace({marked}, '(?i)\\n\\n[^\\n]+\\n- None\\.?[ \\t]*(\\x01|$)', '\\1', 'g')"
+    return f"replace({cleaned}, chr(1), '')"
+
+
+MEETING_SQL = f"""SELECT conv_id, concat({_drop_empty_sections_sql(f"regexp_replace(COALESCE(summary, ''), '{TRIM_WS}', '', 'g')")},
+  chr(10) || chr(10) || 'Transcript' || chr(10), COALESCE(transcript, '')) AS text FROM (
+  SELECT conv_id, arg_max(text, turn) FILTER (WHERE role = 'assistant') AS summary,
+    arg_min(text, turn) FILTER (WHERE role = 'user') AS transcript FROM conversations GROUP BY conv_id)"""
+
+
+@register("meeting_notes", MEETING_SQL)
 def q_meeting_notes(spark, sf_dir):
     c = _m(spark, sf_dir).table("conversations")
     per = c.groupBy("conv_id").agg(
