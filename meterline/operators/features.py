@@ -58,13 +58,12 @@ def feature_table(events: DataFrame, c: Clock, latency: DataFrame | None = None)
     when ``events`` is a rollup without durations."""
     runs = run_outcomes(events, c.start, c.end).withColumn("day", day_of("created_at"))
     w = weight(runs)
-    cells = (runs.groupBy("slug", "user_id", "day")
-             .agg(F.sum(w).alias("a"),
-                  F.sum(w * _as_int(F.col("event_name") == "run_succeeded")).alias("r"),
-                  F.sum(w * _as_int(F.col("status") == 402)).alias("b")))
-    per_user = (cells.groupBy("slug", "user_id")
-                .agg(F.sum("a").alias("a"), F.sum("r").alias("r"), F.sum("b").alias("b"),
-                     F.sum(_as_int(F.col("r") > 0)).alias("days")))
+    ok = F.col("event_name") == "run_succeeded"
+    # One shuffle by (slug, user): distinct success days are a set bounded by the period.
+    per_user = (runs.groupBy("slug", "user_id")
+                .agg(F.sum(w).alias("a"), F.sum(w * _as_int(ok)).alias("r"),
+                     F.sum(w * _as_int(F.col("status") == 402)).alias("b"),
+                     F.size(F.collect_set(F.when(ok, F.col("day")))).alias("days")))
     per_slug = per_user.groupBy("slug").agg(
         F.sum("a").cast("long").alias("attempts"),
         F.sum("r").cast("long").alias("runs"),
