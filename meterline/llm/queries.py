@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm import simhash
+from meterline.llm import license, quality, simhash
 from meterline.llm.common import table
 
 QUERIES: dict = {}
@@ -17,6 +17,24 @@ def _register(fn):
     return fn
 
 
+@_register
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op1_license_scan"] = license.oracle_sql()
+
+
+@_register
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.ledger(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       (~quality.verdict("base")).alias("base_failed"), quality.verdict("v1").alias("kept"))
+
+
+ORACLE["op3_quality_rules"] = quality.oracle_sql("v1")
+
+
 @_register
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
