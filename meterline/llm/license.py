@@ -73,7 +73,7 @@ def _templates(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 def lower_ascii(text):
     """A-Z to lower case. Other letters change too, but never into or out of an ASCII word: the
     one sign whose lower case is ASCII (the Kelvin sign) is first replaced by another letter."""
-    return F.lower(F.replace(text, F.lit("K"), F.lit("é")))
+    return F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u00e9")))
 
 
 def votes(docs: DataFrame, base=BASE, more=TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

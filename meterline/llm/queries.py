@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm import license, quality, simhash
+from meterline.llm import bitplanes, license, packing, quality, simhash, tokens
 from meterline.llm.common import table
 
 QUERIES: dict = {}
@@ -35,7 +35,19 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op3_quality_rules"] = quality.oracle_sql("v1")
 
 
+@_register
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = bitplanes.write(table(spark, sf_dir, "documents"), bitplanes.folder(spark),
+                               tokens.public_path("byte_bpe_50k.json"))
+    return bitplanes.read(manifest)
+
+
 @_register
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@_register
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokens.public_path("word_bpe_49k.json"))
