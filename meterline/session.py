@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -67,11 +68,10 @@ def apply_conf(spark: SparkSession) -> SparkSession:
     """Pin the semantic settings on an existing session (idempotent)."""
     for k, v in REQUIRED_CONF.items():
         spark.conf.set(k, v)
+    given = spark.sparkContext.getConf()
     for k, v in SCALE_CONF.items():
-        try:
+        if not given.contains(k) and spark.conf.isModifiable(k):  # what the cluster sets itself stays
             spark.conf.set(k, v)
-        except Exception:  # static conf on a running session: leave the cluster's value
-            pass
     ship_package(spark)
     return spark
 
@@ -96,12 +96,15 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) do we set a scratch folder of our own.
+    Only a local session that names none (tests) gets a scratch folder of its own; on a
+    cluster a folder of one machine would be invisible to the others, so that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="meterline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
