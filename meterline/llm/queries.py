@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm import bitplanes, license, packing, quality, simhash, tokens
+from meterline.llm import bitplanes, decontam, license, packing, quality, secret_scan, simhash, tokens
 from meterline.llm.common import table
 
 QUERIES: dict = {}
@@ -25,6 +25,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op1_license_scan"] = license.oracle_sql()
 
 
+@_register
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @_register
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents"))
@@ -35,6 +40,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op3_quality_rules"] = quality.oracle_sql("v1")
 
 
+@_register
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @_register
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = bitplanes.write(table(spark, sf_dir, "documents"), bitplanes.folder(spark),
