@@ -30,13 +30,15 @@ SIMILARITY = 0.8
 RADIUS, BLOCKS = 19, 10
 BLOCK_BYTES = 16 << 20
 _FILTER_BITS = 22
-# Words are runs of letters and digits, A-Z in lower case: other ASCII signs part them.
+# Words are runs of letters and digits in lower case: other ASCII signs part them.
 _WORDS = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32
                for c in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(data: bytes) -> list[bytes]:
+    if not data.isascii():
+        data = data.decode("utf-8", "replace").lower().encode()
     return data.translate(_WORDS).split()
 
 
