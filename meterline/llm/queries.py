@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm import bitplanes, decontam, license, packing, quality, secret_scan, simhash, tokens
+from meterline.llm import bitplanes, chunks, decontam, langid, license, lines, packing, quality, secret_scan, simhash, tokens
 from meterline.llm.common import table
 
 QUERIES: dict = {}
@@ -58,6 +58,24 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@_register
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = langid.held_out()
+    parts = langid.learn(docs.where(~held & F.col("doc_id").isNotNull()), tokens.public_path("piece_bpe_32k.model"))
+    return langid.predict(docs, parts).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 @_register
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens.public_path("word_bpe_49k.json"))
+
+
+@_register
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+@_register
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.repeats(table(spark, sf_dir, "documents")).drop("h")

@@ -55,20 +55,23 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return map_texts(docs, doc_columns(id_col, text_col), "doc_id long, fp long", run)
 
 
-def _block_pairs(radius: int) -> list[int]:
-    """Bit masks of every pair of the ``radius + 2`` blocks that the 64 bits are split into."""
-    n = radius + 2
+def block_masks(radius: int, keep: int) -> list[int]:
+    """Bit masks of every choice of ``keep`` of the ``radius + keep`` blocks that the 64 bits are split into.
+
+    Two fingerprints within ``radius`` bits differ in at most ``radius`` blocks, so they agree on one choice at least.
+    """
+    n = radius + keep
     edges = [64 * i // n for i in range(n + 1)]
     block = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:])]
-    return [block[i] | block[j] for i, j in combinations(range(n), 2)]
+    return [sum(block[i] for i in chosen) for chosen in combinations(range(n), keep)]
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
 def _ball(bits: int) -> list[int]:
-    return [_signed(sum(1 << b for b in c)) for k in range(bits + 1) for c in combinations(range(64), k)]
+    return [signed(sum(1 << b for b in c)) for k in range(bits + 1) for c in combinations(range(64), k)]
 
 
 def close_pairs(fps: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
@@ -82,8 +85,8 @@ def close_pairs(fps: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFr
     if radius == 0:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where(F.lit(False))
     dealt = save(fps.select("fp", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("p"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k"))
-        for i, m in enumerate(_block_pairs(radius))])).alias("s")).select("s.p", "s.k", "fp"), "blocks")
+        F.struct(F.lit(i).alias("p"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k"))
+        for i, m in enumerate(block_masks(radius, 2))])).alias("s")).select("s.p", "s.k", "fp"), "blocks")
     sizes = dealt.groupBy("p", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = save(dealt.join(sizes, ["p", "k"]), "met")
     few = met.where(F.col("n") <= bucket)
@@ -91,9 +94,8 @@ def close_pairs(fps: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFr
              .join(few.select("p", "k", F.col("fp").alias("b")), ["p", "k"]).where("a < b").select("a", "b"))
     reach = (radius + 1) // 2
     many = met.where(F.col("n") > bucket).select("fp").distinct()
-    mids = (many.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(x)) for x in _ball(reach)]))
-                        .alias("mid"))
-            .groupBy("mid").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1"))
+    mids = (many.select("fp", F.explode(F.lit(_ball(reach))).alias("flip"))
+            .select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid")).groupBy("mid").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1"))
     if radius == 2 * reach:  # all members of a midpoint are within the radius of each other: a star connects them
         far = mids.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b"))
     else:
