@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 K = 3
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+PARTING = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # what stands between lower-case words
 # Diagonals of one template that lie this close belong to one span.
 GAP = 8
 # Least share of a template's windows, and greatest length of a span against its template.
