@@ -74,3 +74,33 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 def doc_columns(id_col: str, text_col: str) -> list:
     return [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+
+
+# Numbers in a table that may be broadcast (8 MB); larger ones take part in ordinary joins.
+SMALL = 1_000_000
+
+
+def if_small(df: DataFrame, numbers=None) -> DataFrame:
+    """``df`` marked for broadcast where it holds at most ``SMALL`` numbers (summed over rows), else as it is."""
+    held = df.agg(F.coalesce(F.sum(F.lit(2) if numbers is None else numbers), F.lit(0))).first()[0]
+    return F.broadcast(df) if held <= SMALL else df
+
+
+def text_key(text_col: str = "text"):
+    """Digest that tells the texts of rows with one id apart; null is the empty text."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(row, doc_id, h, text)``: every input row whole in ``row``, so its own column names clash with nothing."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("h"),
+                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose ``(doc_id, h)`` is not in ``gone``, with all their columns."""
+    side = if_small(gone.select(F.col("doc_id").alias("d"), F.col("h").alias("g")).distinct())
+    left = keyed(docs, id_col, text_col).select("row", "doc_id", "h")
+    kept = left.join(side, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left_anti")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterline.llm.common import column, doc_columns, map_texts, text_bytes
+from meterline.llm.common import column, doc_columns, map_texts, save, text_bytes, text_key, without
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -206,3 +206,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, thres
     for k in range(1, passes):
         found = found.union(one_pass(k))
     return found.withColumnsRenamed(dict(zip(names, carry)))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows that hold a passage of a benchmark item, all columns kept."""
+    marked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_key(text_col).alias("h"))
+    found = matches(marked, benchmark, carry=["h"], **options).select("doc_id", "h").distinct()
+    return without(docs, save(found, "contaminated"), id_col, text_col)

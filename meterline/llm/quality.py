@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterline.llm.common import column, doc_columns, map_texts
+from meterline.llm.common import column, doc_columns, map_texts, text_bytes
 
 # Rules in bit order: name and SQL condition over the measurements that is true where a text fails.
 RULES = (
@@ -73,8 +73,6 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
     null ids are kept as they are; columns not named are ignored; empty input gives no rows.
     ``carry`` names columns of the input that are passed through.
     """
-    from meterline.llm.common import text_bytes
-
     kept = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
     names = [f"carry_{i}" for i in range(len(carry))]
     kinds = [docs.schema[c].dataType.simpleString() for c in carry]
@@ -98,6 +96,14 @@ def verdict(policy: str):
     return F.col("failed").bitwiseAND(F.lit(POLICIES[policy])) == 0
 
 
+def accepted(docs: DataFrame, policy: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` that the policy keeps, with all their columns."""
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+                        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = ledger(whole, carry=["row"]).where(verdict(policy))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def ablation(ledger_rows: DataFrame, policy: str) -> DataFrame:
     """``(rule, n_failed, n_rejected_alone, n_kept_without)`` for each rule of a policy, by bitwise aggregation."""
     mask = POLICIES[policy]

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterline.llm.common import column, doc_columns, map_texts, save, text_bytes
+from meterline.llm.common import column, doc_columns, map_texts, save, text_bytes, text_key, without
 from meterline.llm.components import components
 
 # Different fingerprints of one block pair that are still compared with each other directly.
@@ -46,13 +46,15 @@ def fingerprint(data: bytes, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)``: one row per document; ``fp`` is the fingerprint as a signed long."""
+    """``(doc_id, h, fp)``: one row per document; ``fp`` is the fingerprint as a signed long, ``h`` a digest of the text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(t, shingle) for t in text_bytes(batch)], dtype=np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "h"), pa.array(fps)],
+                                          names=["doc_id", "h", "fp"])
 
-    return map_texts(docs, doc_columns(id_col, text_col), "doc_id long, fp long", run)
+    return map_texts(docs, [*doc_columns(id_col, text_col), text_key(text_col).alias("h")],
+                     "doc_id long, h long, fp long", run)
 
 
 def block_masks(radius: int, keep: int) -> list[int]:
@@ -106,7 +108,7 @@ def close_pairs(fps: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFr
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp, component_id)``: one row per input row.
+    """``(doc_id, h, fp, root, component_id)``: one row per input row; ``root`` is the least fingerprint reachable.
 
     ``component_id`` is the least doc_id whose fingerprint is reachable over links of at most
     ``radius`` bits. Null and blank texts have fingerprint zero and link like any other;
@@ -119,5 +121,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
     named = least.join(roots, least["fp"] == roots["node"], "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = named.join(ids, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = named.join(ids, "root").select("fp", "root", "component_id")
+    return marked.join(by_fp, "fp").select("doc_id", "h", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, all its columns kept: the row that has the component's id.
+
+    Where rows repeat that id, the one with the least text digest stays; of rows equal in id and
+    text, one. A component without any id keeps one row all the same.
+    """
+    found = save(near_duplicates(docs, shingle, radius, id_col, text_col), "near-duplicates")
+    names = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    stays = found.where(names).groupBy("root").agg(F.min("h").alias("stays"))
+    gone = found.join(stays, "root").where(~(names & (F.col("h") == F.col("stays")))).select("doc_id", "h")
+    kept = without(docs, save(gone, "near-gone"), id_col, text_col)
+    if found.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        kept = kept.dropDuplicates([id_col, text_col])
+    return kept
