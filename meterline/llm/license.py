@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meterline.llm.common import save
+
 K = 3
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PARTING = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # what stands between lower-case words
@@ -84,9 +86,10 @@ def votes(docs: DataFrame, base=BASE, more=TEMPLATES, id_col: str = "doc_id", te
     the text, so rows that share an id stay apart unless they are equal (``n_rows``).
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    words = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"),
-        F.regexp_extract_all(lower_ascii(text), F.lit(f"({WORD})"), F.lit(1)).alias("words"))
+    words = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"),
+                         F.trim(F.regexp_replace(lower_ascii(text), PARTING, " ")).alias("norm"))
+             .select("doc_id", "h", F.when(F.col("norm") == "", F.array().cast("array<string>"))
+                     .otherwise(F.split("norm", " ")).alias("words")))
     n_words = F.size("words")
     # position -1 is the text itself; 0 .. n-K are its windows
     placed = words.select("doc_id", "h", "words", n_words.alias("n_words"),
@@ -132,7 +135,7 @@ def scan(docs: DataFrame, base=BASE, more=TEMPLATES, id_col: str = "doc_id", tex
     row; null ids are kept. ``score`` is the greatest share of a template's windows seen in
     one span. Columns other than the two named are ignored. Empty input gives no rows.
     """
-    voted = votes(docs, base, more, id_col, text_col)
+    voted = save(votes(docs, base, more, id_col, text_col), "license-votes")
     found = spans(voted).groupBy("doc_id", "h").agg(
         F.sum(F.when(F.col("is_base"), F.col("places"))).alias("n_base"),
         F.min(F.when(F.col("is_base"), F.col("first"))).alias("first_word"),
