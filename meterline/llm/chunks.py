@@ -7,8 +7,9 @@ boundary inside it beyond the first four words. Equal chunks are found by 64-bit
 then place) stays; later ones are duplicates, and runs of neighbouring duplicate chunks of at least ``MIN_WORDS`` words are
 the repeated passages.
 
-Digests are counted with a map-side combine, and only digests that occur twice go back to their places in a join
-that Spark may split, so a passage that a third of all texts share is no task's group.
+Each text settles what it repeats itself. Digests are then looked at as two longs each, combined map-side; those
+that occur in two documents are written out and joined to their places, both sides as plain exchanges that Spark may
+split, so a passage that a third of all texts share is no task's group.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from meterline.llm.common import column, doc_columns, map_texts, save, text_byte
 AVERAGE = 5
 LONGEST = 64  # words after which a chunk ends in any case
 MIN_WORDS = 16
+NO_ID = -(1 << 63)
 
 
 def cuts(gears: np.ndarray, average: int = AVERAGE, longest: int = LONGEST) -> np.ndarray:
@@ -58,42 +60,66 @@ def chunk(data: bytes, average: int = AVERAGE, longest: int = LONGEST) -> tuple[
 
 def chunked(docs: DataFrame, average: int = AVERAGE, longest: int = LONGEST, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
-    """``(doc_id, h, digests, ends)``: one row per text with its chunk digests and ends; ``h`` tells texts of one id apart."""
+    """``(doc_id, h, fresh, again)``: one row per text; ``h`` tells texts of one id apart.
+
+    ``fresh`` are the chunks that stand in the text for the first time (digest, place, start and end word),
+    ``again`` those that the text itself repeats (place, start, end).
+    """
+
+    def spots(picked: list, names: list[str]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, picked)])
+        flat = [row for rows in picked for row in rows]
+        cols = list(zip(*flat)) or [()] * len(names)
+        arrays = [pa.array(np.array(c, dtype=np.uint64).view(np.int64)) if n == "digest" else pa.array(c, pa.int32())
+                  for n, c in zip(names, cols)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(arrays, names))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        marks, digests, ends = [], [], []
+        marks, fresh, again = [], [], []
         for data in text_bytes(batch):
-            d, e = chunk(data, average, longest)
+            digests, ends = chunk(data, average, longest)
             marks.append(xxhash.xxh3_64_intdigest(data))
-            digests.append(np.array(d, dtype=np.uint64).view(np.int64))
-            ends.append(e.astype(np.int32))
+            seen: set[int] = set()
+            new, old, lo = [], [], 0
+            for place, (digest, hi) in enumerate(zip(digests, ends.tolist())):
+                if digest in seen:
+                    old.append((place, lo, hi))
+                else:
+                    seen.add(digest)
+                    new.append((digest, place, lo, hi))
+                lo = hi
+            fresh.append(new)
+            again.append(old)
         return pa.RecordBatch.from_arrays(
             [column(batch, "doc_id"), pa.array(np.array(marks, dtype=np.uint64).view(np.int64)),
-             pa.array(digests, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int32()))],
-            names=["doc_id", "h", "digests", "ends"])
+             spots(fresh, ["digest", "place", "start", "end"]), spots(again, ["place", "start", "end"])],
+            names=["doc_id", "h", "fresh", "again"])
 
-    return map_texts(docs, doc_columns(id_col, text_col), "doc_id long, h long, digests array<long>, ends array<int>", run)
+    spot = "place:int,start:int,end:int"
+    return map_texts(docs, doc_columns(id_col, text_col), f"doc_id long, h long, fresh array<struct<digest:bigint,{spot}>>, "
+                                                          f"again array<struct<{spot}>>", run)
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, average: int = AVERAGE, longest: int = LONGEST,
             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, h, start_word, n_words, n_chunks, first_doc_id)``: one row per repeated passage.
 
-    The passage stands earlier as well: its first chunk first in ``first_doc_id``. Null and
-    empty texts have no chunks. Rows equal in id and text count as one text; rows with null
-    ids order first. Runs of fewer than ``min_words`` words are no passages. Empty input gives no rows.
+    The passage stands earlier as well: its first chunk first in ``first_doc_id`` (its own text where that repeats
+    itself). Null and empty texts have no chunks. Rows that share an id count as one document, and so do all rows without
+    an id (before all others): what they have in common is not reported. Runs of fewer than
+    ``min_words`` words are no passages. Empty input gives no rows.
     """
     table = save(chunked(docs, average, longest, id_col, text_col), "chunks")
-    spots = table.select("doc_id", "h", F.posexplode("digests").alias("place", "digest"))
-    spot = F.struct("doc_id", "h", "place")
-    twice = (spots.groupBy("digest").agg(F.min(spot).alias("first"), F.max(spot).alias("last"))
-             .where("first <> last").select("digest", "first"))
-    later = (table.select("doc_id", "h", "ends", F.posexplode("digests").alias("place", "digest"))
-             .select("doc_id", "h", "place", "digest",
-                     F.when(F.col("place") > 0, F.get("ends", F.col("place") - 1)).otherwise(F.lit(0)).alias("start"),
-                     F.get("ends", "place").alias("end"))
-             .join(twice, "digest").where(~spot.eqNullSafe(F.col("first")))
-             .select("doc_id", "h", "place", "start", "end", F.col("first.doc_id").alias("first_doc_id")).distinct())
+    owner = F.coalesce("doc_id", F.lit(NO_ID)).alias("owner")
+    # two longs a chunk: a passage's digests collapse to one row a task before the shuffle
+    twice = save(table.select(owner, F.explode("fresh.digest").alias("digest")).groupBy("digest")
+                 .agg(F.min("owner").alias("first"), F.max("owner").alias("last")).where("first < last")
+                 .select("digest", "first"), "chunks-twice")
+    fresh = table.select("doc_id", "h", F.inline("fresh")).select("doc_id", "h", "digest", "place", "start", "end", owner)
+    later = (fresh.join(twice, "digest").where("owner > first")
+             .select("doc_id", "h", "place", "start", "end", F.nullif("first", F.lit(NO_ID)).alias("first_doc_id"))
+             .union(table.select("doc_id", "h", F.inline("again")).select("doc_id", "h", "place", "start", "end", "doc_id"))
+             .distinct())
     order = Window.partitionBy("doc_id", "h").orderBy("place")
     runs = later.withColumn("run", F.col("place") - F.row_number().over(order))
     return (runs.groupBy("doc_id", "h", "run")
