@@ -7,16 +7,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterline.functions.keys import spread_nulls
+from meterline.functions.text import JS_TRIM, JS_WS
 
 # Email pattern and length cap, API key prefix.
-EMAIL_RE = r"^[^\s@]+@[^\s@]+\.[^\s@]+\z"
+_PART = rf"[^@{JS_WS[1:-1]}]+"
+EMAIL_RE = rf"^{_PART}@{_PART}\.{_PART}\z"
 MAX_EMAIL = 254
 KEY_PREFIX = "aa_live_"
 
 
 def normalise_email(c):
     """Trim (all leading/trailing whitespace, as the service's trim) + lower-case."""
-    return F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    return F.lower(F.regexp_replace(c, JS_TRIM, ""))
 
 
 def valid_email(c):

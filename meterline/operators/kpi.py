@@ -74,11 +74,10 @@ def label_table(spark, mapping: dict, key_type: str, name: str) -> DataFrame:
 
 
 def with_status_label(df: DataFrame) -> DataFrame:
-    """Status label with fallback to the code itself."""
+    """Status label; unlisted and missing codes are other failures."""
     lab = label_table(df.sparkSession, STATUS_LABELS, "int", "label")
     j = df.join(F.broadcast(lab), df["status"] == lab["key"], "left").drop("key")
-    return j.withColumn("label", F.coalesce(F.col("label"), F.concat(F.lit("HTTP "), F.col("status").cast("string")),
-                                            F.lit("Unknown")))
+    return j.withColumn("label", F.coalesce(F.col("label"), F.lit("Other failure")))
 
 
 def with_source_label(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterline.functions.keys import spread_nulls
+from meterline.functions.text import JS_TRIM
 
 HOUR = 3_600_000
 # Largest safe integer of the service's number type; checkout event types
@@ -20,9 +21,35 @@ CHECKOUT_TYPES = ("checkout.session.completed", "checkout.session.async_payment_
 
 def usd(micros: Column, digits: int = 2) -> Column:
     """Micro-dollars as ``$x.xx`` (fixed digits, sign before the dollar sign)."""
+    body = fixed_text(F.abs(micros).cast("long"), digits)
+    return F.when(micros < 0, F.concat(F.lit("-$"), body)).otherwise(F.concat(F.lit("$"), body))
+
+
+def fixed_text(micros: Column, digits: int = 2) -> Column:
+    """``(micros / 1e6).toFixed(digits)`` of a non-negative integer: the exact value of the double is
+    rounded, so a decimal tie goes to the side on which its nearest double lies.
+
+    Only ties need the double: its fraction is split in two parts of at most 27 bits, whose
+    products with the scale are exact, and compared with the tie.
+    """
+    unit = 10 ** (6 - digits)
     v = micros / F.lit(1_000_000.0)
-    body = F.format_string(f"%.{digits}f", F.abs(v))
-    return F.when(v < 0, F.concat(F.lit("-$"), body)).otherwise(F.concat(F.lit("$"), body))
+    frac = v - F.floor(v)
+    high = F.floor(frac * F.lit(float(1 << 26))) / F.lit(float(1 << 26))
+    scale = F.lit(float(10 ** (digits + 1)))
+    tie = ((micros % 1_000_000) / F.lit(unit / 10)).cast("double")
+    above = (high * scale - tie) + (frac - high) * scale >= 0
+    rest = micros % unit
+    n = F.expr("0L") + F.floor(micros / F.lit(unit)).cast("long") \
+        + F.when(rest * 2 > unit, 1).when((rest * 2 == unit) & above, 1).otherwise(0)
+    whole = F.floor(n / F.lit(10 ** digits)).cast("long")
+    return F.concat(whole.cast("string"), F.lit("."), F.lpad((n % 10 ** digits).cast("string"), digits, "0"))
+
+
+def history_amount(micros: Column) -> Column:
+    """Amount of a history row: its sign, four digits below a cent (10,000 micros) and two from there."""
+    body = F.when(F.abs(micros) < 10_000, fixed_text(F.abs(micros), 4)).otherwise(fixed_text(F.abs(micros), 2))
+    return F.concat(F.when(micros > 0, "+").otherwise("\u2212"), F.lit("$"), body)
 
 
 def ledger_balances(ledger: DataFrame, users: DataFrame) -> DataFrame:
@@ -69,7 +96,15 @@ def user_history(ledger: DataFrame, n: int = 25) -> DataFrame:
 
 def safe_positive_int(s: Column) -> Column:
     """F16 / note 17: JS ``Number(x)`` that is a safe integer > 0, else NULL."""
-    d = s.try_cast("double")
+    t = F.regexp_replace(s, JS_TRIM, "")
+    number = t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z")  # not Java's 1d, 5f, NaN
+    base = (F.when(t.rlike(r"^0[xX][0-9a-fA-F]+\z"), 16).when(t.rlike(r"^0[oO][0-7]+\z"), 8)
+            .when(t.rlike(r"^0[bB][01]+\z"), 2))
+    # 2^53 has 54 binary, 18 octal, 14 hexadecimal digits: longer ones (leading zeros apart) are not safe
+    body = F.regexp_replace(F.substring(t, 3, 1 << 30), r"^0+(?=.)", "")
+    whole = F.coalesce(*[F.when((base == b) & (F.length(body) <= most), F.conv(body, b, 10))
+                         for b, most in ((16, 14), (8, 18), (2, 54))])
+    d = F.coalesce(F.when(number, t.try_cast("double")), whole.cast("double"))
     ok = (d.isNotNull() & ~F.isnan(d) & (d >= 1) & (d <= F.lit(float(MAX_SAFE_INTEGER)))
           & ((d % F.lit(1.0)) == 0))
     return F.when(ok, d.cast("long"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterline.operators.folds import store_product_credit
+from meterline.operators.ledger import MAX_SAFE_INTEGER
 from meterline.sources import dims as D
 from meterline.sources.derived import account_token
 
@@ -20,7 +21,7 @@ def purchase_validation(feed: DataFrame, users: DataFrame,
                         sandbox_ids=SANDBOX_USER_IDS) -> DataFrame:
     """F17 + J9: first failing rule per delivered transaction state, NULL when accepted.
 
-    Rules in order: account must exist; bundle, consumable type, purchased ownership,
+    Rules in order: account must exist; a positive safe-integer signing date; bundle, consumable type, purchased ownership,
     quantity 1 and a listed product; numeric id of 1-30 digits; the transaction's account
     token (case-insensitive) equals the account's; production, or sandbox for an
     allow-listed account; and (J12) no other account redeemed the transaction first.
@@ -28,15 +29,22 @@ def purchase_validation(feed: DataFrame, users: DataFrame,
     accounts = users.select(F.col("id").alias("user_id"), account_token(F.col("id")).alias("user_token"))
     j = feed.join(accounts, "user_id", "left")
     credit = store_product_credit("product_id")
+
+
+    def differs(name, value):  # a missing field is a different one
+        return ~F.col(name).eqNullSafe(F.lit(value))
+
+    signed = F.coalesce(F.col("signed_date").between(1, MAX_SAFE_INTEGER), F.lit(False))
     reason = (F.when(F.col("user_token").isNull(), "account_deleted")
-              .when((F.col("bundle_id") != D.BUNDLE_ID) | (F.col("type") != "Consumable")
-                    | (F.col("ownership") != "PURCHASED") | (F.col("quantity") != 1) | credit.isNull(),
+              .when(~signed, "missing_date")
+              .when(differs("bundle_id", D.BUNDLE_ID) | differs("type", "Consumable")
+                    | differs("ownership", "PURCHASED") | differs("quantity", 1) | credit.isNull(),
                     "unsupported_purchase")
-              .when(~F.col("transaction_id").rlike(r"^\d{1,30}\z"), "invalid_transaction_id")
+              .when(~F.coalesce(F.col("transaction_id").rlike(r"^\d{1,30}\z"), F.lit(False)), "invalid_transaction_id")
               .when(~F.coalesce(F.lower(F.col("app_account_token")) == F.col("user_token"), F.lit(False)),
                     "different_account")
-              .when((F.col("environment") != "Production")
-                    & ~((F.col("environment") == "Sandbox") & F.col("user_id").isin(*sandbox_ids)),
+              .when(differs("environment", "Production")
+                    & (differs("environment", "Sandbox") | ~F.col("user_id").isin(*sandbox_ids)),
                     "sandbox_not_allowed"))
     v = j.withColumn("_reason", reason)
     # A transaction belongs to the first account that redeemed it (by arrival); the
@@ -55,7 +63,7 @@ def purchase_validation(feed: DataFrame, users: DataFrame,
 def accepted_store_events(validated: DataFrame) -> DataFrame:
     """Accepted states keyed as ``environment:transactionId`` for the state machine."""
     return (validated.where(F.col("reject_reason").isNull())
-            .select("user_id", "id", F.concat_ws(":", "environment", "transaction_id").alias("transaction_id"),
+            .select("user_id", "id", F.concat("environment", F.lit(":"), "transaction_id").alias("transaction_id"),
                     "credit_micros", "revoked", "signed_date", "arrival"))
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterline.functions.text import JS_TRIM
 from meterline.sources import dims as D
 
 # The service's key format, the "empty section" clean-up pattern, the
@@ -19,10 +20,7 @@ EMPTY_SECTION = r"(?i)\n\n[^\n]+\n- None\.?[ \t]*(?=\n\n|\z)"
 MEAL_CAPS = {"calories": 10_000, "protein": 1_000, "carbs": 1_000, "fat": 1_000}
 MEAL_NAME_MAX = 120
 DATA_URL = r"^data:image/(jpeg|png|webp|gif);base64,"
-# The service's String.trim(): WhiteSpace (TAB, VT, FF, SP, NBSP, ZWNBSP, Zs) and
-# LineTerminator (LF, CR, LS, PS) characters.
-JS_WS = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
-JS_TRIM = f"^{JS_WS}+|{JS_WS}+$"
+MAX_INDEX = 4_294_967_295  # array indices lie below it
 
 
 def js_length(c: Column) -> Column:
@@ -56,7 +54,13 @@ def parse_choices(text: Column) -> Column:
     entries = F.transform(items, entry)
     # LAST_WIN map dedup keeps the last description per name.
     m = F.map_from_entries(entries)
-    names = F.array_distinct(F.transform(entries, lambda e: e["name"]))
+    seen = F.array_distinct(F.transform(entries, lambda e: e["name"]))
+    # own keys of an object: array indices first in ascending order, then names as they came
+    at = F.transform(seen, lambda n: F.struct(
+        F.when(n.rlike(r"^(0|[1-9]\d{0,9})\z"), n.try_cast("long")).alias("i"), n.alias("n")))
+    index = F.filter(at, lambda e: F.coalesce(e["i"] < MAX_INDEX, F.lit(False)))
+    others = F.filter(at, lambda e: ~F.coalesce(e["i"] < MAX_INDEX, F.lit(False)))
+    names = F.transform(F.concat(F.array_sort(index), others), lambda e: e["n"])
     return F.transform(names, lambda n: F.struct(n.alias("name"), m[n].alias("description")))
 
 

@@ -14,7 +14,7 @@ weeks), which is what ``collect_list`` gathers into the single JSON row.
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterline.functions.clock import DAY, clock, day_of
@@ -29,8 +29,8 @@ def _one(df: DataFrame, name: str) -> DataFrame:
     return df.select(F.struct(*df.columns).alias(name))
 
 
-def _many(df: DataFrame, name: str, order: list[str]) -> DataFrame:
-    s = F.struct(*[F.col(c) for c in order], F.struct(*df.columns).alias("_row"))
+def _many(df: DataFrame, name: str, order: list) -> DataFrame:
+    s = F.struct(*[c if isinstance(c, Column) else F.col(c) for c in order], F.struct(*df.columns).alias("_row"))
     return df.agg(F.transform(F.array_sort(F.collect_list(s)), lambda x: x["_row"]).alias(name))
 
 
@@ -69,9 +69,9 @@ def dashboard(m: Model, now_ms: int, days, tracking_since: int) -> DataFrame:
         _many(cohorts, "cohorts", ["week"]),
         _one(coh.cohort_totals(cohorts), "totals"),
         _one(money.money_summary(m.users, act, m.ledger, m.store_transactions, c), "money"),
-        _many(eng.failures_by_status(act, c), "failures", ["attempts"]),
-        _many(feat.feature_table(act, c, latency=latency_histogram(m, c)), "features", ["users", "runs"]),
-        _many(eng.sources(act, c), "sources", ["runs"]),
+        _many(eng.failures_by_status(act, c), "failures", [-F.col("attempts"), F.col("status").isNull(), "status"]),
+        _many(feat.feature_table(act, c, latency=latency_histogram(m, c)), "features", [-F.col("users"), -F.col("runs"), F.col("slug").isNull(), "slug"]),
+        _many(eng.sources(act, c), "sources", [-F.col("runs"), F.col("source").isNotNull(), "source"]),
         _one(eng.today(today_ev, c), "today"),
         _many(eng.daily_series(act, c, tracking_since), "daily", ["day"]),
     ]
@@ -85,10 +85,8 @@ def dashboard(m: Model, now_ms: int, days, tracking_since: int) -> DataFrame:
                  F.lit(tracking_since <= c.previous_start).alias("comparison"),
                  F.lit(tracking_since <= c.end - 14 * DAY).alias("weekly")).alias("coverage"),
         "current", "previous", "weekly", "cohorts", "totals", "money",
-        # descending orders of the service: failures by attempts, features by users/runs, sources by runs
-        F.reverse("failures").alias("failures"), F.reverse("features").alias("features"),
-        F.reverse("sources").alias("sources"), "today", "daily")
-    return out.select(F.lit(c.days).alias("days"), F.to_json(doc).alias("json"))
+        "failures", "features", "sources", "today", "daily")
+    return out.select(F.lit(c.days).alias("days"), F.to_json(doc, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def export_dashboard(df: DataFrame, path: str) -> None:

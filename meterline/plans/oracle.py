@@ -69,11 +69,11 @@ BASE_CTES = {
     "store_feed": """store_feed AS (
       WITH sb AS (SELECT event_id, user_id, k, created_at,
         CASE WHEN k % 59 = 0 THEN concat(CAST(event_id AS VARCHAR), '/x') ELSE CAST(event_id AS VARCHAR) END AS transaction_id,
-        CASE WHEN k % 19 = 0 THEN 'com.other.app' ELSE 'com.iphoneadvanced.app' END AS bundle_id,
+        CASE WHEN k % 19 = 0 THEN 'com.other.app' ELSE 'com.example.credits' END AS bundle_id,
         CASE WHEN k % 29 = 0 THEN 'Non-Consumable' ELSE 'Consumable' END AS type,
         CASE WHEN k % 31 = 0 THEN 'FAMILY_SHARED' ELSE 'PURCHASED' END AS ownership,
         CASE WHEN k % 37 = 0 THEN 2 ELSE 1 END AS quantity,
-        CASE WHEN k % 41 = 0 THEN 'unknown' ELSE concat('com.iphoneadvanced.app.credits',
+        CASE WHEN k % 41 = 0 THEN 'unknown' ELSE concat('com.example.credits',
           CASE k % 4 WHEN 0 THEN '5' WHEN 1 THEN '10' WHEN 2 THEN '25' ELSE '50' END) END AS product_id,
         CASE WHEN k % 5 = 3 THEN 'Production' WHEN k % 43 = 0 THEN 'Xcode' ELSE 'Sandbox' END AS environment,
         CASE WHEN k % 47 = 0 THEN sha256(CAST(user_id + 1 AS VARCHAR)) WHEN k % 53 = 0 THEN NULL

@@ -142,7 +142,7 @@ _SOURCE_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in kpi.SOURCE_LABELS.items
 
 
 @register("failure_report", f"""WITH lab(status, label) AS (VALUES {_STATUS_VALUES})
-SELECT f.status, COALESCE(l.label, concat('HTTP ', CAST(f.status AS VARCHAR)), 'Unknown') AS label, f.attempts, f.users
+SELECT f.status, COALESCE(l.label, 'Other failure') AS label, f.attempts, f.users
 FROM ({qe.FAILURES_SQL}) f LEFT JOIN lab l ON l.status = f.status""")
 def q_failure_report(spark, sf_dir):
     f = qe.q_failures_by_status(spark, sf_dir)

@@ -18,16 +18,18 @@ VAL_BODY = """SELECT id, user_id, transaction_id, seq, environment, revoked, sig
   CASE WHEN final IS NULL THEN credit END AS credit_micros, final AS reject_reason FROM (
   SELECT v.*, CASE WHEN v.reason IS NULL AND v.user_id <> o.owner THEN 'already_assigned' ELSE v.reason END AS final
   FROM v LEFT JOIN own o ON o.environment = v.environment AND o.transaction_id = v.transaction_id)"""
-V_CTE = f"""v AS (SELECT f.*, CASE f.product_id WHEN 'com.iphoneadvanced.app.credits5' THEN 5000000
-    WHEN 'com.iphoneadvanced.app.credits10' THEN 10000000 WHEN 'com.iphoneadvanced.app.credits25' THEN 25000000
-    WHEN 'com.iphoneadvanced.app.credits50' THEN 50000000 END AS credit,
+V_CTE = f"""v AS (SELECT f.*, CASE f.product_id WHEN 'com.example.credits5' THEN 5000000
+    WHEN 'com.example.credits10' THEN 10000000 WHEN 'com.example.credits25' THEN 25000000
+    WHEN 'com.example.credits50' THEN 50000000 END AS credit,
   CASE WHEN u.id IS NULL THEN 'account_deleted'
-    WHEN f.bundle_id <> 'com.iphoneadvanced.app' OR f.type <> 'Consumable' OR f.ownership <> 'PURCHASED' OR f.quantity <> 1
-      OR f.product_id NOT IN ('com.iphoneadvanced.app.credits5', 'com.iphoneadvanced.app.credits10',
-        'com.iphoneadvanced.app.credits25', 'com.iphoneadvanced.app.credits50') THEN 'unsupported_purchase'
-    WHEN NOT regexp_full_match(f.transaction_id, '\\d{{1,30}}') THEN 'invalid_transaction_id'
+    WHEN NOT COALESCE(f.signed_date BETWEEN 1 AND 9007199254740991, false) THEN 'missing_date'
+    WHEN f.bundle_id IS DISTINCT FROM 'com.example.credits' OR f.type IS DISTINCT FROM 'Consumable'
+      OR f.ownership IS DISTINCT FROM 'PURCHASED' OR f.quantity IS DISTINCT FROM 1 OR f.product_id IS NULL
+      OR f.product_id NOT IN ('com.example.credits5', 'com.example.credits10',
+        'com.example.credits25', 'com.example.credits50') THEN 'unsupported_purchase'
+    WHEN NOT COALESCE(regexp_full_match(f.transaction_id, '\\d{{1,30}}'), false) THEN 'invalid_transaction_id'
     WHEN NOT COALESCE(lower(f.app_account_token) = sha256(CAST(u.id AS VARCHAR)), false) THEN 'different_account'
-    WHEN f.environment <> 'Production' AND NOT (f.environment = 'Sandbox' AND f.user_id IN ({_SB})) THEN 'sandbox_not_allowed'
+    WHEN f.environment IS DISTINCT FROM 'Production' AND NOT (f.environment IS NOT DISTINCT FROM 'Sandbox' AND f.user_id IN ({_SB})) THEN 'sandbox_not_allowed'
   END AS reason
   FROM store_feed f LEFT JOIN users u ON u.id = f.user_id)"""
 OWN_CTE = """own AS (SELECT environment, transaction_id, user_id AS owner FROM (

@@ -10,10 +10,12 @@ from pyspark.sql import SparkSession
 
 # Settings the library's semantics depend on (not tuning knobs):
 #  * UTC day boundaries for every epoch-ms <-> timestamp conversion,
-#  * LAST_WIN map-key dedup so parsed choice lists keep the last duplicate.
+#  * LAST_WIN map-key dedup so parsed choice lists keep the last duplicate, and the same for
+#    repeated names in JSON objects.
 REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 # Scale defaults: AQE re-plans joins and coalesces / splits partitions at runtime,

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 # 30-day sessions, the waitlist project key.
 SESSION_MS = 30 * 86_400_000
 DAY = 86_400_000
-WAITLIST_PROJECT = "iPhoneAutomation"
+WAITLIST_PROJECT = "product-updates"
 
 
 def accounts(users: DataFrame) -> DataFrame:

@@ -210,11 +210,11 @@ def store_feed(ev0: DataFrame) -> DataFrame:
         "event_id", "user_id", "k", "created_at",
         F.when(k % 59 == 0, F.concat(F.col("event_id").cast("string"), F.lit("/x")))
          .otherwise(F.col("event_id").cast("string")).alias("transaction_id"),
-        F.when(k % 19 == 0, "com.other.app").otherwise("com.iphoneadvanced.app").alias("bundle_id"),
+        F.when(k % 19 == 0, "com.other.app").otherwise("com.example.credits").alias("bundle_id"),
         F.when(k % 29 == 0, "Non-Consumable").otherwise("Consumable").alias("type"),
         F.when(k % 31 == 0, "FAMILY_SHARED").otherwise("PURCHASED").alias("ownership"),
         F.when(k % 37 == 0, 2).otherwise(1).alias("quantity"),
-        F.when(k % 41 == 0, "unknown").otherwise(F.concat(F.lit("com.iphoneadvanced.app.credits"), amount))
+        F.when(k % 41 == 0, "unknown").otherwise(F.concat(F.lit("com.example.credits"), amount))
          .alias("product_id"),
         F.when(k % 5 == 3, "Production").when(k % 43 == 0, "Xcode").otherwise("Sandbox").alias("environment"),
         F.when(k % 47 == 0, account_token(F.col("user_id") + 1)).when(k % 53 == 0, F.lit(None).cast("string"))

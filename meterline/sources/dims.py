@@ -39,12 +39,12 @@ RATE_LIMIT_CODES = (3036, 3040)
 
 # Store products: product id -> credit (micro-dollars).
 STORE_PRODUCTS = [
-    ("com.iphoneadvanced.app.credits5", 5_000_000),
-    ("com.iphoneadvanced.app.credits10", 10_000_000),
-    ("com.iphoneadvanced.app.credits25", 25_000_000),
-    ("com.iphoneadvanced.app.credits50", 50_000_000),
+    ("com.example.credits5", 5_000_000),
+    ("com.example.credits10", 10_000_000),
+    ("com.example.credits25", 25_000_000),
+    ("com.example.credits50", 50_000_000),
 ]
-BUNDLE_ID = "com.iphoneadvanced.app"
+BUNDLE_ID = "com.example.credits"
 
 
 def text_prices(spark: SparkSession) -> DataFrame:

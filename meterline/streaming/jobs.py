@@ -6,16 +6,14 @@ writes to a sink under the session's shared checkpoint folder
 (``spark.checkpoint.dir``).  Each equals its batch form on a finished input:
 
 * ``ingest_events``      ST9 + S5: derive run-outcome events, append allow-listed columns only.
-* ``daily_counts``       ST10: tumbling UTC days; runs/failures by native windowed
-                         aggregation, exact distinct active users through a (day, user)
-                         rollup written per micro-batch (exact distinct is not a streaming
-                         aggregate).
+* ``daily_counts``       ST10: tumbling UTC days; per micro-batch the day's run and failure
+                         counts and its distinct (day, user) pairs are written and added
+                         up by the read, so an event counts however late it arrives.
 * ``weekly_rollup``      ST11: chained aggregation -- (user, day) success pairs per
                          micro-batch, then the weekly repeat-users aggregate over the rollup.
-* ``checkout_stream``    ST4 + ST7 + S6: webhook deliveries deduplicated within the
-                         watermark, then, inside ``foreachBatch``, anti-joined against the
-                         sessions already written (replays older than the watermark) and
-                         semi-joined with the users snapshot (late rows for deleted
+* ``checkout_stream``    ST4 + ST7 + S6: paid deliveries, inside ``foreachBatch`` one per
+                         session, anti-joined against the sessions already written (a
+                         replay of any age) and semi-joined with the users snapshot (late rows for deleted
                          accounts are acknowledged without effect).
 
 Micro-batch writes go to ``<sink>/batch=<id>`` with overwrite, so a batch replayed
@@ -42,12 +40,13 @@ def _run_dir(spark: SparkSession, name: str) -> str:
 
 
 def event_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None,
-                 glob: str = "events.parquet") -> DataFrame:
-    """The driver's events file(s) as a stream (explicit schema, no inference)."""
-    r = (spark.readStream.schema(SCHEMAS["events"]).option("pathGlobFilter", glob))
+                 name: str = "events.parquet") -> DataFrame:
+    """The events table (one file, or a folder of part files) as a stream (explicit schema, no inference)."""
+    r = spark.readStream.schema(SCHEMAS["events"])
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(sf_dir)
+    # braces make it a pattern: the file source takes a plain path for a folder only
+    return r.parquet(f"{sf_dir.rstrip('/')}/{{{name}}}")
 
 
 def _await(q) -> None:
@@ -69,47 +68,28 @@ def ingest_events(spark: SparkSession, sf_dir: str, out: str | None = None) -> s
     return f"{base}/data"
 
 
-def daily_counts(spark: SparkSession, sf_dir: str, watermark: str = "2 days") -> DataFrame:
-    """ST10: per UTC day -- runs, failures (windowed streaming aggregate) and exact active users."""
+def daily_counts(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    """ST10: per UTC day -- runs, failures and exact active users; late events count too."""
     base = _run_dir(spark, "daily")
-    ev = analytics_events(base_events_from(event_stream(spark, sf_dir)))
+    ev = analytics_events(base_events_from(event_stream(spark, sf_dir, max_files)))
     runs = (ev.where(F.col("event_name").isin("run_succeeded", "run_failed") & F.col("user_id").isNotNull())
-            .withColumn("event_time", F.timestamp_millis("created_at")))
-    counts = (runs.withWatermark("event_time", watermark)
-              .groupBy(F.window("event_time", "1 day").alias("w"))
-              .agg(F.sum((F.col("event_name") == "run_succeeded").cast("long")).alias("runs"),
-                   F.sum((F.col("event_name") == "run_failed").cast("long")).alias("failures"))
-              .select(F.expr(f"unix_millis(w.start) div {DAY}").alias("day"), "runs", "failures"))
-
-    def write_counts(batch: DataFrame, batch_id: int) -> None:
-        # update mode: each batch carries the windows it changed; the newest batch wins.
-        batch.write.mode("overwrite").parquet(f"{base}/counts/batch={batch_id}")
-
-    # Update mode (not append): an availableNow run ends without a later event to move the
-    # watermark past the last windows, and they must still be reported.
-    q1 = (counts.writeStream.outputMode("update").foreachBatch(write_counts)
-          .option("checkpointLocation", f"{base}/_ck_counts").trigger(availableNow=True).start())
-
-    def write_pairs(batch: DataFrame, batch_id: int) -> None:
-        (batch.where(F.col("event_name") == "run_succeeded")
-         .select(F.expr(f"created_at div {DAY}").alias("day"), "user_id").distinct()
-         .write.mode("overwrite").parquet(f"{base}/pairs/batch={batch_id}"))
+            .select(F.expr(f"created_at div {DAY}").alias("day"), "user_id", "event_name"))
+    schema = "day long, user_id long, runs long, failures long"
+    spark.createDataFrame([], schema).write.parquet(f"{base}/daily/batch=-1")  # a table even if no event comes
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # one row per (day, user): its counts in this batch; a replayed batch replaces its own
+        (batch.groupBy("day", "user_id")
+         .agg(F.count_if(F.col("event_name") == "run_succeeded").alias("runs"),
+              F.count_if(F.col("event_name") == "run_failed").alias("failures"))
+         .write.mode("overwrite").parquet(f"{base}/daily/batch={batch_id}"))
 
-    q2 = (runs.writeStream.foreachBatch(write_pairs).option("checkpointLocation", f"{base}/_ck_pairs")
-          .trigger(availableNow=True).start())
-    _await(q1)
-    _await(q2)
-    c = spark.read.parquet(f"{base}/counts")
-    c = (c.groupBy("day").agg(F.max_by(F.struct("runs", "failures"), F.col("batch")).alias("r"))
-         .select("day", "r.runs", "r.failures"))
-    try:
-        pairs = spark.read.parquet(f"{base}/pairs").select("day", "user_id").distinct()
-        active = pairs.groupBy("day").agg(F.count(F.lit(1)).alias("active"))
-    except Exception:  # no successes at all
-        active = spark.createDataFrame([], "day long, active long")
-    return (c.join(active, "day", "left")
-            .select("day", F.col("runs").cast("long"), F.col("failures").cast("long"),
-                    F.coalesce("active", F.lit(0)).cast("long").alias("active")))
+    _await(runs.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/_ck")
+           .trigger(availableNow=True).start())
+    users = (spark.read.schema(schema).parquet(f"{base}/daily").groupBy("day", "user_id")
+             .agg(F.sum("runs").alias("runs"), F.sum("failures").alias("failures")))
+    return users.groupBy("day").agg(F.sum("runs").alias("runs"), F.sum("failures").alias("failures"),
+                                    F.count_if(F.col("runs") > 0).alias("active"))
 
 
 def weekly_rollup(spark: SparkSession, sf_dir: str) -> str:
@@ -129,17 +109,14 @@ def weekly_rollup(spark: SparkSession, sf_dir: str) -> str:
 
 
 def checkout_stream(spark: SparkSession, sf_dir: str, users: DataFrame, existing_sessions: DataFrame,
-                    watermark: str = "1 hour") -> DataFrame:
+                    max_files: int | None = None) -> DataFrame:
     """ST4 + ST7 + S6: idempotent card-checkout credits from a replaying webhook stream.
 
     Returns the ledger rows written (session_id, user_id, credit_micros)."""
     from meterline.operators.ledger import CHECKOUT_TYPES, safe_positive_int
 
     base = _run_dir(spark, "checkout")
-    ev0 = base_events_from(event_stream(spark, sf_dir))
-    feed = (checkout_feed(ev0).withColumn("arrival_ts", F.timestamp_millis("arrival"))
-            .withWatermark("arrival_ts", watermark)
-            .dropDuplicatesWithinWatermark(["session_id"]))
+    feed = checkout_feed(base_events_from(event_stream(spark, sf_dir, max_files)))
     valid = (feed.where(F.col("type").isin(*CHECKOUT_TYPES) & (F.col("payment_status") == "paid"))
              .withColumn("user_id", safe_positive_int(F.col("meta_user_id")))
              .withColumn("credit_micros", safe_positive_int(F.col("meta_credit")))
@@ -154,7 +131,7 @@ def checkout_stream(spark: SparkSession, sf_dir: str, users: DataFrame, existing
         done = spark.read.parquet(sink).where(F.col("batch") != batch_id).select("session_id")
         rows = (batch.join(known_users, "user_id", "left_semi")           # ST7
                 .join(seen0, "session_id", "left_anti")                    # S6 vs the ledger
-                .join(done, "session_id", "left_anti")                     # replays past the watermark
+                .join(done, "session_id", "left_anti")                     # replays of earlier batches
                 .groupBy("session_id").agg(F.min_by(F.struct("user_id", "credit_micros"),
                                                     F.col("arrival")).alias("r"))
                 .select("session_id", "r.user_id", "r.credit_micros"))

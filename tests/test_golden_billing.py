@@ -62,7 +62,7 @@ def test_g6_refund_before_delivery_then_reversal(spark):
 
 def test_g7_purchase_rejects(spark):
     base = dict(id=1, user_id=1, transaction_id="123456789", seq=0, bundle_id=D.BUNDLE_ID, type="Consumable",
-                ownership="PURCHASED", quantity=1, product_id="com.iphoneadvanced.app.credits5",
+                ownership="PURCHASED", quantity=1, product_id="com.example.credits5",
                 environment="Production", revoked=False, signed_date=1000, arrival=1)
     overrides = [dict(product_id="unknown"), dict(quantity=2), dict(ownership="FAMILY_SHARED"),
                  dict(bundle_id="another.app"), dict(environment="Sandbox"), dict(environment="Xcode"),

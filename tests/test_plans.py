@@ -6,13 +6,14 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from meterline.plans import registry
 from meterline.functions.clock import clock
 from meterline.operators import engagement as eng
 from meterline.operators import features as feat
 from meterline.sources.synthetic import synthetic_events
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
+QUERIES = {n: f for n, f in entry.queries().items() if n in registry.QUERIES}
 ONE_ROW_CROSS = {"kpi_rates", "dashboard_json", "money_summary", "erasure_summary", "identity_resolution",
                  "id_allocation", "id_reuse_violations", "usage_cost", "text_cost", "reservation", "settlement",
                  "usage_by_user", "feature_report"}
