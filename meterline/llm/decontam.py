@@ -19,7 +19,6 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +35,55 @@ _WORDS = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 9
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words_of(data: bytes) -> list[bytes]:
+_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
+_SLICE = 1 << 20
+_powers: list[np.ndarray] = []
+
+
+def plain(data: bytes) -> bytes:
+    """A text in lower case with a space for every sign that parts words."""
     if not data.isascii():
         data = data.decode("utf-8", "replace").lower().encode()
-    return data.translate(_WORDS).split()
+    return data.translate(_WORDS)
+
+
+def words_of(data: bytes) -> list[bytes]:
+    return plain(data).split()
+
+
+def _hash_slice(data: bytes) -> np.ndarray:
+    n = len(data)
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, _SLICE)
+        _powers[:] = [np.cumprod(np.append(np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)), dtype=np.uint64)
+                      for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+    signs = np.frombuffer(data, dtype=np.uint8)
+    inside = np.zeros(n + 2, dtype=bool)
+    np.not_equal(signs, 32, out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[0::2], edges[1::2]
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(signs * _powers[0][:n], out=sums[1:])
+    out = (sums[ends] - sums[starts]) * _powers[1][starts]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(29))
+
+
+def hash_words(data: bytes) -> np.ndarray:
+    """Hashes of the words of a ``plain`` text: a polynomial over a word's bytes, from one running sum over the text.
+
+    Long texts are taken in slices that end between words, so the sums stay small.
+    """
+    if len(data) <= _SLICE:
+        return _hash_slice(data) if data else np.empty(0, dtype=np.uint64)
+    parts, at = [], 0
+    while at < len(data):
+        end = data.find(b" ", at + _SLICE)
+        end = len(data) if end < 0 else end
+        parts.append(_hash_slice(data[at:end]))
+        at = end
+    return np.concatenate(parts)
 
 
 def shingle_hashes(hashed: np.ndarray, k: int) -> np.ndarray:
@@ -55,8 +99,9 @@ def shingle_hashes(hashed: np.ndarray, k: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def hash_words(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the values are in the sorted, non-empty ``known``."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 def simhash(shingles: np.ndarray) -> int:
@@ -87,7 +132,7 @@ class Index:
             if not words:
                 continue
             k = min(shingle, len(words))
-            shingles = shingle_hashes(hash_words(words), k)
+            shingles = shingle_hashes(hash_words(plain(data)), k)
             at = self.sizes.setdefault(len(words), {"k": k, "items": [], "seen": [], "blocks": {}})
             mark = simhash(shingles)
             for p, (lo, mask, _) in enumerate(self.parts):
@@ -118,20 +163,22 @@ class Index:
 
     def matches(self, data: bytes) -> list[tuple]:
         """``(item_id, start word, words, similarity, distance)``: the best window of each run of overlapping hits."""
-        words = words_of(data)
-        hashed = hash_words(words)
+        data = plain(data)
+        hashed = hash_words(data)
+        words: list[bytes] = []
         low, found = np.uint64((1 << _FILTER_BITS) - 1), []
         for k, known in self.known.items():
             shingles = shingle_hashes(hashed, k)
             maybe = np.flatnonzero(self.filters[k][(shingles & low).astype(np.int64)])
-            maybe = maybe[np.isin(shingles[maybe], known)]
+            maybe = maybe[among(shingles[maybe], known)]
             if not len(maybe):
                 continue
+            words = words or data.split()
             for size, at in self.sizes.items():
                 n = size - at["k"] + 1
                 if at["k"] != k or len(words) < size or len(maybe) < at["least"]:
                     continue
-                hits = maybe[np.isin(shingles[maybe], at["seen"])]
+                hits = maybe[among(shingles[maybe], at["seen"])]
                 if len(hits) < at["least"]:
                     continue
                 # starts whose window holds enough hits, found around the hits only

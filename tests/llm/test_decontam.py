@@ -72,3 +72,16 @@ def test_similarity_counts_repeats():
     a, b = [b"a", b"b", b"a", b"b"], [b"a", b"b"]
     assert decontam.similarity(a, b, 1) == 2 / 4 and decontam.similarity(a, a, 2) == 1.0
     assert len(decontam.shingle_hashes(np.array([1, 2], dtype=np.uint64), 3)) == 0
+
+
+def test_word_hashes_follow_the_words(monkeypatch):
+    text = decontam.plain("One two, ONE  éé/ÉÉ 12 " .encode() + b"x" * 90 + b" one")
+    words, hashes = text.split(), decontam.hash_words(text)
+    assert len(words) == len(hashes)
+    by_word = {}
+    for w, h in zip(words, hashes.tolist()):
+        assert by_word.setdefault(w, h) == h
+    assert len(set(by_word.values())) == len(by_word)
+    monkeypatch.setattr(decontam, "_SLICE", 7)
+    assert decontam.hash_words(text).tolist() == hashes.tolist()
+    assert len(decontam.hash_words(b"")) == 0 and len(decontam.hash_words(b"   ")) == 0
