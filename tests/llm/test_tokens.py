@@ -40,6 +40,18 @@ def test_cache_is_bounded(monkeypatch):
         assert len(enc.cache) <= 50 + 40
 
 
+@pytest.mark.parametrize("path", [BYTE, WORDS])
+def test_long_texts_go_in_pieces(path, monkeypatch):
+    rnd = random.Random(12)
+    texts = ["".join(rnd.choice(["Hello", "it's", "été", "...", "3.14"]) + rnd.choice([" ", "  ", "\n", " \n", ""])
+                     for _ in range(rnd.randrange(1, 120))) for _ in range(60)]
+    enc = tokens.Encoder(path)
+    want = [enc.whole(t) for t in texts]
+    for size in (1, 7, 40):
+        monkeypatch.setattr(tokens, "PIECE", size)
+        assert tokens.Encoder(path).encode_batch(texts) == want
+
+
 @pytest.mark.parametrize("mode,width", [("byte", 2), ("bit", 2), ("byte", 4), ("bit", 4)])
 def test_planes_round_trip(tmp_path, mode, width):
     rng = np.random.default_rng(1)
