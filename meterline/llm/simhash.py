@@ -86,9 +86,11 @@ def close_pairs(fps: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFr
         raise ValueError("radius must be 0 to 4")
     if radius == 0:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where(F.lit(False))
-    dealt = save(fps.select("fp", F.explode(F.array(*[
+    # dealt out twice from one column, which is cheaper than to write and read all of it
+    fps = save(fps.select("fp"), "fps")
+    dealt = fps.select("fp", F.explode(F.array(*[
         F.struct(F.lit(i).alias("p"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k"))
-        for i, m in enumerate(block_masks(radius, 2))])).alias("s")).select("s.p", "s.k", "fp"), "blocks")
+        for i, m in enumerate(block_masks(radius, 2))])).alias("s")).select("s.p", "s.k", "fp")
     sizes = dealt.groupBy("p", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = save(dealt.join(sizes, ["p", "k"]), "met")
     few = met.where(F.col("n") <= bucket)
