@@ -165,6 +165,12 @@ def with_transcript(summary: Column, transcript: Column) -> Column:
     return F.concat(drop_empty_sections(js_trim(summary)), F.lit("\n\nTranscript\n"), transcript)
 
 
+def text_lines(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """X11: one row per line of a text, blank lines left out; ``line_no`` counts all lines from 0."""
+    return (df.select(*keys, F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
+            .where(js_trim(F.col("line")) != ""))
+
+
 def image_url(value: Column) -> Column:
     """Strip whitespace; keep a typed data URL; bare JPEG/PNG base64 gets a prefix."""
     v = F.regexp_replace(value, r"\s+", "")

@@ -36,6 +36,16 @@ def q_user_history(spark, sf_dir):
     return lg.user_history(Model(spark, sf_dir).ledger, 25)
 
 
+@register("history_amounts", with_base("""SELECT user_id, id, amount_micros,
+  concat(CASE WHEN amount_micros > 0 THEN '+' ELSE chr(8722) END, '$',
+    CASE WHEN abs(amount_micros) < 10000 THEN printf('%.4f', abs(amount_micros) / 1e6)
+      ELSE printf('%.2f', abs(amount_micros) / 1e6) END) AS amount FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY id DESC) AS rn FROM ledger) WHERE rn <= 25"""))
+def q_history_amounts(spark, sf_dir):
+    rows = lg.user_history(Model(spark, sf_dir).ledger, 25)
+    return rows.select("user_id", "id", "amount_micros", lg.history_amount(F.col("amount_micros")).alias("amount"))
+
+
 def _safe(x: str) -> str:
     d = f"TRY_CAST({x} AS DOUBLE)"
     return (f"CASE WHEN {d} IS NOT NULL AND NOT isnan({d}) AND {d} >= 1 AND {d} <= 9007199254740991.0 "

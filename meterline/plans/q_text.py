@@ -10,6 +10,7 @@ from meterline.plans.oracle import with_base
 from meterline.plans.registry import register
 from meterline.sources.catalog import catalog_dict, read_catalog
 from meterline.sources.derived import Model
+from meterline.sources.tables import read_table
 
 SEARCH_QUERY = "tion"
 SEARCH_LANGS = ("en", "fr")
@@ -27,6 +28,16 @@ def _m(spark, sf_dir):
     return Model(spark, sf_dir)
 
 
+# --- X11 lines to rows ------------------------------------------------------------------
+
+@register("answer_lines", f"""SELECT conv_id, turn, line_no::INTEGER AS line_no, line FROM (
+  SELECT conv_id, turn, unnest(range(len(l))) AS line_no, unnest(l) AS line
+  FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS l FROM conversations))
+WHERE regexp_replace(line, '{TRIM_WS}', '', 'g') <> ''""")
+def q_answer_lines(spark, sf_dir):
+    return tp.text_lines(read_table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
+
+
 # --- X3 / F20 / A18 document search -----------------------------------------------------
 @register("document_search", f"""SELECT doc_id, lang, source, n_chars FROM documents
 WHERE contains(lower(concat_ws(' ', text, lang, source)), '{SEARCH_QUERY}') AND lang IN {SEARCH_LANGS}""")
