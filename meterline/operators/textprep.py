@@ -217,9 +217,11 @@ def agenda(items: DataFrame, key: str, ts: str, text: str, n: int = 12) -> DataF
 
 
 def newest_matching(docs: DataFrame, key: str, order: str, title: Column, needle: str) -> DataFrame:
-    """K8: per key, the newest row whose title contains ``needle`` (``max_by``, no sort)."""
+    """K8: per key, the newest row whose title contains ``needle``, whole (``max_by``, no sort)."""
+    rest = [c for c in docs.columns if c not in (key, order)]
     return (docs.where(F.instr(title, needle) > 0).groupBy(key)
-            .agg(F.max(order).alias(order)))
+            .agg(F.max(order).alias(order), F.max_by(F.struct(*rest), order).alias("_row"))
+            .select(key, order, "_row.*"))
 
 
 # ---- L4 / X23 classification answers ---------------------------------------------------

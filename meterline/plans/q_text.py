@@ -212,9 +212,11 @@ _MEAL_OK = ("COALESCE(json_type(o, '$.meal') = 'VARCHAR' AND "
             f"regexp_replace(json_extract_string(o, '$.meal'), '{TRIM_WS}', '', 'g') <> '' "
             f"AND {_jslen(_MEAL_TEXT)} <= {tp.MEAL_NAME_MAX} AND "
             + " AND ".join(_num_ok(k, c) for k, c in tp.MEAL_CAPS.items()) + ", false)")
+_MEAL_NUMBERS = ", ".join(f"CASE WHEN {_MEAL_OK} THEN CAST(CAST(json_extract(o, '$.{k}') AS DOUBLE) AS BIGINT) END AS {k}"
+                          for k in tp.MEAL_CAPS)
 ANSWERS_SQL = with_base(f"""SELECT a.answer_id, a.o IS NOT NULL AS has_object, kk.kept_keys, {_MEAL_OK} AS meal_ok,
   CASE WHEN {_MEAL_OK} THEN regexp_replace(json_extract_string(o, '$.meal'), '{TRIM_WS}', '', 'g') END AS meal,
-  CASE WHEN {_MEAL_OK} THEN CAST(CAST(json_extract(o, '$.calories') AS DOUBLE) AS BIGINT) END AS calories
+  {_MEAL_NUMBERS}
 FROM ans a LEFT JOIN (SELECT answer_id, array_to_string(list_sort(list(key)), ',') AS kept_keys FROM (
   SELECT answer_id, unnest(json_keys(o)) AS key, o FROM ans WHERE o IS NOT NULL) z
   WHERE CAST(json_extract(o, '$."' || key || '"') AS VARCHAR) NOT IN ('false', '""', 'null') GROUP BY answer_id) kk
@@ -237,7 +239,7 @@ def q_structured_answers(spark, sf_dir):
                     F.when(F.size(keys) > 0, F.array_join(keys, ",")).alias("kept_keys"),
                     ok.alias("meal_ok"),
                     F.when(ok, tp.js_trim(F.try_variant_get(v, "$.meal", "string"))).alias("meal"),
-                    F.when(ok, F.try_variant_get(v, "$.calories", "double").cast("long")).alias("calories"))
+                    *[F.when(ok, F.try_variant_get(v, f"$.{k}", "double").cast("long")).alias(k) for k in tp.MEAL_CAPS])
 
 
 # --- X7 / X13 meeting notes (rows-only: the clean-up needs a look-ahead) -----------------
@@ -309,10 +311,10 @@ def q_agenda(spark, sf_dir):
 NOTE_NEEDLE = "ment"
 
 
-@register("newest_matching_note", f"""SELECT source, MAX(doc_id) AS doc_id FROM documents
+@register("newest_matching_note", f"""SELECT source, MAX(doc_id) AS doc_id, arg_max(text, doc_id) AS text, arg_max(lang, doc_id) AS lang FROM documents
 WHERE strpos(split_part(text, chr(10), 1), '{NOTE_NEEDLE}') > 0 GROUP BY source""")
 def q_newest_matching_note(spark, sf_dir):
-    d = _m(spark, sf_dir).table("documents")
+    d = _m(spark, sf_dir).table("documents").select("source", "doc_id", "text", "lang")
     return tp.newest_matching(d, "source", "doc_id", F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), NOTE_NEEDLE)
 
 
