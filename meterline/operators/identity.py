@@ -86,13 +86,14 @@ def identity_resolution(claims: DataFrame, identities: DataFrame, accounts: Data
 
 
 def active_keys(keys: DataFrame, accounts: DataFrame, key_uses: DataFrame) -> DataFrame:
-    """J7 + F12 + K6 + O10: unrevoked keys of existing accounts, last use touched in."""
+    """J7 + F12 + K6 + O10: unrevoked keys of existing accounts, last use touched in, each
+    user's newest first (K6 orders within a user; no total order over all users)."""
     last = key_uses.groupBy("key_id").agg(F.max("ts").alias("last_used_at"))
     live = keys.where(F.col("revoked_at").isNull()).join(
         accounts.select(F.col("id").alias("user_id")), "user_id", "inner")
     return (live.join(last, live["id"] == last["key_id"], "left")
             .select("user_id", "id", "prefix", "name", "created_at", "last_used_at", "can_mint")
-            .orderBy("user_id", F.desc("id")))
+            .repartition("user_id").sortWithinPartitions("user_id", F.desc("id")))
 
 
 def key_lookup(requests: DataFrame, keys: DataFrame, accounts: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def first_purchases(paid: DataFrame) -> DataFrame:
 
 def money_summary(users: DataFrame, events: DataFrame, ledger: DataFrame, store_tx: DataFrame,
                   c: Clock) -> DataFrame:
-    """One row of money metrics; each input is scanned once."""
+    """One row of money metrics."""
     paid = paid_ledger(ledger, store_tx)
     cur = in_range("created_at", c.start, c.end)
     prev = in_range("created_at", c.previous_start, c.start)

@@ -392,13 +392,10 @@ FROM r"""
 
 @register("classification_answers", CLASSIFICATION_SQL)
 def q_classification_answers(spark, sf_dir):
-    ch = q_conversation_choices(spark, sf_dir)
-    lists = ch.groupBy("conv_id", "turn").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("idx", "name"))), lambda x: x["name"]).alias("names"))
     turns = (_m(spark, sf_dir).table("conversations").where(F.col("role") == "user")
-             .join(lists, ["conv_id", "turn"], "left")
              .select("conv_id", "turn", tp.js_length(F.col("text")).alias("chars"),
-                     F.coalesce("names", F.array().cast("array<string>")).alias("names")))
+                     F.coalesce(F.transform(tp.parse_choices(F.col("text")), lambda c: c["name"]),
+                                F.array().cast("array<string>")).alias("names")))
     n = F.size("names")
     pick = F.when((F.col("turn") % 3 == 0) | (n == 0), F.lit("Other")) \
         .otherwise(F.element_at("names", (F.col("conv_id") % n + 1).cast("int")))
