@@ -1,7 +1,7 @@
 """Secret scan (operator 4): fixed patterns plus dictionary-primed zstandard novelty.
 
 Besides the fixed kinds, every long run of key-like signs that holds a digit and stands behind
-a word such as ``key`` or ``secret`` is a candidate. Its novelty is its marginal compressed size: the
+a word such as ``key`` or ``secret`` is a candidate; in ``NAME=value`` the name stands before the value. Its novelty is its marginal compressed size: the
 bytes that it adds when it is compressed after its surrounding code, with a dictionary of common
 identifiers to draw on. Names, paths and numbers that the context or the dictionary already knows add little; a random
 string adds nearly a byte a sign and is reported as kind ``novel``.
@@ -27,9 +27,11 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{24,}")  # the runs of [0-9a-f]+ of 24 characters or more
 _MAY_ASSIGN = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _DIGIT = re.compile("[0-9]")
+# Signs of a value; an equals sign parts name and value, and only pads a value at its end.
+_PART = re.compile("[A-Za-z0-9+/_.-]+")
 _RUN = re.compile("[A-Za-z0-9+/_.=-]*")
-_SIGN = re.compile("[A-Za-z0-9+/_.=-]")
-_SENSITIVE = re.compile("key|token|secret|passw|pwd|auth|credential|bearer|private|signature")
+_PAD = re.compile("={1,2}(?![A-Za-z0-9+/_.=-])")
+_SENSITIVE = ("key", "token", "secret", "passw", "pwd", "auth", "credential", "bearer", "private", "signature")
 LEAST, LOOK_BACK, AROUND = 12, 48, 256
 # Marginal compressed bytes per sign from which a candidate counts as incompressible.
 NOVELTY = 0.7
@@ -67,23 +69,53 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def sensitive_words(text: str) -> list[tuple[int, int]]:
+    """Places of all sensitive words in either case, as ``(start, end)`` by start."""
+    small = text.lower()
+    if len(small) != len(text):  # a letter whose small form is longer would shift the places
+        small = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    found = []
+    for word in _SENSITIVE:
+        at = small.find(word)
+        while at >= 0:
+            found.append((at, at + len(word)))
+            at = small.find(word, at + 1)
+    return sorted(found)
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Values of ``LEAST`` or more key-like signs behind a sensitive word, as ``(start, end)`` by start.
+
+    The word ends before the value and starts at most ``LOOK_BACK`` signs before it, or stands in a name that an
+    equals sign joins to the value (``NAME=value``).
+    """
+    found, at, run_end = [], 0, 0
+    for lo, hi in sensitive_words(text):
+        if hi > run_end:
+            run_end = _RUN.match(text, hi).end()
+        begin = max(hi, at)
+        if begin == hi and (inside := _PART.match(text, hi - 1)):  # the word's own part is no value
+            begin = at = inside.end()
+        last = max(lo + LOOK_BACK, run_end)
+        while m := _PART.search(text, begin, last + 1):
+            start, begin = m.start(), _PART.match(text, m.start()).end()
+            at, end = begin, start + len(text[start:begin].rstrip("."))
+            if end - start >= LEAST:
+                found.append((start, end))
+    return found
+
+
 def novel_spans(text: str, taken: list[tuple[str, int, int]], novelty: Novelty) -> list[tuple[str, int, int]]:
     """Sensitive-context candidates outside the ``taken`` spans whose marginal bytes are near their length."""
-    found, at = [], 0
-    while m := _DIGIT.search(text, at):
-        start = m.start()
-        while start > at and _SIGN.match(text, start - 1):
-            start -= 1
-        at = end = _RUN.match(text, m.start()).end()
-        run = text[start:end].rstrip(".=")
-        end = start + len(run)
-        if len(run) < LEAST or not _SENSITIVE.search(text[max(0, start - LOOK_BACK):start].lower()):
-            continue
-        if any(lo < end and start < hi for _, lo, hi in taken):
+    found = []
+    for start, end in candidates(text):
+        run = text[start:end]
+        if not _DIGIT.search(run) or any(lo < end and start < hi for _, lo, hi in taken):
             continue
         context = text[max(0, start - AROUND):start] + text[end:end + AROUND]
         if novelty.marginal(run, context) >= NOVELTY * len(run):
-            found.append(("novel", start, end))
+            pad = _PAD.match(text, end)
+            found.append(("novel", start, pad.end() if pad and (pad.end() - start) % 4 == 0 else end))
     return found
 
 

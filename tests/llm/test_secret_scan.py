@@ -45,3 +45,18 @@ def test_novelty_reports_random_strings_in_sensitive_context_only(make_docs):
     assert by_id[10].n_novel == 0  # compressible
     spans = secret_scan.spans(secret_scan.scan(make_docs([(6, TEXTS[6])]))).collect()
     assert [tuple(s) for s in spans] == [(6, "novel", 15, 15 + len(RANDOM))]
+
+
+def novel(text):
+    return [text[a:b] for _, a, b in secret_scan.novel_spans(text, secret_scan.base_spans(text), secret_scan.Novelty())]
+
+
+def test_value_is_cut_from_its_name():
+    for before, after in (("PRIVATE_KEY=", "\n"), ("DB_PWD=", ""), ("export AWS_ACCESS_KEY=", " #"), ("https://a.b/c?signature=", "&x=1"),
+                          ("?id=7&auth=", "&next=2"), ('"private-key":"', '"'), ("[db]\nkey = ", ";"), ("x.credential=y=", ""),
+                          ("key_" + "of_the_service_" * 6 + "=", "")):
+        assert novel(f"{before}{RANDOM}{after}") == [RANDOM], before
+    assert novel(f"MY_KEY={RANDOM}ab==\n") == [RANDOM + "ab=="]  # base64 padding belongs to the value
+    assert novel(f"MY_KEY={RANDOM}=tail") == [RANDOM]
+    assert novel(f"plain={RANDOM}") == [] and novel(f"MY_KEY_{RANDOM}") == []
+    assert novel("İİ my_key=" + RANDOM) == [RANDOM]
