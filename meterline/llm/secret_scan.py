@@ -1,6 +1,6 @@
 """Secret scan (operator 4): fixed patterns plus dictionary-primed zstandard novelty.
 
-Besides the fixed kinds, every long run of key-like signs that holds a digit and stands behind
+Besides the fixed kinds, every long run of key-like signs that stands behind
 a word such as ``key`` or ``secret`` is a candidate; in ``NAME=value`` the name stands before the value. Its novelty is its marginal compressed size: the
 bytes that it adds when it is compressed after its surrounding code, with a dictionary of common
 identifiers to draw on. Names, paths and numbers that the context or the dictionary already knows add little; a random
@@ -26,7 +26,6 @@ ASSIGN = re.compile(rf"""({_EITHER})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{24,}")  # the runs of [0-9a-f]+ of 24 characters or more
 _MAY_ASSIGN = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-_DIGIT = re.compile("[0-9]")
 # Signs of a value; an equals sign parts name and value, and only pads a value at its end.
 _PART = re.compile("[A-Za-z0-9+/_.-]+")
 _RUN = re.compile("[A-Za-z0-9+/_.=-]*")
@@ -110,7 +109,7 @@ def novel_spans(text: str, taken: list[tuple[str, int, int]], novelty: Novelty)
     found = []
     for start, end in candidates(text):
         run = text[start:end]
-        if not _DIGIT.search(run) or any(lo < end and start < hi for _, lo, hi in taken):
+        if any(lo < end and start < hi for _, lo, hi in taken):
             continue
         context = text[max(0, start - AROUND):start] + text[end:end + AROUND]
         if novelty.marginal(run, context) >= NOVELTY * len(run):

@@ -60,3 +60,12 @@ def test_value_is_cut_from_its_name():
     assert novel(f"MY_KEY={RANDOM}=tail") == [RANDOM]
     assert novel(f"plain={RANDOM}") == [] and novel(f"MY_KEY_{RANDOM}") == []
     assert novel("İİ my_key=" + RANDOM) == [RANDOM]
+
+
+def test_runs_without_a_digit_are_measured_too():
+    letters = "qwZkTLwuXvRTnEbYpHdSkMzJ"
+    for before in ("private key: ", "pwd = ", "Authorization: Bearer ", "credential ", "SIGNING_KEY="):
+        assert novel(f"{before}{letters} end") == [letters], before
+    assert novel(f"nothing here {letters} end") == []
+    assert novel("auth new_user_request_version_example") == []  # words of the dictionary
+    assert novel(f"{letters} seen before; credential {letters}") == []
