@@ -9,8 +9,6 @@ sys.path.insert(0, ROOT)
 
 from meterline.session import build_session  # noqa: E402
 
-DAY = 86_400_000
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -19,13 +17,3 @@ def spark():
         s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="meterline-test-ckpt-"))
     yield s
     s.stop()
-
-
-EVENT_SCHEMA = ("id long, event_name string, user_id long, slug string, status int, duration_ms long, "
-                "source string, created_at long")
-
-
-def make_events(spark, rows):
-    """rows: (user_id, event_name, slug, status, duration_ms, created_at)."""
-    data = [(i + 1, e, u, s, st, d, "shortcut-key", t) for i, (u, e, s, st, d, t) in enumerate(rows)]
-    return spark.createDataFrame(data, EVENT_SCHEMA)

@@ -4,7 +4,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
-from conftest import DAY, make_events
+from event_rows import DAY, make_events
 from meterline.functions.clock import clock
 from meterline.operators import cohorts as coh
 from meterline.operators import engagement as eng

@@ -10,7 +10,7 @@ from meterline.operators import pricing as pr
 from meterline.operators import purchases as pu
 from meterline.sources import dims as D
 from meterline.sources import sinks
-from conftest import make_events
+from event_rows import make_events
 
 END = 1_790_899_200_000
 
