@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm import bitplanes, chunks, decontam, langid, license, lines, packing, quality, secret_scan, simhash, tokens
+from meterline.llm import bitplanes, chunks, decontam, langid, license, lines, negatives, packing, quality, secret_scan, simhash, tokens
 from meterline.llm.common import table
 
 QUERIES: dict = {}
@@ -79,3 +79,14 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.repeats(table(spark, sf_dir, "documents")).drop("h")
+
+
+@_register
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; labels of every seventh are moved on by one first."""
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    rows = negatives.vectors(table(spark, sf_dir, "embeddings"), label=label)
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+ORACLE["op13_hard_negatives"] = negatives.ORACLE_SQL
