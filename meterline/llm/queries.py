@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm import bitplanes, chunks, decontam, langid, license, lines, negatives, packing, quality, secret_scan, simhash, tokens
+from meterline.llm import bitplanes, chunks, decontam, langid, license, lines, negatives, packing
+from meterline.llm import ppm, quality, secret_scan, simhash, spelling, tokens
 from meterline.llm.common import table
 
 QUERIES: dict = {}
@@ -81,6 +82,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.repeats(table(spark, sf_dir, "documents")).drop("h")
 
 
+@_register
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of the corpus, thinned by one in 97, with their near words, forms and roots."""
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), thin=97))
+
+
+@_register
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts under the model of those that are not held out (one in ten is; rows without an id teach nothing)."""
+    docs = table(spark, sf_dir, "documents")
+    held = ppm.held_out()
+    model = ppm.learn(docs.where(~held & F.col("doc_id").isNotNull()))
+    return ppm.score(docs, model).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @_register
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth vector; labels of every seventh are moved on by one first."""
