@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterline.functions.clock import DAY, Clock, day_of, in_range
+from meterline.functions.daybits import day_count, day_maps
 
 RUN_EVENTS = ("run_succeeded", "run_failed")
 
@@ -52,14 +53,11 @@ def _user_days(df: DataFrame, *keys: str) -> DataFrame:
 def weekly_repeat_users(events: DataFrame, c: Clock) -> DataFrame:
     """A2: repeat users over the last two complete 7-day windows (north-star metric).
 
-    One shuffle by user: each user's distinct success days in the 14-day window are a set
-    of at most 14 values (bounded by the window, combined map-side), so no separate
-    (user, day) de-duplication shuffle is needed."""
-    week = c.end_day - 7
-    per_user = (successes(events, c.end - 14 * DAY, c.end)
-                .groupBy("user_id").agg(F.collect_set(day_of("created_at")).alias("days"))
-                .select(F.size(F.filter("days", lambda d: d >= week)).alias("this_week"),
-                        F.size(F.filter("days", lambda d: d < week)).alias("last_week")))
+    One shuffle by user: each user's success days of a week are a bit map in one long,
+    combined map-side, so neither a (user, day) shuffle nor a set of days is needed."""
+    per_user = (successes(events, c.end - 14 * DAY, c.end).groupBy("user_id")
+                .agg(*day_maps("this", c.end_day - 7, 7), *day_maps("last", c.end_day - 14, 7))
+                .select(day_count("this", 7).alias("this_week"), day_count("last", 7).alias("last_week")))
     tw, lw = F.col("this_week"), F.col("last_week")
 
     def n(pred):
@@ -78,22 +76,21 @@ def period_engagement(events: DataFrame, c: Clock) -> DataFrame:
     """A1 + F3: current vs previous period; a period without rows reports zeros.
 
     One shuffle by user: attempts/runs per period are conditional sums and the distinct
-    success days per period are sets bounded by the period length (<= 90 days each)."""
+    success days of a period are bit maps of at most 90 days."""
     spark = events.sparkSession
     runs = run_outcomes(events, c.previous_start, c.end)
     w = weight(runs)
     cur = F.col("created_at") >= F.lit(c.start)
     ok = F.col("event_name") == "run_succeeded"
-    day = day_of("created_at")
     per_user = runs.groupBy("user_id").agg(
         F.sum(F.when(cur, w)).alias("a_c"), F.sum(F.when(~cur, w)).alias("a_p"),
         F.sum(F.when(cur & ok, w).otherwise(0)).alias("r_c"), F.sum(F.when(~cur & ok, w).otherwise(0)).alias("r_p"),
-        F.collect_set(F.when(cur & ok, day)).alias("d_c"), F.collect_set(F.when(~cur & ok, day)).alias("d_p"))
+        *day_maps("d_c", c.start_day, c.days, ok), *day_maps("d_p", c.previous_start_day, c.days, ok))
     rows = per_user.select(F.explode(F.array(
         F.struct(F.lit("current").alias("period"), F.col("a_c").alias("attempts"), F.col("r_c").alias("runs"),
-                 F.size("d_c").alias("active_days")),
+                 day_count("d_c", c.days).alias("active_days")),
         F.struct(F.lit("previous").alias("period"), F.col("a_p").alias("attempts"), F.col("r_p").alias("runs"),
-                 F.size("d_p").alias("active_days")))).alias("p")).select("p.*").where(F.col("attempts").isNotNull())
+                 day_count("d_p", c.days).alias("active_days")))).alias("p")).select("p.*").where(F.col("attempts").isNotNull())
     per_period = rows.groupBy("period").agg(
         F.sum("attempts").alias("attempts"), F.sum("runs").alias("runs"),
         F.sum(_as_int(F.col("runs") > 0)).alias("active"),

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterline.functions.clock import Clock, day_of
+from meterline.functions.daybits import day_count, day_maps
 from meterline.operators.engagement import run_outcomes, weight
 
 
@@ -56,14 +57,15 @@ def feature_table(events: DataFrame, c: Clock, latency: DataFrame | None = None)
 
     ``latency``: optional (slug, duration_ms, n) histogram of the period's successes, for
     when ``events`` is a rollup without durations."""
-    runs = run_outcomes(events, c.start, c.end).withColumn("day", day_of("created_at"))
+    runs = run_outcomes(events, c.start, c.end)
     w = weight(runs)
     ok = F.col("event_name") == "run_succeeded"
-    # One shuffle by (slug, user): distinct success days are a set bounded by the period.
+    # One shuffle by (slug, user): distinct success days are bit maps of the period.
     per_user = (runs.groupBy("slug", "user_id")
                 .agg(F.sum(w).alias("a"), F.sum(w * _as_int(ok)).alias("r"),
                      F.sum(w * _as_int(F.col("status") == 402)).alias("b"),
-                     F.size(F.collect_set(F.when(ok, F.col("day")))).alias("days")))
+                     *day_maps("d", c.start_day, c.days, ok))
+                .withColumn("days", day_count("d", c.days)))
     per_slug = per_user.groupBy("slug").agg(
         F.sum("a").cast("long").alias("attempts"),
         F.sum("r").cast("long").alias("runs"),

@@ -17,7 +17,7 @@ LEDGER = ("id long, user_id long, kind string, amount_micros long, stripe_sessio
 STORE = "id string, user_id long, environment string"
 
 
-def ev(user, age, status=200, slug="ask-ai", duration=100):
+def ev(user, age, status=200, slug="free-request", duration=100):
     name = "run_succeeded" if status == 200 else "run_failed"
     return (user, name, slug, status, duration, END - age * DAY)
 
@@ -102,12 +102,12 @@ def test_g3_money(spark):
 
 
 def test_g4_features_p95(spark):
-    rows = [ev(1, 1, 200, "ask-ai", i * 100) for i in range(1, 21)]
-    rows += [ev(1, 2, 402, "ask-ai", 99999), ev(1, 3, 422, "pull-out-details", 1000)]
+    rows = [ev(1, 1, 200, "free-request", i * 100) for i in range(1, 21)]
+    rows += [ev(1, 2, 402, "free-request", 99999), ev(1, 3, 422, "field-finder", 1000)]
     f = feat.feature_table(make_events(spark, rows), clock(END, 30)).collect()
-    assert f[0].slug == "ask-ai" and f[0].p95_ms == 1900 and f[0].repeat_users == 0
+    assert f[0].slug == "free-request" and f[0].p95_ms == 1900 and f[0].repeat_users == 0
     assert f[0].users == 1 and f[0].credit_blocks == 1
-    assert f[1].slug == "pull-out-details" and f[1].p95_ms is None
+    assert f[1].slug == "field-finder" and f[1].p95_ms is None
 
 
 def test_g5_empty(spark):

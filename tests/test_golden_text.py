@@ -67,37 +67,37 @@ def test_image_sniff(spark):
 def test_prompt_template_and_choice_fallback(spark):
     cat = read_catalog(spark)
     req = spark.createDataFrame([
-        (1, "tone-shifter", "hi there", "formal", "Keep it short.", False),
-        (2, "tone-shifter", "hi", "sarcastic", "", False),        # unknown choice -> first option
-        (3, "ask-ai", "  ", None, "", False),                      # empty input -> 400
-        (4, "ask-ai", "what is 2+2", None, "", False),             # empty prompt -> input is the prompt
-        (5, "snap-calories", "", None, None, False),               # image required
-        (6, "pull-out-details", "text", None, "", False),          # needs instructions
+        (1, "letter-polish", "hi there", "official", "Keep it short.", False),
+        (2, "letter-polish", "hi", "sarcastic", "", False),        # unknown choice -> first option
+        (3, "free-request", "  ", None, "", False),                      # empty input -> 400
+        (4, "free-request", "what is 2+2", None, "", False),             # empty prompt -> input is the prompt
+        (5, "plate-check", "", None, None, False),               # image required
+        (6, "field-finder", "text", None, "", False),          # needs instructions
         (7, "no-such", "x", None, None, False)],
         "request_id long, slug string, input string, choice string, instructions string, has_image boolean")
     out = {r.request_id: r for r in tp.prompt_table(req, cat).collect()}
-    assert out[1].content == "Rewrite the input so it sounds formal. Keep it short.\n\n<input>\nhi there\n</input>"
-    assert out[2].content.startswith("Rewrite the input so it sounds friendly.")
+    assert out[1].content == "Give the letter a official voice. Keep it short.\n\n<input>\nhi there\n</input>"
+    assert out[2].content.startswith("Give the letter a warm voice.")
     assert out[3].status == 400 and out[4].content == "what is 2+2" and out[4].status == 200
     assert out[5].status == 400 and out[6].status == 400 and out[7].status == 404
 
 
 def test_catalog_related_featured_public(spark):
     cat = read_catalog(spark)
-    rel = [r.slug for r in cg.related(cat, "ask-ai").collect()]
-    assert rel == ["summarize-anything"]  # pairWith order, unknown slugs dropped
-    feat = [r.slug for r in cg.featured(cat, ["tone-shifter", "missing", "ask-ai"]).collect()]
-    assert feat == ["tone-shifter", "ask-ai"]
+    rel = [r.slug for r in cg.related(cat, "free-request").collect()]
+    assert rel == ["boil-down", "letter-polish"]  # pairWith order, unknown slugs dropped
+    feat = [r.slug for r in cg.featured(cat, ["letter-polish", "missing", "free-request"]).collect()]
+    assert feat == ["letter-polish", "free-request"]
     pub = cg.export_json(cg.public_catalog(cat)).collect()
     first = json.loads(pub[0].json)
-    assert "prompt" not in first and "model" not in first and "icloudUrl" not in first and first["slug"] == "ask-ai"
-    hits = {r.slug for r in cg.matching(cat, "routing", ["name", "tagline", "category"]).collect()}
-    assert hits == {"pick-a-category"}
+    assert "prompt" not in first and "model" not in first and "icloudUrl" not in first and first["slug"] == "free-request"
+    hits = {r.slug for r in cg.matching(cat, "branching", ["name", "tagline", "category"]).collect()}
+    assert hits == {"drawer-sorter"}
     blocks = {r.slug for r in cg.matching(cat, "", ["name"], blocks_only=True).collect()}
-    assert "tone-shifter" not in blocks and "ask-ai" in blocks
+    assert "letter-polish" not in blocks and "free-request" in blocks
     costs = {r.slug: r.typicalCost for r in cg.typical_cost(cat, D.text_prices(spark)).collect()}
-    assert abs(costs["ask-ai"] - (__import__("math").ceil((600 * 0.293 + 250 * 2.253) * 1.5)) / 1e6) < 1e-12
-    assert costs["pick-a-category"] == 32 / 1e6  # ceil(500 * 0.042 * 1.5) micro-dollars
+    assert abs(costs["free-request"] - (__import__("math").ceil((700 * 0.293 + 300 * 2.253) * 1.5)) / 1e6) < 1e-12
+    assert costs["drawer-sorter"] == 32 / 1e6  # ceil(500 * 0.042 * 1.5) micro-dollars
 
 
 def test_cost_label(spark):
@@ -117,13 +117,13 @@ def test_catalog_category_pruning_and_metadata_merge(spark):
     cat = read_catalog(spark)
     cats = catalog_dict()["categories"]
     assert [r.category for r in cg.visible_categories(cat, cats).collect()] == \
-        ["Building Blocks", "Writing", "Capture", "Everyday"]  # no Productivity items in this catalog
-    hidden = ["snap-calories"]
-    assert "Everyday" not in [r.category for r in cg.visible_categories(cat, cats, hidden).collect()]
+        ["Basics", "Wording", "Recordings", "Kitchen"]  # no Household items in this catalog
+    hidden = ["plate-check"]
+    assert "Kitchen" not in [r.category for r in cg.visible_categories(cat, cats, hidden).collect()]
     assert [r.category for r in cg.categories_without_blocks(cat, cats).collect()] == \
-        ["Writing", "Productivity", "Capture", "Everyday"]
-    meta = spark.createDataFrame([("ask-ai", "Text", ["x"]), ("no-such", "Y", ["y"])],
+        ["Wording", "Household", "Recordings", "Kitchen"]
+    meta = spark.createDataFrame([("free-request", "Other", ["x"]), ("no-such", "Y", ["y"])],
                                  "slug string, input string, extra array<string>")
     merged = {r.slug: r for r in cg.merge_metadata(cat, meta).collect()}
-    assert merged["ask-ai"].input == "Text" and merged["ask-ai"].extra == ["x"]
-    assert "no-such" not in merged and merged["tone-shifter"].extra is None
+    assert merged["free-request"].input == "Plain text" and merged["free-request"].extra == ["x"]
+    assert "no-such" not in merged and merged["letter-polish"].extra is None

@@ -17,7 +17,7 @@ END = 1_790_899_200_000
 
 def test_append_events_keeps_only_allowed_columns(spark):
     d = tempfile.mkdtemp(prefix="meterline-sink-")
-    ev = make_events(spark, [(1, "run_succeeded", "ask-ai", 200, 5, END)]).withColumn("prompt", F.lit("secret"))
+    ev = make_events(spark, [(1, "run_succeeded", "free-request", 200, 5, END)]).withColumn("prompt", F.lit("secret"))
     sinks.append_events(ev, d)
     sinks.append_events(ev, d)
     back = spark.read.parquet(d)
