@@ -10,10 +10,11 @@ The model is fixed while it scores, so exclusion needs no walk per sign: the sig
 shorter one, and what is left of a context's counts and signs is a number of the longer context. These numbers are
 worked out once per context, and a sign costs one look-up where its longest context knows it.
 
-At scale: every task adds up its own counts, only (context, sign, count) rows are shuffled. The trie goes out in blocks of at
-most ``BLOCK`` counts, cut by the last two bytes of the context, which all orders from two on share, and the words in blocks of
-``WORD_BYTES``; each block is one pass over the texts, and the passes are added up. A block of one such pair of bytes has 257 * 65,536 counts at most,
-so memory has a bound that does not depend on the documents. Long texts are scored in pieces that keep their context.
+At scale: every task adds up its own counts, only (context, sign, count) and (word, count) rows are shuffled. The trie goes out in blocks of at
+most ``BLOCK`` counts, cut by the last two bytes of the context, which all orders from two on share; each block is one pass over the texts.
+A block of one such pair of bytes has 257 * 65,536 counts at most, so memory has a bound that does not depend on the documents. The words that make up
+most tokens go out as well, as many as fit in ``WORD_BYTES``; all rarer words of a text are joined with the counts, so the vocabulary may
+be of any size and a frequent word is no hot key of the join. Long texts are scored in pieces that keep their context.
 
 A null text is empty (its end sign is scored). Rows without an id are not held out (the query learns from rows with one only). Repeated
 rows are learned from and scored each. With nothing to learn from, all signs are alike and the words' score is 0. An empty table gives no rows.
@@ -25,7 +26,6 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ PIECE = 1 << 19  # bytes looked at together
 HELD = 2_000_000  # counts that a training task holds before it hands them on
 BLOCK = 2_000_000  # counts of a block of the trie
 UNIT = 250_000  # counts that one task works on while the trie is built
-WORD_BYTES = 16 << 20  # words of one block, with 64 bytes each besides
+WORD_BYTES = 16 << 20  # words that go out to all tasks, with 64 bytes each besides
 _PAIRS = 1 << 16
 _BYTE, _SIGN = 8, 9  # bits of a context byte and of a sign
 
@@ -131,7 +131,7 @@ def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for t in data:
                 words.update(t.lower().split())
             words[b""] += len(data)
-            if len(words) > HELD // 8:
+            if len(words) > HELD // 4:
                 yield out_words()
         if grams:
             yield out(*_added(grams))
@@ -331,13 +331,29 @@ class Model:
         placed = grams.withColumn("pair", pair.cast("int")).join(F.broadcast(places), "pair").select("block", "unit", "gram", "n")
         self.trie = save(placed.groupBy("block", "unit").applyInArrow(
             build, "key long, a double, b double, c double, d double, block int"), "ppm-trie")
-        words = counted.where("word is not null")
-        total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)),
-                          F.coalesce(F.sum(F.length("word") + 64), F.lit(0))).first()
-        self.tokens, self.distinct = total[0], total[1]
-        self.word_blocks = -(-total[2] // WORD_BYTES) or 1
-        self.words = words.select("word", "n", F.pmod(F.xxhash64("word"), F.lit(self.word_blocks)).cast("int").alias("block"))
-        self.passes = max(int(self.block_of.max()) + 1, self.word_blocks)
+        words = counted.where("word is not null").select("word", "n")
+        step = F.floor(F.log2("n")).cast("int")
+        sizes = words.groupBy(step.alias("step")).agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.length("word") + 64)).collect()  # 63 rows at most
+        self.tokens, self.distinct = sum(r[1] for r in sizes), sum(r[2] for r in sizes)
+        least, held = 62, 0  # no count reaches 2 ** 62
+        for r in sorted(sizes, reverse=True):
+            held += r[3]
+            if held > WORD_BYTES:
+                break
+            least = r[0]
+        self.frequent, self.rare = words.where(F.col("n") >= 1 << least), words.where(F.col("n") < 1 << least)
+        self.scale = self.tokens + 0.1 * (self.distinct + 1)
+        self.passes = int(self.block_of.max()) + 1
+
+    def sent(self, i: int):
+        """Broadcast of one block of the trie, and with the first one the frequent words with their logarithms."""
+        trie = self.trie.where(F.col("block") == i).toArrow()
+        numbers = np.stack([trie[c].to_numpy() for c in "abcd"], axis=1)
+        value = {}
+        if i == 0:
+            words = self.frequent.toArrow()
+            value = dict(zip(words["word"].to_pylist(), np.log10((words["n"].to_numpy() + 0.1) / self.scale).tolist()))
+        return self.spark.sparkContext.broadcast((trie["key"].to_numpy(), numbers, self.short, self.block_of == i, value))
 
     @staticmethod
     def _cut(size: np.ndarray, most: int) -> np.ndarray:
@@ -350,14 +366,6 @@ class Model:
             out[p] = at
         return out
 
-    def sent(self, i: int):
-        trie = self.trie.where(F.col("block") == i).toArrow()
-        numbers = np.stack([trie[c].to_numpy() for c in "abcd"], axis=1)
-        words = self.words.where(F.col("block") == i).toArrow() if i < self.word_blocks else None
-        scale = self.tokens + 0.1 * (self.distinct + 1)
-        value = None if words is None else dict(zip(words["word"].to_pylist(), np.log10((words["n"].to_numpy() + 0.1) / scale).tolist()))
-        return self.spark.sparkContext.broadcast((trie["key"].to_numpy(), numbers, self.short, self.block_of == i, value or {}))
-
 
 def learn(docs: DataFrame, text_col: str = "text") -> Model:
     """The model of all texts of ``docs``."""
@@ -365,28 +373,38 @@ def learn(docs: DataFrame, text_col: str = "text") -> Model:
 
 
 def _pass(docs: DataFrame, model: Model, i: int, id_col: str, text_col: str) -> DataFrame:
+    """Scores in one block of the trie; the first pass looks up the words too and returns those that it does not know."""
     sent, name = model.sent(i), uuid.uuid4().hex
+    kind = pa.list_(pa.struct([("word", pa.binary()), ("m", pa.int32())]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, block, value = text_bytes(batch), _loaded(sent, name), sent.value[4]
         score = np.zeros(len(data))
         for key, text in signs(data):
             score += np.bincount(text, weights=block.score(key), minlength=len(data))
-        tokens, known, base = [], [], []
-        for t in data:
-            words = t.lower().split()
-            found = [v for v in map(value.get, words) if v is not None]
-            if b"" in value:
-                found.append(value[b""])
-            tokens.append(len(words) + 1)
-            known.append(len(found))
-            base.append(sum(found))
-        return pa.RecordBatch.from_arrays(
-            [column(batch, "doc_id"), column(batch, "h"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()),
-             pa.array(base, pa.float64()), pa.array(score)], names=["doc_id", "h", "n_tokens", "n_known", "known", "score"])
-
-    return map_texts(docs, [*doc_columns(id_col, text_col), text_key(text_col).alias("h")],
-                     "doc_id long, h long, n_tokens long, n_known long, known double, score double", run)
+        tokens, known, base, rare = [], [], [], []
+        for t in data if i == 0 else []:
+            words = t.lower().split() + [b""]
+            values = list(map(value.get, words))
+            other = Counter(w for w, v in zip(words, values) if v is None)
+            tokens.append(len(words))
+            known.append(len(words) - other.total())
+            base.append(sum(v for v in values if v is not None))
+            rare.append([{"word": w, "m": m} for w, m in other.items()])
+        columns = [column(batch, "row"), column(batch, "doc_id"), column(batch, "h"), pa.array(score)]
+        names = ["row", "doc_id", "h", "score"]
+        if i == 0:
+            columns += [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, kind)]
+            names += ["n_tokens", "n_known", "known", "rare"]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    columns = [F.monotonically_increasing_id().alias("row"), *doc_columns(id_col, text_col), text_key(text_col).alias("h")]
+    schema = "row long, doc_id long, h long, score double"
+    if i == 0:
+        schema += ", n_tokens long, n_known long, known double, rare array<struct<word:binary,m:int>>"
+    made = save(map_texts(docs, columns, schema, run), "ppm-pass")
+    sent.destroy()
+    return made
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -395,16 +413,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     ``score`` is the log10 probability of the text and its end in the trie, ``base_score`` that of its words and
     their end by smoothed counts; both of the whole text.
     """
-    if model.passes == 1:
-        rows = _pass(docs, model, 0, id_col, text_col)
-    else:
-        # equal rows get equal parts of the sums in each pass: what they have together is dealt out again
-        parts = [save(_pass(docs, model, i, id_col, text_col).withColumn("pass", F.lit(i)), "ppm-pass") for i in range(model.passes)]
-        copies = F.count_if(F.col("pass") == 0)
-        rows = (reduce(DataFrame.union, parts).groupBy("doc_id", "h").agg(
-            copies.alias("copies"), F.max("n_tokens").alias("n_tokens"), F.expr("sum(n_known) div count_if(pass = 0)").alias("n_known"),
-            (F.sum("known") / copies).alias("known"), (F.sum("score") / copies).alias("score"))
-            .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))))
-    unknown = float(np.log10(0.1 / (model.tokens + 0.1 * (model.distinct + 1))))
-    return rows.select("doc_id", "n_tokens", "n_known", F.lit(int(model.tokens)).cast("long").alias("train_tokens"),
-                       (F.col("known") + (F.col("n_tokens") - F.col("n_known")) * F.lit(unknown)).alias("base_score"), "score")
+    rows = _pass(docs, model, 0, id_col, text_col)
+    for i in range(1, model.passes):
+        # equal rows have equal scores, so one of them stands for all
+        more = _pass(docs, model, i, id_col, text_col).groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.max("score").alias("more"))
+        rows = (rows.join(more, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")))
+                .withColumn("score", F.col("score") + F.col("more")).drop("d", "g", "more"))
+    value = F.log10((F.col("n") + 0.1) / F.lit(model.scale))
+    found = (rows.select("row", F.explode("rare").alias("s")).select("row", "s.word", "s.m").join(model.rare, "word")
+             .groupBy("row").agg(F.sum("m").alias("more_known"), F.sum(F.col("m") * value).alias("more")))
+    known = F.col("n_known") + F.coalesce("more_known", F.lit(0))
+    unknown = float(np.log10(0.1 / model.scale))
+    return rows.join(found, "row", "left").select(
+        "doc_id", "n_tokens", known.alias("n_known"), F.lit(int(model.tokens)).cast("long").alias("train_tokens"),
+        (F.col("known") + F.coalesce("more", F.lit(0.0)) + (F.col("n_tokens") - known) * F.lit(unknown)).alias("base_score"), "score")
