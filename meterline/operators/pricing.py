@@ -72,25 +72,29 @@ def usage_tokens(u: DataFrame) -> DataFrame:
             .withColumn("out_tokens", F.coalesce(F.col("output_tokens"), out_est)))
 
 
-def usage_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """Cost of each metered request by kind (model call assumed to succeed)."""
-    u = usage_tokens(with_prices(usage, prices))
+def _cost() -> Column:
+    """Cost by kind, over the columns of ``usage_tokens``."""
     kind = F.col("kind")
     minutes = F.coalesce(F.col("audio_seconds"), F.lit(D.DEFAULT_AUDIO_SECONDS)) / F.lit(60)
-    cost = (F.when(kind == "text", text_cost_expr(F.col("in_tokens"), F.col("out_tokens"),
+    return (F.when(kind == "text", text_cost_expr(F.col("in_tokens"), F.col("out_tokens"),
                                                   F.col("price_in"), F.col("price_out")))
             .when(kind == "audio", audio_cost_expr(minutes))
             .when(kind == "image", image_cost_expr(F.col("in_tokens"), F.col("out_tokens")))
             .when(kind == "classifier", classifier_cost_expr(F.col("in_tokens"))))
+
+
+def usage_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
+    """Cost of each metered request by kind (model call assumed to succeed)."""
+    u = usage_tokens(with_prices(usage, prices))
+    kind = F.col("kind")
     return u.select("id", "user_id", "kind", "model",
                     F.when(kind == "audio", F.lit(0).cast("long")).otherwise(F.col("in_tokens")).alias("input_tokens"),
                     F.when(kind == "audio", F.lit(0).cast("long")).otherwise(F.col("out_tokens")).alias("output_tokens"),
-                    cost.alias("cost_micros"))
+                    _cost().alias("cost_micros"))
 
 
-def reservation(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """P5 + P9 + F21 (size/model rules): admission status and worst-case reservation."""
-    u = with_prices(usage, prices)
+def _admission() -> tuple[Column, Column, Column]:
+    """Admission status, output-token cap and worst-case cost, over the columns of ``with_prices``."""
     kind, size = F.col("kind"), F.col("body_chars")
     max_tokens = clamp_max_tokens(F.col("requested_max_tokens"))
     images = F.col("images").cast("long")
@@ -110,10 +114,15 @@ def reservation(usage: DataFrame, prices: DataFrame) -> DataFrame:
                 .when(kind == "image", image_cost_expr(size, F.lit(D.IMAGE_MAX_OUTPUT_TOKENS)))
                 .when(kind == "audio", audio_cost_expr(
                     F.greatest(_d(1.0), audio_bytes / F.lit(D.MIN_AUDIO_BYTES_PER_MINUTE)))))
-    return u.select("id", "user_id", "kind", "model",
-                    F.when(kind == "text", max_tokens).alias("max_tokens"),
-                    status.cast("int").alias("status"),
-                    F.when(status == 200, reserved).cast("long").alias("reserved_micros"))
+    return status.cast("int"), max_tokens, reserved.cast("long")
+
+
+def reservation(usage: DataFrame, prices: DataFrame) -> DataFrame:
+    """P5 + P9 + F21 (size/model rules): admission status and worst-case reservation."""
+    status, max_tokens, reserved = _admission()
+    return with_prices(usage, prices).select(
+        "id", "user_id", "kind", "model", F.when(F.col("kind") == "text", max_tokens).alias("max_tokens"),
+        status.alias("status"), F.when(status == 200, reserved).alias("reserved_micros"))
 
 
 def provider_error_status(message: Column, kind: Column) -> Column:
@@ -136,24 +145,26 @@ def provider_errors(usage: DataFrame) -> DataFrame:
                     provider_error_status(F.col("provider_error"), F.col("kind")).cast("int").alias("status"))
 
 
+def metered_outcomes(usage: DataFrame, prices: DataFrame, *more: str) -> DataFrame:
+    """Admission, reservation and actual cost of each request in one projection: ``actual = min(cost, reserved)``,
+    0 when the provider failed, null when the request was not admitted. ``more``: columns of ``usage`` to keep."""
+    admitted, _, reserved = _admission()
+    u = usage_tokens(with_prices(usage, prices)).select(
+        "id", "user_id", "kind", *more, "provider_error", admitted.alias("admitted"), reserved.alias("worst"), _cost().alias("cost"))
+    ok, failed = F.col("admitted") == 200, F.col("provider_error").isNotNull()
+    actual = F.when(ok, F.when(failed, F.lit(0).cast("long")).otherwise(F.least("cost", "worst")))
+    status = F.when(ok & failed, provider_error_status(F.col("provider_error"), F.col("kind"))).otherwise(F.col("admitted"))
+    return u.select("id", "user_id", *more, status.cast("int").alias("status"),
+                    F.when(ok, F.col("worst")).alias("reserved_micros"), actual.alias("actual_micros"))
+
+
 def settlement(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """actual = min(cost, reserved) (0 when the provider failed); refund the rest;
+    """Refund what was reserved beyond the actual cost;
     a usage ledger row of -actual only when actual > 0.  Rejected requests reserve nothing."""
-    r = reservation(usage, prices).select("id", "status", "reserved_micros")
-    c = usage_cost(usage, prices).select("id", "user_id", "kind", "cost_micros")
-    errs = usage.select("id", "provider_error")
-    j = r.join(c, "id").join(errs, "id")
-    failed = F.col("provider_error").isNotNull()
-    actual = F.when(F.col("status") != 200, F.lit(None).cast("long")) \
-        .when(failed, F.lit(0).cast("long")) \
-        .otherwise(F.least(F.col("cost_micros"), F.col("reserved_micros")))
-    final_status = F.when((F.col("status") == 200) & failed,
-                          provider_error_status(F.col("provider_error"), F.col("kind"))) \
-        .otherwise(F.col("status"))
-    return j.select("id", "user_id", final_status.cast("int").alias("status"), "reserved_micros",
-                    actual.alias("actual_micros"),
-                    (F.col("reserved_micros") - actual).alias("refund_micros"),
-                    F.when(actual > 0, -actual).alias("ledger_amount"))
+    actual = F.col("actual_micros")
+    return metered_outcomes(usage, prices).select(
+        "id", "user_id", "status", "reserved_micros", "actual_micros", (F.col("reserved_micros") - actual).alias("refund_micros"),
+        F.when(actual > 0, -actual).alias("ledger_amount"))
 
 
 def usage_by_user(settled: DataFrame) -> DataFrame:

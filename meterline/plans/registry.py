@@ -38,7 +38,7 @@ def load_all() -> None:
         importlib.import_module(f"meterline.plans.{mod}")
 
 
-MODULES = ["q_engagement", "q_money", "q_pricing", "q_ledger", "q_purchases", "q_privacy", "q_text", "q_kpi", "q_streaming"]
+MODULES = ["q_engagement", "q_money", "q_pricing", "q_ledger", "q_purchases", "q_metering", "q_privacy", "q_text", "q_kpi", "q_streaming"]
 
 
 def reset_caches(spark: SparkSession) -> None:

@@ -150,6 +150,37 @@ def usage_requests(ev0: DataFrame) -> DataFrame:
                     "created_at"))
 
 
+ATTEMPT_GAP = 20_000  # milliseconds between the login attempts of one event
+
+
+def login_attempts(ev0: DataFrame) -> DataFrame:
+    """Login attempts: every event comes with ``1 + k % 16`` of them, 20 s apart, from one of five shared networks."""
+    k = F.col("k")
+    return (ev0.select(F.concat(F.lit("net-"), (F.col("user_id") % 5).cast("string")).alias("key"), "event_id", "created_at",
+                       F.explode(F.sequence(F.lit(0), (F.coalesce(k, F.lit(0)) % 16).cast("int"))).alias("i"))
+            .select("key", (F.col("event_id") * 16 + F.col("i")).alias("id"), (F.col("created_at") + F.col("i") * ATTEMPT_GAP).alias("ts")))
+
+
+def opening_balances(ev0: DataFrame) -> DataFrame:
+    """Balance of every account before its first event."""
+    return ev0.select("user_id").distinct().select("user_id", ((F.col("user_id") % 5) * 4000).cast("long").alias("balance_micros"))
+
+
+def small_credits(ev0: DataFrame) -> DataFrame:
+    """Credits of about the size of a few runs, one per purchase event."""
+    return ev0.where(F.col("event_type") == "purchase").select(
+        "user_id", F.col("created_at").alias("at"), F.col("event_id").alias("id"), F.floor(F.col("value") * 500).cast("long").alias("amount_micros"))
+
+
+def metered_requests(usage: DataFrame, prices: DataFrame) -> DataFrame:
+    """Admitted requests as runs: settled ``1000 + 37 * (id % 1000)`` ms later; every 19th id is still open."""
+    from meterline.operators.pricing import metered_outcomes
+
+    r = metered_outcomes(usage, prices, "created_at").where(F.col("reserved_micros").isNotNull())
+    done = F.when(F.col("id") % 19 != 0, F.col("created_at") + 1000 + 37 * (F.col("id") % 1000))
+    return r.select("id", "user_id", F.col("created_at").alias("at"), "reserved_micros", "actual_micros", done.alias("settled_at"))
+
+
 LEDGER_CUTOFF = 1_705_276_800_000  # 2024-01-15T00:00Z: ledger rows before it are "already written"
 
 
