@@ -110,12 +110,17 @@ def key_lookup(requests: DataFrame, keys: DataFrame, accounts: DataFrame) -> Dat
 
 
 def live_sessions(sessions: DataFrame, accounts: DataFrame, now_ms: int) -> DataFrame:
-    """J8 + F13 + F14/ST6: sessions of existing accounts not yet expired (``expires_at >= now``);
-    expired rows are what the purge removes."""
+    """J8 + F13: sessions of existing accounts not yet expired (``expires_at >= now``)."""
     return (sessions.where(F.col("expires_at") >= F.lit(now_ms))
             .join(accounts.select(F.col("id").alias("user_id"), "email"), "user_id", "inner"))
 
 
+def purge_sessions(sessions: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
+    """``(kept, purged)``; what expired before ``now`` goes, a session without an expiry stays."""
+    gone = F.coalesce(F.col("expires_at") < F.lit(now_ms), F.lit(False))
+    return sessions.where(~gone), sessions.where(gone)
+
+
 def linked_providers(identities: DataFrame) -> DataFrame:
     """K7: each account's providers, alphabetical."""
     return identities.groupBy("user_id").agg(F.sort_array(F.collect_set("provider")).alias("providers"))

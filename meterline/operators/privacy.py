@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterline.functions.keys import spread_nulls
+from meterline.functions.idfilter import IdFilter
 from meterline.functions.sequence import global_sequence
 
 
@@ -21,31 +21,25 @@ def erase(tables: dict[str, DataFrame], erasure_ids: DataFrame) -> dict[str, Dat
 
     ``tables``: users(id), events/api_keys/sessions/identities/ledger(user_id),
     store_transactions(user_id), registry(id).  ``erasure_ids``: user_id.
+
+    A short list goes out to all tasks. For a long one a Bloom filter of the erased ids splits each table first: rows that it does not
+    know (and rows without an id) pass without a shuffle, only the others meet the list in an exact join.
     """
-    gone = erasure_ids.select("user_id").distinct()
+    gone = IdFilter(erasure_ids.select("user_id").where("user_id is not null").distinct(), "user_id")
     out = dict(tables)
-    out["users"] = tables["users"].join(gone.withColumnRenamed("user_id", "id"), "id", "left_anti")
-    g = gone.select(F.col("user_id").alias("_k"))
-    for name in ("events", "api_keys", "sessions", "identities", "ledger"):
+    for name in ("users", "events", "api_keys", "sessions", "identities", "ledger"):
         if name in tables:
-            t = tables[name]
-            out[name] = (t.withColumn("_k", spread_nulls(F.col("user_id"), *[F.col(c) for c in t.columns]))
-                         .join(g, "_k", "left_anti").drop("_k"))
+            out[name] = gone.without(tables[name], "id" if name == "users" else "user_id")
     if "store_transactions" in tables:
-        st = tables["store_transactions"]
-        flagged = (st.withColumn("_k", spread_nulls(F.col("user_id"), *[F.col(c) for c in st.columns]))
-                   .join(g.withColumn("_erased", F.lit(True)), "_k", "left"))
-        out["store_transactions"] = flagged.select(
-            *[F.when(F.col("_erased").isNull(), F.col(c)).alias(c) if c == "user_id" else F.col(c)
-              for c in st.columns])
+        out["store_transactions"] = gone.cleared(tables["store_transactions"], "user_id")
     return out
 
 
 def orphans(children: dict[str, DataFrame], users: DataFrame) -> DataFrame:
     """Rows whose ``user_id`` has no account (``PRAGMA foreign_key_check``), per table."""
     ids = users.select(F.col("id").alias("user_id"))
-    parts = [df.where(F.col("user_id").isNotNull()).join(ids, "user_id", "left_anti")
-             .agg(F.count(F.lit(1)).alias("orphans")).withColumn("table", F.lit(name))
+    parts = [df.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+             .join(ids, "user_id", "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orphans")).withColumn("table", F.lit(name))
              for name, df in children.items()]
     out = parts[0]
     for p in parts[1:]:
@@ -116,16 +110,16 @@ def erasure_counts(tables: dict[str, DataFrame], erasure_ids: DataFrame,
     parts = []
     for name, df in tables.items():
         key = "id" if name in ("users", "registry") else "user_id"
-        f = (df.select(F.col(key).alias("user_id"),
-                       spread_nulls(F.col(key), *[F.col(c) for c in df.columns]).alias("_k"))
-             .join(gone.withColumnRenamed("user_id", "_k"), "_k", "left"))
-        erased = F.coalesce(F.col("_erased"), F.lit(False))
-        if name == "registry":
-            erased = F.lit(False)
+        # counted per account before the join: only the key column is read, and rows without an account are one row a task
+        f = df.groupBy(F.col(key).alias("user_id")).agg(F.count(F.lit(1)).alias("n")).join(gone, "user_id", "left")
+        erased = F.lit(False) if name == "registry" else F.coalesce(F.col("_erased"), F.lit(False))
         after = F.lit(True) if name in kept else ~erased
-        parts.append(f.agg(F.count(F.lit(1)).alias("rows_before"),
-                           F.count(F.when(after, 1)).alias("rows_after"),
-                           F.count(F.when(~erased & F.col("user_id").isNotNull(), 1)).alias("linked_after"))
+
+        def total(cond):
+            return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+
+        parts.append(f.agg(total(F.lit(True)).alias("rows_before"), total(after).alias("rows_after"),
+                           total(~erased & F.col("user_id").isNotNull()).alias("linked_after"))
                      .withColumn("table_name", F.lit(name)))
     out = parts[0]
     for p in parts[1:]:

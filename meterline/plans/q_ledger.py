@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meterline.operators import ledger as lg
+from meterline.operators import reconcile
 from meterline.plans.oracle import with_base
 from meterline.plans.registry import register
-from meterline.sources.derived import LEDGER_CUTOFF, Model
+from meterline.sources.derived import LEDGER_CUTOFF, Model, stored_balances
 
 BAL_CTE = """bal AS (SELECT u.id AS user_id, CAST(COALESCE(s.n_rows, 0) AS BIGINT) AS n_rows,
   CAST(COALESCE(s.balance_micros, 0) AS BIGINT) AS balance_micros
@@ -21,6 +22,18 @@ def q_ledger_balances(spark, sf_dir):
     return lg.ledger_balances(m.ledger, m.users)
 
 
+@register("balance_differences", with_base("""SELECT user_id, l AS ledger_micros, b AS stored_micros, coalesce(b, 0) - coalesce(l, 0) AS diff_micros,
+  CASE WHEN b IS NULL THEN 'not_stored' WHEN l IS NULL THEN 'no_ledger' ELSE 'amount' END AS kind
+FROM (SELECT * FROM sums WHERE l <> 0) FULL JOIN (SELECT user_id, b FROM stored WHERE b <> 0) USING (user_id) WHERE l IS DISTINCT FROM b""",
+    "sums AS (SELECT user_id, CAST(sum(amount_micros) AS BIGINT) AS l FROM ledger GROUP BY user_id)",
+    """stored AS (SELECT user_id, l + if(user_id % 37 = 0, 1000, 0) AS b FROM sums WHERE user_id % 41 <> 0
+  UNION ALL SELECT user_id + 10000000, 5 FROM sums WHERE user_id % 43 = 0)"""))
+def q_balance_differences(spark, sf_dir):
+    """Ledger against stored balances; the planted faults and nothing else."""
+    m = Model(spark, sf_dir)
+    return reconcile.balance_differences(m.ledger, stored_balances(m.ev0))
+
+
 @register("running_balance", with_base("""SELECT id, user_id, created_at, amount_micros,
   CAST(SUM(amount_micros) OVER (PARTITION BY user_id ORDER BY created_at, id
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS balance_micros,

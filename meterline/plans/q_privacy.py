@@ -135,10 +135,12 @@ def q_erasure_transactions(spark, sf_dir):
     return pv.erase(t.tables(), t.erased)["store_transactions"].select("id", "user_id", "environment")
 
 
+# Rows of erased accounts written after the erasure (late writes): events and ledger rows whose id is divisible by 7.
 _orph = []
 for name, tbl in [("events", "analytics_events"), ("api_keys", "api_keys"), ("sessions", "sessions"),
                   ("identities", "identities"), ("ledger", "ledger"), ("store_transactions", "app_store_transactions")]:
-    cond = "" if name == "store_transactions" else " AND user_id NOT IN (SELECT user_id FROM erased)"
+    late = " OR id % 7 = 0" if name in ("events", "ledger") else ""
+    cond = "" if name == "store_transactions" else f" AND (user_id NOT IN (SELECT user_id FROM erased){late})"
     null_tx = (" CASE WHEN user_id IN (SELECT user_id FROM erased) THEN NULL ELSE user_id END"
                if name == "store_transactions" else " user_id")
     _orph.append(f"""SELECT '{name}' AS "table", CAST(COUNT(*) AS BIGINT) AS orphans FROM (SELECT{null_tx} AS user_id FROM {tbl}
@@ -148,9 +150,12 @@ for name, tbl in [("events", "analytics_events"), ("api_keys", "api_keys"), ("se
 @register("orphans", _acc("\nUNION ALL ".join(_orph)))
 def q_orphans(spark, sf_dir):
     t = _T(spark, sf_dir)
-    after = pv.erase(t.tables(), t.erased)
+    before = t.tables()
+    after = pv.erase(before, t.erased)
     children = {k: after[k] for k in ("events", "api_keys", "sessions", "identities", "ledger",
                                       "store_transactions")}
+    for k in ("events", "ledger"):
+        children[k] = children[k].unionByName(before[k].where("id % 7 = 0").join(t.erased, "user_id", "left_semi").select(*children[k].columns))
     return pv.orphans(children, after["users"])
 
 
@@ -193,15 +198,15 @@ def q_id_allocation(spark, sf_dir):
     return _ident(t).where(F.col("action") == "created").select("claim_id", F.col("user_id").alias("id"))
 
 
-@register("id_reuse_violations", _acc("""SELECT id, 'reused' AS violation FROM nid WHERE new_id IN (SELECT id FROM users)
-UNION ALL SELECT id, 'removed' FROM (SELECT DISTINCT id FROM users) r
-  WHERE id NOT IN (SELECT id FROM users UNION SELECT new_id FROM nid)""".replace(
-    "SELECT id, 'reused' AS violation FROM nid", "SELECT new_id AS id, 'reused' AS violation FROM nid"), *IDENT_CTES))
+# Planted faults: registered ids divisible by 50 are handed out again, those divisible by 60 vanish from the registry.
+@register("id_reuse_violations", _acc("""SELECT DISTINCT id, 'reused' AS violation FROM users WHERE id % 50 = 0 OR id IN (SELECT new_id FROM nid)
+UNION ALL SELECT DISTINCT id, 'removed' FROM users WHERE id % 60 = 0""", *IDENT_CTES))
 def q_id_reuse_violations(spark, sf_dir):
     t = _T(spark, sf_dir)
     new_ids = _ident(t).where(F.col("action") == "created").select(F.col("user_id").alias("id"))
-    after = pv.registry_seed(new_ids, pv.erase(t.tables(), t.erased)["registry"])
-    return pv.id_reuse_violations(new_ids, t.registry, after)
+    again = t.registry.where("id % 50 = 0").select("id")
+    after = pv.registry_seed(new_ids, pv.erase(t.tables(), t.erased)["registry"].where("id % 60 <> 0"))
+    return pv.id_reuse_violations(new_ids.unionByName(again), t.registry, after)
 
 
 # --- credentials and sessions -----------------------------------------------------------
@@ -233,6 +238,20 @@ def q_live_sessions(spark, sf_dir):
     return idt.live_sessions(t.sessions, t.accounts, COHORT_NOW)
 
 
+# half of the sessions have expired by then
+PURGE_NOW = COHORT_NOW
+
+
+@register("purged_sessions", _acc(f"SELECT token_hash, user_id, expires_at FROM sessions WHERE expires_at < {PURGE_NOW}"))
+def q_purged_sessions(spark, sf_dir):
+    return idt.purge_sessions(_T(spark, sf_dir).sessions, PURGE_NOW)[1]
+
+
+@register("kept_sessions", _acc(f"SELECT token_hash, user_id, expires_at FROM sessions WHERE expires_at >= {PURGE_NOW}"))
+def q_kept_sessions(spark, sf_dir):
+    return idt.purge_sessions(_T(spark, sf_dir).sessions, PURGE_NOW)[0]
+
+
 @register("linked_providers", _acc("""SELECT user_id, array_to_string(list_sort(list(DISTINCT provider)), ',') AS providers
 FROM identities GROUP BY user_id"""))
 def q_linked_providers(spark, sf_dir):

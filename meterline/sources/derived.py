@@ -172,6 +172,15 @@ def small_credits(ev0: DataFrame) -> DataFrame:
         "user_id", F.col("created_at").alias("at"), F.col("event_id").alias("id"), F.floor(F.col("value") * 500).cast("long").alias("amount_micros"))
 
 
+def stored_balances(ev0: DataFrame) -> DataFrame:
+    """Stored balance of every account with ledger rows, with planted faults: 1,000 micros too much where ``id % 37 = 0``, no row where
+    ``id % 41 = 0``; and a balance of 5 for an account without ledger rows for every id divisible by 43."""
+    u = F.col("user_id")
+    sums = ledger(ev0).groupBy("user_id").agg(F.sum("amount_micros").alias("b"))
+    own = sums.where(u % 41 != 0).select("user_id", (F.col("b") + F.when(u % 37 == 0, 1000).otherwise(0)).cast("long").alias("balance_micros"))
+    return own.unionByName(sums.where(u % 43 == 0).select((u + 10_000_000).alias("user_id"), F.lit(5).cast("long").alias("balance_micros")))
+
+
 def metered_requests(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Admitted requests as runs: settled ``1000 + 37 * (id % 1000)`` ms later; every 19th id is still open."""
     from meterline.operators.pricing import metered_outcomes
