@@ -154,6 +154,52 @@ def meal_valid(obj_text: Column) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+_JSON_STRING = r'("(?:[^"\\\\]|\\\\.)*+")'
+
+
+def plain_numbers(json_text: Column) -> Column:
+    """Numbers of a compact JSON text without a fraction of zeros (``5.0`` becomes ``5``, ``1.50`` becomes ``1.5``), strings as they are."""
+    whole = F.regexp_replace(json_text, _JSON_STRING + r"|(?<=[:,\[])(-?\d+)\.0+(?=[,}\]])", "$1$2")
+    return F.regexp_replace(whole, _JSON_STRING + r"|(?<=[:,\[])(-?\d+\.\d*[1-9])0+(?=[,}\]])", "$1$2")
+
+
+def cleaned_object(obj_text: Column) -> Column:
+    """The object as compact JSON without the entries that are ``false``, ``''`` or ``null`` (0, empty lists and empty objects stay).
+
+    Index-like names come first in their order, then the others in theirs; of a repeated name the last value counts, at the first
+    one's place. Numbers written with an exponent keep the spelling of ``to_json``.
+    """
+    raw = F.map_from_entries(F.map_entries(F.from_json(obj_text, "map<string,variant>")))  # a repeated name is one entry then
+    kept = F.map_filter(raw, lambda k, v: ~(v.isNull() | F.is_variant_null(v) | F.to_json(v).isin("false", '""')))
+    names = F.map_keys(kept)
+    number = lambda n: F.when(n.rlike(r"^(0|[1-9]\d{0,9})\z"), n.try_cast("long"))
+    low = lambda n: F.coalesce(number(n) < MAX_INDEX, F.lit(False))
+    first = F.transform(F.array_sort(F.transform(F.filter(names, low), lambda n: F.struct(number(n).alias("i"), n.alias("n")))), lambda s: s["n"])
+    order = F.concat(first, F.filter(names, lambda n: ~low(n)))
+    entry = lambda n: F.concat(_json_text(n), F.lit(":"), F.to_json(F.element_at(kept, n)))
+    return plain_numbers(F.concat(F.lit("{"), F.array_join(F.transform(order, entry), ","), F.lit("}")))
+
+
+def _json_text(c: Column) -> Column:
+    """A string as a JSON string."""
+    return F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r"(?s)^\{\"x\":(.*)\}\z", 1)
+
+
+def answer_document(kind: Column, text: Column) -> tuple[Column, Column]:
+    """L3: ``(status, document)`` of a model's answer: what the format makes of it, or 422 and no document.
+
+    ``kind``: ``meal`` (the checked fields alone), ``json`` (the cleaned object), null for an answer that is handed on as it is. The run is
+    charged either way.
+    """
+    obj = json_object_text(text)
+    v = F.try_parse_json(obj)
+    meal = F.to_json(F.struct(js_trim(F.try_variant_get(v, "$.meal", "string")).alias("meal"),
+                              *[F.try_variant_get(v, f"$.{k}", "double").cast("long").alias(k) for k in MEAL_CAPS]))
+    made = (F.when(kind.isNull(), text).when(kind == "meal", F.when(meal_valid(obj), meal))
+            .when(kind == "json", F.when(obj.isNotNull(), cleaned_object(obj))))
+    return F.when(made.isNull() & kind.isNotNull(), 422).otherwise(200), made
+
+
 # ---- X7 / X13 clean-up, X8 image sniff, X10 secrets -----------------------------------
 
 def drop_empty_sections(text: Column) -> Column:

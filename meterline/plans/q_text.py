@@ -242,6 +242,31 @@ def q_structured_answers(spark, sf_dir):
                     *[F.when(ok, F.try_variant_get(v, f"$.{k}", "double").cast("long")).alias(k) for k in tp.MEAL_CAPS])
 
 
+_ENTRY = "CAST(json_extract(o, '$.\"' || key || '\"') AS VARCHAR)"
+DOCUMENT_SQL = with_base(f"""SELECT answer_id, CASE WHEN kind IS NULL OR made IS NOT NULL THEN 200 ELSE 422 END AS status,
+  CASE WHEN kind IS NULL THEN text ELSE made END AS document
+FROM (SELECT d.answer_id, d.kind, d.text, CASE d.kind WHEN 'meal' THEN CASE WHEN s.meal_ok THEN concat('{{"meal":"', s.meal, '","calories":', s.calories,
+    ',"protein":', s.protein, ',"carbs":', s.carbs, ',"fat":', s.fat, '}}') END
+  WHEN 'json' THEN CASE WHEN s.has_object THEN concat('{{', c.entries, '}}') END END AS made
+  FROM (SELECT *, CASE answer_id % 3 WHEN 0 THEN 'meal' WHEN 1 THEN 'json' END AS kind FROM ans0) d
+  JOIN ({ANSWERS_SQL}) s USING (answer_id) LEFT JOIN cleaned c USING (answer_id))""",
+    f"""ans0 AS (SELECT event_id AS answer_id, {ANSWER_SQL_TEXT} AS text FROM ev0 WHERE event_type = 'view')""",
+    f"""cleaned AS (SELECT answer_id, string_agg(concat('"', key, '":', {_ENTRY}), ',' ORDER BY place)
+      FILTER (WHERE {_ENTRY} NOT IN ('false', '""', 'null')) AS entries
+  FROM (SELECT answer_id, o, unnest(json_keys(o)) AS key, generate_subscripts(json_keys(o), 1) AS place
+    FROM (SELECT answer_id, regexp_extract(text, '(?s)\\{{.*\\}}') AS o FROM ans0) WHERE o <> '') GROUP BY answer_id)""")
+
+
+@register("answer_documents", DOCUMENT_SQL)
+def q_answer_documents(spark, sf_dir):
+    """L3: a third of the answers as meals, a third as JSON, a third as they are; the document, or 422."""
+    ev0 = _m(spark, sf_dir).ev0
+    i = F.col("answer_id") % 3
+    a = ev0.where(F.col("event_type") == "view").select(F.col("event_id").alias("answer_id"), _answer_text().alias("text"))
+    status, document = tp.answer_document(F.when(i == 0, "meal").when(i == 1, "json"), F.col("text"))
+    return a.select("answer_id", status.alias("status"), document.alias("document"))
+
+
 # --- X7 / X13 meeting notes (rows-only: the clean-up needs a look-ahead) -----------------
 def _drop_empty_sections_sql(x: str) -> str:
     """RE2 has no look-ahead: mark every "\\n\\n" with a sentinel first, consume the sentinel

@@ -127,3 +127,14 @@ def test_catalog_category_pruning_and_metadata_merge(spark):
     merged = {r.slug: r for r in cg.merge_metadata(cat, meta).collect()}
     assert merged["free-request"].input == "Plain text" and merged["free-request"].extra == ["x"]
     assert "no-such" not in merged and merged["letter-polish"].extra is None
+
+
+def test_answer_documents(spark):
+    rows = [("json", 'Sure: {"b": 1.0, "a": false, "2": "x", "1": [], "n": null, "e": "", "z": 0, "s": "1.0, \\"5.0\\"", "o": {"k": 2.50, "f": false}} ok'),
+            ("json", "no object"), ("json", "{}"), ("json", '{"a": 1, "b": 2, "a": 3}'),
+            ("meal", '{"meal": " Soup ", "calories": 10.0, "protein": 1, "carbs": 2, "fat": 0, "more": 1}'),
+            ("meal", '{"meal": "Soup", "calories": "10", "protein": 1, "carbs": 2, "fat": 0}'), (None, "as it is"), ("meal", None)]
+    status, document = tp.answer_document(F.col("kind"), F.col("text"))
+    out = [tuple(r) for r in spark.createDataFrame(rows, "kind string, text string").coalesce(1).select(status, document).collect()]
+    assert out == [(200, '{"1":[],"2":"x","b":1,"z":0,"s":"1.0, \\"5.0\\"","o":{"f":false,"k":2.5}}'), (422, None), (200, "{}"), (200, '{"a":3,"b":2}'),
+                   (200, '{"meal":"Soup","calories":10,"protein":1,"carbs":2,"fat":0}'), (422, None), (200, "as it is"), (422, None)]
