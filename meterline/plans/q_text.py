@@ -108,7 +108,7 @@ def q_conversation_choices(spark, sf_dir):
 
 
 # --- L1 prompt table --------------------------------------------------------------------
-CHOICE_WORDS = ("formal", "one sentence", "shouty")
+CHOICE_WORDS = ("official", "a headline", "shouty")
 
 
 def _catalog_values() -> str:
