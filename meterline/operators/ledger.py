@@ -21,8 +21,7 @@ CHECKOUT_TYPES = ("checkout.session.completed", "checkout.session.async_payment_
 
 def usd(micros: Column, digits: int = 2) -> Column:
     """Micro-dollars as ``$x.xx`` (fixed digits, sign before the dollar sign)."""
-    body = fixed_text(F.abs(micros).cast("long"), digits)
-    return F.when(micros < 0, F.concat(F.lit("-$"), body)).otherwise(F.concat(F.lit("$"), body))
+    return F.concat(F.when(micros < 0, "-$").otherwise("$"), fixed_text(F.abs(micros).cast("long"), digits))
 
 
 def fixed_text(micros: Column, digits: int = 2) -> Column:
@@ -33,23 +32,30 @@ def fixed_text(micros: Column, digits: int = 2) -> Column:
     products with the scale are exact, and compared with the tie.
     """
     unit = 10 ** (6 - digits)
-    v = micros / F.lit(1_000_000.0)
-    frac = v - F.floor(v)
-    high = F.floor(frac * F.lit(float(1 << 26))) / F.lit(float(1 << 26))
-    scale = F.lit(float(10 ** (digits + 1)))
-    tie = ((micros % 1_000_000) / F.lit(unit / 10)).cast("double")
-    above = (high * scale - tie) + (frac - high) * scale >= 0
-    rest = micros % unit
-    n = F.expr("0L") + F.floor(micros / F.lit(unit)).cast("long") \
-        + F.when(rest * 2 > unit, 1).when((rest * 2 == unit) & above, 1).otherwise(0)
-    whole = F.floor(n / F.lit(10 ** digits)).cast("long")
-    return F.concat(whole.cast("string"), F.lit("."), F.lpad((n % 10 ** digits).cast("string"), digits, "0"))
+
+    def above(m: Column) -> Column:
+        def parts(frac: Column) -> Column:
+            return bound(F.floor(frac * F.lit(float(1 << 26))) / F.lit(float(1 << 26)), lambda high: (
+                high * scale - tie) + (frac - high) * scale >= 0)
+        scale = F.lit(float(10 ** (digits + 1)))
+        tie = ((m % 1_000_000) / F.lit(unit / 10)).cast("double")
+        return bound(bound(m / F.lit(1_000_000.0), lambda v: v - F.floor(v)), parts)
+
+    def rounded(m: Column) -> Column:
+        rest = m % unit
+        return F.floor(m / F.lit(unit)).cast("long") + F.when(rest * 2 > unit, 1).when(rest * 2 < unit, 0).when(above(m), 1).otherwise(0)
+
+    def text(n: Column) -> Column:
+        whole = F.floor(n / F.lit(10 ** digits)).cast("long")
+        return F.concat(whole.cast("string"), F.lit("."), F.lpad((n % 10 ** digits).cast("string"), digits, "0"))
+
+    return bound(bound(micros, rounded), text)
 
 
 def history_amount(micros: Column) -> Column:
     """Amount of a history row: its sign, four digits below a cent (10,000 micros) and two from there."""
-    body = F.when(F.abs(micros) < 10_000, fixed_text(F.abs(micros), 4)).otherwise(fixed_text(F.abs(micros), 2))
-    return F.concat(F.when(micros > 0, "+").otherwise("\u2212"), F.lit("$"), body)
+    return bound(F.abs(micros), lambda m: F.concat(F.when(micros > 0, "+").otherwise("\u2212"), F.lit("$"), F.when(
+        m < 10_000, fixed_text(m, 4)).otherwise(fixed_text(m, 2))))
 
 
 def ledger_balances(ledger: DataFrame, users: DataFrame) -> DataFrame:
@@ -94,20 +100,29 @@ def user_history(ledger: DataFrame, n: int = 25) -> DataFrame:
             .select("user_id", "rn", "id", "kind", "amount_micros", "created_at"))
 
 
+def bound(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated once, however often ``fn`` names it (a plain expression would repeat it)."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def safe_positive_int(s: Column) -> Column:
     """F16 / note 17: JS ``Number(x)`` that is a safe integer > 0, else NULL."""
-    t = F.regexp_replace(s, JS_TRIM, "")
-    number = t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z")  # not Java's 1d, 5f, NaN
-    base = (F.when(t.rlike(r"^0[xX][0-9a-fA-F]+\z"), 16).when(t.rlike(r"^0[oO][0-7]+\z"), 8)
-            .when(t.rlike(r"^0[bB][01]+\z"), 2))
-    # 2^53 has 54 binary, 18 octal, 14 hexadecimal digits: longer ones (leading zeros apart) are not safe
-    body = F.regexp_replace(F.substring(t, 3, 1 << 30), r"^0+(?=.)", "")
-    whole = F.coalesce(*[F.when((base == b) & (F.length(body) <= most), F.conv(body, b, 10))
-                         for b, most in ((16, 14), (8, 18), (2, 54))])
-    d = F.coalesce(F.when(number, t.try_cast("double")), whole.cast("double"))
-    ok = (d.isNotNull() & ~F.isnan(d) & (d >= 1) & (d <= F.lit(float(MAX_SAFE_INTEGER)))
-          & ((d % F.lit(1.0)) == 0))
-    return F.when(ok, d.cast("long"))
+
+    def number(t: Column) -> Column:
+        decimal = t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z")  # not Java's 1d, 5f, NaN
+        base = (F.when(t.rlike(r"^0[xX][0-9a-fA-F]+\z"), 16).when(t.rlike(r"^0[oO][0-7]+\z"), 8)
+                .when(t.rlike(r"^0[bB][01]+\z"), 2))
+        # 2^53 has 54 binary, 18 octal, 14 hexadecimal digits: longer ones (leading zeros apart) are not safe
+        body = F.regexp_replace(F.substring(t, 3, 1 << 30), r"^0+(?=.)", "")
+        whole = bound(F.struct(base.alias("base"), body.alias("body")), lambda x: F.coalesce(
+            *[F.when((x["base"] == b) & (F.length(x["body"]) <= most), F.conv(x["body"], b, 10)) for b, most in ((16, 14), (8, 18), (2, 54))]))
+        return F.when(decimal, t.try_cast("double")).when(t.rlike("^0[xXoObB]"), whole.cast("double"))
+
+    def safe(d: Column) -> Column:
+        return F.when(d.isNotNull() & ~F.isnan(d) & (d >= 1) & (d <= F.lit(float(MAX_SAFE_INTEGER)))
+                      & ((d % F.lit(1.0)) == 0), d.cast("long"))
+
+    return bound(bound(F.regexp_replace(s, JS_TRIM, ""), number), safe)
 
 
 def checkout_fulfilment(feed: DataFrame, existing_ledger: DataFrame, users: DataFrame) -> DataFrame:
