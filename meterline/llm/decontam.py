@@ -29,6 +29,7 @@ SIMILARITY = 0.8
 RADIUS, BLOCKS = 19, 10
 BLOCK_BYTES = 16 << 20
 _FILTER_BITS = 22
+STEP = 4096  # shingles whose bits are held at once
 # Words are runs of letters and digits in lower case: other ASCII signs part them.
 _WORDS = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32
                for c in range(256))
@@ -104,10 +105,14 @@ def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
+def _bits(shingles: np.ndarray) -> np.ndarray:
+    return np.unpackbits(shingles.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
 def simhash(shingles: np.ndarray) -> int:
     """64-bit fingerprint: a bit is set if it is set in over half of the shingle hashes."""
-    bits = np.unpackbits(shingles.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return int(np.packbits(bits.sum(axis=0) * 2 > len(shingles), bitorder="little").view("<u8")[0])
+    ones = sum(_bits(shingles[at:at + STEP]).sum(axis=0, dtype=np.int64) for at in range(0, len(shingles), STEP))
+    return int(np.packbits(ones * 2 > len(shingles), bitorder="little").view("<u8")[0])
 
 
 def similarity(a: list[bytes], b: list[bytes], k: int) -> float:
@@ -181,13 +186,8 @@ class Index:
                 hits = maybe[among(shingles[maybe], at["seen"])]
                 if len(hits) < at["least"]:
                     continue
-                # starts whose window holds enough hits, found around the hits only
-                starts = np.unique((hits[:, None] - np.arange(n)[None, :]).ravel())
-                starts = starts[(starts >= 0) & (starts <= len(words) - size)]
-                count = np.searchsorted(hits, starts + n) - np.searchsorted(hits, starts)
                 best: dict = {}
-                for start in starts[count >= at["least"]].tolist():
-                    mark = simhash(shingles[start:start + n])
+                for start, mark in self._windows(shingles, hits, at["least"], n, len(words) - size):
                     for i in self._near(at, mark):
                         item_id, item, item_mark = at["items"][i]
                         s = similarity(words[start:start + size], item, k)
@@ -200,8 +200,53 @@ class Index:
                         else:
                             runs.append(row)
                 found += [r for runs in best.values() for r in runs]
+            found += self._whole(words, shingles, maybe, k)
+        return found
+
+    def _whole(self, words: list[bytes], shingles: np.ndarray, maybe: np.ndarray, k: int) -> list[tuple]:
+        """A text with fewer words than an item, as one window of all its words."""
+        found, n = [], len(words) - k + 1
+        for size, at in self.sizes.items():
+            # n shingles are at most n / (size - k + 1) similar to those of the item
+            if at["k"] != k or size <= len(words) or n < self.threshold * (size - k + 1):
+                continue
+            both = self.threshold / (1 + self.threshold) * (n + size - k + 1)
+            if among(shingles[maybe], at["seen"]).sum() < both - 1e-9:
+                continue
+            mark = simhash(shingles)
+            for i in self._near(at, mark):
+                item_id, item, item_mark = at["items"][i]
+                s = similarity(words, item, k)
+                if s >= self.threshold:
+                    found.append((item_id, 0, len(words), s, (item_mark ^ mark).bit_count()))
         return found
 
+    @staticmethod
+    def _windows(shingles: np.ndarray, hits: np.ndarray, least: int, n: int, last: int):
+        """``(start, fingerprint)`` of every window of ``n`` shingles, up to start ``last``, that holds ``least`` hits.
+
+        Only ranges of such starts are kept, and the bits of ``STEP`` shingles at a time, so memory does not grow with the item's length
+        times the hits.
+        """
+        ahead = hits[least - 1:] - hits[:len(hits) - least + 1] < n
+        lows = np.maximum(hits[least - 1:][ahead] - n + 1, 0)
+        highs = np.minimum(hits[:len(hits) - least + 1][ahead], last)
+        at = 0
+        for lo, hi in zip(lows.tolist(), highs.tolist()):
+            lo = max(lo, at)
+            if lo > hi:
+                continue
+            at = hi + 1
+            ones = sum(_bits(shingles[j:min(j + STEP, lo + n)]).sum(axis=0, dtype=np.int64) for j in range(lo, lo + n, STEP))
+            for j in range(lo, hi + 1, STEP):
+                stop = min(j + STEP, hi + 1)
+                moved = np.zeros((stop - j, 64), dtype=np.int64)
+                moved[1:] = np.cumsum(_bits(shingles[j + n:stop + n - 1]).astype(np.int64) - _bits(shingles[j:stop - 1]), axis=0)
+                marks = np.packbits((ones + moved) * 2 > n, axis=1, bitorder="little").view("<u8").ravel()
+                yield from zip(range(j, stop), map(int, marks))
+                if stop <= hi:
+                    ones = ones + moved[-1] + _bits(shingles[stop + n - 1:stop + n])[0].astype(np.int64) - _bits(shingles[stop - 1:stop])[0]
+
 
 def matches(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, threshold: float = SIMILARITY,
             radius: int = RADIUS, blocks: int = BLOCKS, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id",
@@ -209,7 +254,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, thres
             carry: list | tuple = ()) -> DataFrame:
     """``(doc_id, *carry, item_id, start_word, n_words, similarity, distance)``: one row per passage of an item in a text.
 
-    Items of fewer words than a shingle are one shingle; items and texts without words (null, empty, signs
+    A text with fewer words than an item is compared with it as a whole. Items of fewer words than a shingle are one shingle; items and texts without words (null, empty, signs
     only) match nothing. Overlapping windows of an item give one row, the most similar (the first of equals). Repeated
     rows give their rows each, repeated items count once; null ids are kept; an empty table on either side
     gives no rows.

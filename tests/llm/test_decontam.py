@@ -16,7 +16,7 @@ def plain(text, items, threshold=0.8):
         own = decontam.words_of((item or "").encode())
         k = min(5, len(own))
         if own and any(decontam.similarity(words[i:i + len(own)], own, k) >= threshold
-                       for i in range(len(words) - len(own) + 1)):
+                       for i in range(max(1, len(words) - len(own) + 1))):
             found.add(item_id)
     return found
 
@@ -34,6 +34,8 @@ def test_finds_exact_and_near_passages_like_plain_search(spark, make_docs):
         rows += [(200 + i, f"{noise} {item.upper().replace(' ', ', ')} {noise}"), (300 + i, item), (400 + i, changed(item, 0)),
                  (500 + i, noise + " " + changed(item, len(item.split()) // 2)), (600 + i, f"{item} {noise} {item}")]
     rows += [(700, " ".join([ITEMS[0][1]] * 40))]
+    for i, (item_id, item) in enumerate(ITEMS):  # texts that are an item less some of its words
+        rows += [(800 + 10 * i + cut, " ".join(item.split()[cut // 2:len(item.split()) - (cut + 1) // 2])) for cut in (1, 2, 3, 5, 9)]
     bench = spark.createDataFrame(ITEMS + [(90, None), (91, ""), (92, "..."), ITEMS[0]], "item_id long, text string")
     got = decontam.matches(make_docs(rows), bench).collect()
     want = {(i, x) for i, t in rows for x in plain(t, ITEMS)}
@@ -85,3 +87,15 @@ def test_word_hashes_follow_the_words(monkeypatch):
     monkeypatch.setattr(decontam, "_SLICE", 7)
     assert decontam.hash_words(text).tolist() == hashes.tolist()
     assert len(decontam.hash_words(b"")) == 0 and len(decontam.hash_words(b"   ")) == 0
+
+
+def test_windows_equal_plain_ones(monkeypatch):
+    monkeypatch.setattr(decontam, "STEP", 7)
+    rng = np.random.default_rng(5)
+    shingles = rng.integers(0, 1 << 62, 300).astype(np.uint64)
+    for n, least, some in ((20, 5, 60), (1, 1, 30), (50, 40, 250), (7, 3, 40)):
+        hits = np.sort(rng.choice(290, some, replace=False))
+        last = 300 - n
+        got = list(decontam.Index._windows(shingles, hits, least, n, last))
+        want = [(j, decontam.simhash(shingles[j:j + n])) for j in range(last + 1) if ((hits >= j) & (hits < j + n)).sum() >= least]
+        assert got == want
