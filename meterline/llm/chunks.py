@@ -20,12 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterline.llm.common import column, doc_columns, map_texts, save, text_bytes
+from meterline.llm.common import column, doc_columns, if_small, map_texts, save, text_bytes
 
 AVERAGE = 5
 LONGEST = 64  # words after which a chunk ends in any case
 MIN_WORDS = 16
-NO_ID = -(1 << 63)
 
 
 def cuts(gears: np.ndarray, average: int = AVERAGE, longest: int = LONGEST) -> np.ndarray:
@@ -105,28 +104,45 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, average: int = AVERAGE,
     """``(doc_id, h, start_word, n_words, n_chunks, first_doc_id)``: one row per repeated passage.
 
     The passage stands earlier as well: its first chunk first in ``first_doc_id`` (its own text where that repeats
-    itself). Null and empty texts have no chunks. Rows that share an id count as one document, and so do all rows without
-    an id (before all others): what they have in common is not reported. Runs of fewer than
-    ``min_words`` words are no passages. Empty input gives no rows.
+    itself). Texts are ordered by id; different texts without an id, or with an id that other texts have too, are different
+    documents and come first, in an order of their own (``first_doc_id`` is null for a text without an id). Rows equal in id and text are one document. Null and
+    empty texts have no chunks. Runs of fewer than ``min_words`` words are no passages. Very long texts are cut like any other; other columns
+    are not read. Empty input gives no rows.
     """
     table = save(chunked(docs, average, longest, id_col, text_col), "chunks")
-    owner = F.coalesce("doc_id", F.lit(NO_ID)).alias("owner")
+    shared = save(table.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("z"))
+                  .where("doc_id IS NULL OR a < z").select(F.col("doc_id").alias("d")), "chunks-shared-ids")
+    if shared.limit(1).count():
+        # such a text goes by its digest, a number below all ids (which are 0 or more)
+        odd = table.join(if_small(shared), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi").select("doc_id", "h").distinct()
+        odd = save(odd.withColumn("owner", -2 - F.shiftrightunsigned(F.xxhash64("doc_id", "h"), 2)), "chunks-shared")
+        marked = table.join(if_small(odd.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.col("owner").alias("o"))),
+                            F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
+        table = save(marked.select("doc_id", "h", "fresh", "again", F.coalesce("o", "doc_id").alias("owner")), "chunks-owned")
+    else:
+        odd, table = None, table.withColumn("owner", F.col("doc_id"))
     # two longs a chunk: a passage's digests collapse to one row a task before the shuffle
-    twice = save(table.select(owner, F.explode("fresh.digest").alias("digest")).groupBy("digest")
+    twice = save(table.select("owner", F.explode("fresh.digest").alias("digest")).groupBy("digest")
                  .agg(F.min("owner").alias("first"), F.max("owner").alias("last")).where("first < last")
                  .select("digest", "first"), "chunks-twice")
-    fresh = table.select("doc_id", "h", F.inline("fresh")).select("doc_id", "h", "digest", "place", "start", "end", owner)
+    fresh = table.select("doc_id", "h", "owner", F.inline("fresh")).select("doc_id", "h", "digest", "place", "start", "end", "owner")
     later = (fresh.join(twice, "digest").where("owner > first")
-             .select("doc_id", "h", "place", "start", "end", F.nullif("first", F.lit(NO_ID)).alias("first_doc_id"))
-             .union(table.select("doc_id", "h", F.inline("again")).select("doc_id", "h", "place", "start", "end", "doc_id"))
+             .select("doc_id", "h", "place", "start", "end", "first")
+             .union(table.select("doc_id", "h", "owner", F.inline("again")).select("doc_id", "h", "place", "start", "end", "owner"))
              .distinct())
     order = Window.partitionBy("doc_id", "h").orderBy("place")
     runs = later.withColumn("run", F.col("place") - F.row_number().over(order))
-    return (runs.groupBy("doc_id", "h", "run")
+    found = (runs.groupBy("doc_id", "h", "run")
             .agg(F.min("start").cast("long").alias("start_word"),
                  (F.max("end") - F.min("start")).cast("long").alias("n_words"),
-                 F.count(F.lit(1)).alias("n_chunks"), F.min_by("first_doc_id", "place").alias("first_doc_id"))
+                 F.count(F.lit(1)).alias("n_chunks"), F.min_by("first", "place").alias("first_doc_id"))
             .where(F.col("n_words") >= min_words).drop("run"))
+    if odd is None:
+        return found
+    named = if_small(odd.select(F.col("doc_id").alias("named"), "owner"))
+    return found.join(named, F.col("first_doc_id") == F.col("owner"), "left").select(
+        "doc_id", "h", "start_word", "n_words", "n_chunks",
+        F.when(F.col("owner").isNull(), F.col("first_doc_id")).otherwise(F.col("named")).alias("first_doc_id"))
 
 
 def without_repeats(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -72,3 +72,15 @@ def test_rows_equal_in_id_and_text_are_one_text(make_docs):
     other = chunks.repeats(make_docs([(1, t), (2, t), (None, t)])).collect()
     assert {r.doc_id for r in other} == {1, 2} and {r.first_doc_id for r in other} == {None}
     assert all(plain_shared(t, t) >= r.n_words for r in other)
+
+
+def test_texts_that_share_an_id_or_have_none_are_different_documents(make_docs):
+    p, q = text(60, "s"), text(60, "t")
+    rows = [(1, f"{text(30, 'a')} {p}"), (1, f"{text(30, 'b')} {p}"), (None, f"{text(30, 'c')} {q}"), (None, f"{q} {text(30, 'd')}"),
+            (7, f"{text(20, 'e')} {q} {text(9, 'f')}"), (8, text(80, "g"))]
+    got = chunks.repeats(make_docs(rows)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append((r.n_words, r.first_doc_id))
+    assert len(by[1]) == 1 and by[1][0][0] > 40 and by[1][0][1] == 1  # one of the two comes first
+    assert len(by[None]) == 1 and by[None][0][1] is None and by[7][0][1] is None and 8 not in by
