@@ -6,30 +6,46 @@ once with the vocabulary's own segmenter and adds the pieces up, so only (langua
 
 A text's probability in a language is the product over its words; a word's probability is the sum
 over all its segmentations into pieces (forward algorithm), for all languages at once.
-The model has one number per piece and language: its size is that of the vocabulary times the number of
-languages, which is checked, and does not grow with the documents.
+The model has one number per piece and language. It goes out for ``LANGUAGES`` languages at a time, one pass over the texts each, so neither it nor what
+is kept of words seen before grows with the documents or the labels; the passes' results are compared row by row.
+
+A word is a run of letters with their combining marks. Words of any length are scored whole: the forward sums of a long one need no more memory than the longest
+piece.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterline.llm.common import BATCH_ROWS, column, doc_columns, map_texts, save, texts
+from meterline.llm.common import BATCH_ROWS, column, doc_columns, map_texts, save, text_key, texts
 
-MAX_LANGUAGES = 1000  # bounds the broadcast model; more distinct labels are an error, never cut off
+LANGUAGES = 200  # of one pass; the vocabulary's 32,000 pieces then take 51 MB
 SMOOTH = 0.1
 UNKNOWN = 1e-7  # probability of a single sign that the vocabulary lacks, alike in all languages
-LONGEST = 32  # longer words are scored in parts of so many signs
+LONGEST = 32  # longer words are scored one by one and not kept
+HELD_NUMBERS = 16_000_000  # scores of words that a worker keeps: words times languages
 WORD_CACHE = 1_000_000
-_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _marks() -> str:
+    """Combining marks as ranges of a character class."""
+    points = [i for i in range(0x300, 0x20000) if unicodedata.category(chr(i))[0] == "M"]
+    first = [p for i, p in enumerate(points) if not i or points[i - 1] != p - 1]
+    last = [p for i, p in enumerate(points) if i + 1 == len(points) or points[i + 1] != p + 1]
+    return "".join(f"{chr(a)}-{chr(z)}" for a, z in zip(first, last))
+
+
+_WORD = re.compile(rf"(?:[^\W\d_]+[{_marks()}]*)+")
 _MARK = "▁"  # word start, as the vocabulary writes it
 
 
@@ -37,10 +53,6 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _parts(word: str) -> list[str]:
-    return [word] if len(word) <= LONGEST else [word[i:i + LONGEST] for i in range(0, len(word), LONGEST)]
-
-
 def vocabulary(path: str) -> list[str]:
     """Pieces of a sentencepiece file that hold text, lower-case; control, unknown and byte pieces are left out."""
     import sentencepiece
@@ -99,17 +111,42 @@ class Model:
 
     @classmethod
     def learn(cls, counts: list[tuple], pieces: list[str]) -> "Model":
+        """From ``(language, piece, count)`` rows."""
         langs = sorted({c[0] for c in counts})
         index, at = {p: i for i, p in enumerate(pieces)}, {c: i for i, c in enumerate(langs)}
+        known = [c for c in counts if c[1] in index]
+        return cls.of(langs, pieces, np.array([at[c[0]] for c in known], dtype=np.int64),
+                      np.array([index[c[1]] for c in known], dtype=np.int64), np.array([c[2] for c in known], dtype=float))
+
+    @classmethod
+    def of(cls, langs: list[str], pieces: list[str], lang: np.ndarray, piece: np.ndarray, n: np.ndarray) -> "Model":
         table = np.full((len(pieces) + 2, len(langs)), SMOOTH)
-        for lang, piece, n in counts:
-            if piece in index:
-                table[index[piece], at[lang]] += n
+        np.add.at(table, (piece, lang), n)
         table[-2:] = 0
         table /= np.maximum(table.sum(axis=0), 1e-300)
         table[-2] = UNKNOWN
         return cls(langs, pieces, table)
 
+    def _forward_one(self, word: str) -> np.ndarray:
+        """Log probabilities of one word of any length; only the last sums that a piece can reach are kept."""
+        get, span, unknown = self.index.get, self.longest, len(self.probability) - 2
+        sums, scale = np.zeros((span, len(self.langs))), 0.0  # sums[j % span] are those up to place j
+        sums[0] = 1.0
+        for j in range(1, len(word) + 1):
+            now = np.zeros(len(self.langs))
+            for i in range(max(0, j - span), j):
+                at = get(word[i:j])
+                if at is None and i == j - 1:
+                    at = unknown
+                if at is not None:
+                    now += sums[i % span] * self.probability[at]
+            sums[j % span] = now
+            if j % 8 == 0:  # keep far from underflow
+                top = sums.max()
+                scale += np.log(top)
+                sums /= top
+        return np.log(np.maximum(sums[len(word) % span], 1e-300)) + scale
+
     def _forward(self, words: list[str]) -> np.ndarray:
         """Log probabilities of words of one length: ``alpha[j] = sum over i of alpha[i] * P(piece from i to j)``."""
         n = len(words[0])
@@ -150,64 +187,108 @@ class Model:
             self.scores = grown
         self.scores[used:used + len(made)] = made
 
-    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        """``(language, posterior)`` of each text; ``und`` and 0 where a text has no letter or nothing was learned."""
-        if len(self.rows) > WORD_CACHE:
+    def totals(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Log probability of each text in every language; None where it has no letter."""
+        if len(self.rows) > min(WORD_CACHE, HELD_NUMBERS // max(1, len(self.langs))):
             self.rows.clear()
-        cut = []
-        for t in texts:
-            words = words_of(t)
-            if words and max(map(len, words)) > LONGEST:
-                words = [p for w in words for p in _parts(w)]
-            cut.append(words if any(ch.isalpha() for w in words for ch in w) else [])
-        if self.langs:
-            new = set().union(*cut).difference(self.rows)
-            if new:
-                self._learn(sorted(new))
+        cut = [words if any(any(map(str.isalpha, w)) for w in words) else [] for words in map(words_of, texts)]
+        new = sorted(w for w in set().union(*cut).difference(self.rows) if len(w) <= LONGEST)
+        if new and self.langs:
+            self._learn(new)
         out = []
         for words in cut:
-            if not words or not self.langs:
-                out.append(("und", 0.0))
+            if not words:
+                out.append(None)
+                continue
+            total = np.zeros(len(self.langs))
+            if self.langs:
+                short = words if max(map(len, words)) <= LONGEST else [w for w in words if len(w) <= LONGEST]
+                total += self.scores[np.fromiter(map(self.rows.__getitem__, short), dtype=np.int64, count=len(short))].sum(axis=0)
+                for w in words if len(short) < len(words) else []:
+                    if len(w) > LONGEST:
+                        total += self._forward_one(_MARK + w)
+            out.append(total)
+        return out
+
+    def best(self, texts: list[str]) -> list[tuple[str | None, float, float]]:
+        """``(language, log probability, log of the sum over all languages)`` of each text; nulls where it has no letter or nothing was learned."""
+        out = []
+        for total in self.totals(texts):
+            if total is None or not self.langs:
+                out.append((None, None, None))
                 continue
-            total = self.scores[np.fromiter(map(self.rows.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0)
-            odds = np.exp(total - total.max())
-            best = int(odds.argmax())
-            out.append((self.langs[best], float(odds[best] / odds.sum())))
+            at = int(total.argmax())
+            out.append((self.langs[at], float(total[at]), float(total[at] + np.log(np.exp(total - total[at]).sum()))))
         return out
 
+    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+        """``(language, posterior)`` of each text; ``und`` and 0 where a text has no letter or nothing was learned."""
+        return [("und", 0.0) if lang is None else (lang, float(np.exp(top - whole))) for lang, top, whole in self.best(texts)]
+
 
-def learn(docs: DataFrame, vocab_path: str, lang_col: str = "lang", text_col: str = "text") -> tuple[list, list]:
-    """The model's parts ``(counts, pieces)``: at most vocabulary x ``MAX_LANGUAGES`` numbers reach the driver."""
+def learn(docs: DataFrame, vocab_path: str, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, list[str], int]:
+    """The model's parts ``(counts, pieces, blocks)``; ``counts`` is a written table ``(block, lang, at, n)``, ``at`` the place of a piece."""
     pieces = vocabulary(vocab_path)
-    known = docs.sparkSession.createDataFrame([(p,) for p in pieces], "piece string")
-    counts = save(piece_counts(docs, vocab_path, lang_col, text_col).join(F.broadcast(known), "piece", "left_semi"),
-                  "piece-counts")
-    if counts.select("lang").distinct().count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    return [tuple(r) for r in counts.select("lang", "piece", "n").collect()], pieces
+    spark = docs.sparkSession
+    known = spark.createDataFrame(list(zip(pieces, range(len(pieces)))), "piece string, at int")
+    counts = save(piece_counts(docs, vocab_path, lang_col, text_col).join(F.broadcast(known), "piece", "left"), "piece-counts")
+    names = counts.select("lang").distinct()
+    blocks = -(-names.count() // LANGUAGES)
+    # languages that were seen with unknown pieces only stay in the model
+    blocks = 2 * blocks if blocks > 1 else 1  # dealt by hash: half full on average
+    rows = counts.groupBy("lang", "at").agg(F.sum("n").alias("n")).withColumn("block", F.pmod(F.xxhash64("lang"), F.lit(blocks)).cast("int"))
+    return save(rows.select("block", "lang", "at", "n"), "language-model"), pieces, blocks
 
 
 _HELD: dict[str, Model] = {}
 
 
-def predict(docs: DataFrame, parts: tuple[list, list], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, parts: tuple[DataFrame, list[str], int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, lang_pred, score)``: one row per input row, from the text alone.
 
-    Null texts and texts without a letter are ``und`` with score 0. Repeated rows and null ids
-    are kept; other columns are never read; empty input gives no rows. Equal scores go to the
+    Null texts and texts without a letter are ``und`` with score 0, and so are all texts if nothing was learned. Repeated rows and null ids
+    are kept; other columns are never read, whatever their names; empty input gives no rows. Very long texts and words are scored whole. Equal scores go to the
     first language by name.
     """
-    sent, key = docs.sparkSession.sparkContext.broadcast(parts), uuid.uuid4().hex
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if key not in _HELD:
-            _HELD.clear()
-            _HELD[key] = Model.learn(*sent.value)
-        langs, scores = zip(*_HELD[key].predict(texts(batch)))
-        return pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(langs), pa.array(scores)],
-                                          names=["doc_id", "lang_pred", "score"])
+    counts, pieces, blocks = parts
+    spark = docs.sparkSession
 
-    return map_texts(docs, doc_columns(id_col, text_col), "doc_id long, lang_pred string, score double", run)
+    def one_pass(block: int) -> DataFrame:
+        found = counts.where(F.col("block") == block).toArrow()  # at most pieces x the languages of a block
+        langs = sorted(set(found["lang"].to_pylist()))
+        at = {c: i for i, c in enumerate(langs)}
+        lang = np.array([at[c] for c in found["lang"].to_pylist()], dtype=np.int64)
+        piece, n = found["at"].to_numpy(), found["n"].to_numpy().astype(float)
+        seen = ~np.isnan(piece.astype(float))
+        sent = spark.sparkContext.broadcast((langs, pieces, lang[seen], piece[seen].astype(np.int64), n[seen]))
+        key = uuid.uuid4().hex
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            if key not in _HELD:
+                _HELD.clear()
+                _HELD[key] = Model.of(*sent.value)
+            langs, tops, wholes = zip(*_HELD[key].best(texts(batch)))
+            return pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "h"), pa.array(langs, pa.string()),
+                                               pa.array(tops, pa.float64()), pa.array(wholes, pa.float64())],
+                                              names=["doc_id", "h", "lang", "top", "whole"])
+
+        return map_texts(docs, [*doc_columns(id_col, text_col), text_key(text_col).alias("h")],
+                         "doc_id long, h long, lang string, top double, whole double", run)
+
+    if blocks == 1:
+        rows = one_pass(0).withColumn("score", F.exp(F.col("top") - F.col("whole")))
+    else:
+        # equal rows have equal results in each pass: one of them stands for all, and their number is put back
+        passes = [save(one_pass(b).withColumn("pass", F.lit(b)), "language-pass") for b in range(blocks)]
+        every = reduce(DataFrame.union, passes)
+        high = every.groupBy("doc_id", "h").agg(
+            F.count_if(F.col("pass") == 0).alias("copies"), F.max("whole").alias("most"),
+            F.min(F.when(F.col("lang").isNotNull(), F.struct((-F.col("top")).alias("neg"), "lang"))).alias("best"),
+            F.collect_set(F.struct("pass", "whole")).alias("wholes"))
+        total = F.aggregate("wholes", F.lit(0.0), lambda a, x: a + F.coalesce(F.exp(x["whole"] - F.col("most")), F.lit(0.0)))
+        rows = (high.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+                .select("doc_id", F.col("best.lang").alias("lang"), F.exp(-F.col("best.neg") - F.col("most") - F.log(total)).alias("score")))
+    return rows.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang_pred"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5):

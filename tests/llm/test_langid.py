@@ -54,7 +54,7 @@ def test_edges_and_cache(make_docs, monkeypatch):
     assert [by_id[i] for i in (2, 3, 100, 101, 102, 103)] == ["und", "und", "und", "en", "fr", "en"]
     assert by_id[104] in ("en", "fr")
     monkeypatch.setattr(langid, "WORD_CACHE", 3)
-    model = langid.Model.learn(*parts)
+    model = langid.Model.learn([(r.lang, parts[1][r.at], r.n) for r in parts[0].where("at IS NOT NULL").collect()], parts[1])
     first = model.predict(["the cat sat on a mat"] * 2)
     assert model.predict(["le chien est la"]) and model.predict(["the cat sat on a mat"] * 2) == first
     nothing = langid.learn(docs.where("false"), VOCAB)
@@ -70,3 +70,35 @@ def test_held_out_accuracy(spark):
     got = (langid.predict(docs.where(held), parts).join(docs, "doc_id").where("length(text) > 200")
            .agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("double"))).first()[0])
     assert got > 0.97
+
+
+def test_marks_belong_to_their_words():
+    assert langid.words_of("\u0939\u093f\u0928\u094d\u0926\u0940 \u092d\u093e\u0937\u093e x2y") == [
+        "\u0939\u093f\u0928\u094d\u0926\u0940", "\u092d\u093e\u0937\u093e", "x", "y"]
+    assert langid.words_of("e\u0301te\u0301 \u0e20\u0e32\u0e29\u0e32\u0e44\u0e17\u0e22\u0e17\u0e35\u0e48") == [
+        "e\u0301te\u0301", "\u0e20\u0e32\u0e29\u0e32\u0e44\u0e17\u0e22\u0e17\u0e35\u0e48"]
+    assert langid.words_of("\u0301 1_2") == []
+
+
+def test_long_words_are_scored_whole():
+    pieces = ["▁", "▁a", "a", "b", "ab", "ba", "aba", "▁ab", "bb", "babab"]
+    rng = np.random.default_rng(4)
+    model = langid.Model.learn([(lang, p, int(rng.integers(1, 50))) for lang in ("x", "y", "z") for p in pieces], pieces)
+    for n in (1, 2, 7, 31, 90, 400):
+        word = "▁" + "".join(rng.choice(list("abq"), n))
+        assert np.allclose(model._forward_one(word), model._forward([word])[0])
+    text = "".join(rng.choice(list("ab"), 20_000))
+    (total,) = model.totals([f"{text} ab"])
+    assert np.allclose(total, model._forward_one("▁" + text) + model._forward_one("▁ab")) and text not in model.rows
+
+
+def test_many_languages_go_in_passes(make_docs, monkeypatch):
+    rows = [(i, " ".join(f"{c}{c}{d}{c}" for d in "aeiou") + f" {c}um") for i, c in enumerate("bcdfghjklmnp")] * 2
+    docs = make_docs(rows).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id").cast("string")))
+    tested = make_docs(rows[:12] + EDGE + [(50, "bum bum cum"), (50, "bum bum cum"), (None, "dum")])
+    whole = sorted((str(r.doc_id), r.lang_pred, round(r.score, 9)) for r in langid.predict(tested, langid.learn(docs, VOCAB)).collect())
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    parts = langid.learn(docs, VOCAB)
+    assert parts[2] > 2
+    assert sorted((str(r.doc_id), r.lang_pred, round(r.score, 9)) for r in langid.predict(tested, parts).collect()) == whole
+    assert {r[1] for r in whole} > {"und", "l0", "l3"}
