@@ -17,20 +17,12 @@ SANDBOX_USER_IDS = (4, 8, 12, 16, 20)
 NOTIFICATION_TYPES = ("ONE_TIME_CHARGE", "REFUND", "REVOKE", "REFUND_REVERSED")
 
 
-def purchase_validation(feed: DataFrame, users: DataFrame,
-                        sandbox_ids=SANDBOX_USER_IDS) -> DataFrame:
-    """F17 + J9: first failing rule per delivered transaction state, NULL when accepted.
-
-    Rules in order: account must exist; a positive safe-integer signing date; bundle, consumable type, purchased ownership,
-    quantity 1 and a listed product; numeric id of 1-30 digits; the transaction's account
-    token (case-insensitive) equals the account's; production, or sandbox for an
-    allow-listed account; and (J12) no other account redeemed the transaction first.
-    """
+def _with_reason(feed: DataFrame, users: DataFrame, sandbox_ids) -> DataFrame:
+    """``feed`` with ``_reason``: the first rule that a delivered state breaks by itself."""
     accounts = users.select(F.col("id").alias("user_id"), account_token(F.col("id")).alias("user_token"))
     j = feed.join(accounts, "user_id", "left")
     credit = store_product_credit("product_id")
 
-
     def differs(name, value):  # a missing field is a different one
         return ~F.col(name).eqNullSafe(F.lit(value))
 
@@ -46,13 +38,26 @@ def purchase_validation(feed: DataFrame, users: DataFrame,
               .when(differs("environment", "Production")
                     & (differs("environment", "Sandbox") | ~F.col("user_id").isin(*sandbox_ids)),
                     "sandbox_not_allowed"))
-    v = j.withColumn("_reason", reason)
+    return j.withColumn("_reason", reason)
+
+
+def purchase_validation(feed: DataFrame, users: DataFrame,
+                        sandbox_ids=SANDBOX_USER_IDS) -> DataFrame:
+    """F17 + J9: first failing rule per delivered transaction state, NULL when accepted.
+
+    Rules in order: account must exist; a positive safe-integer signing date; bundle, consumable type, purchased ownership,
+    quantity 1 and a listed product; numeric id of 1-30 digits; the transaction's account
+    token (case-insensitive) equals the account's; production, or sandbox for an
+    allow-listed account; and (J12) no other account redeemed the transaction first.
+    """
+    v = _with_reason(feed, users, sandbox_ids)
     # A transaction belongs to the first account that redeemed it (by arrival); the
     # same transaction presented by another account is refused.  Owner per transaction
     # is an aggregate (skew-safe), joined back on the transaction key.
     owners = (v.where(F.col("_reason").isNull()).groupBy("environment", "transaction_id")
               .agg(F.min_by("user_id", F.struct("arrival", "id")).alias("_owner")))
     v = v.join(owners, ["environment", "transaction_id"], "left")
+    credit = store_product_credit("product_id")
     final = F.when(F.col("_reason").isNull() & (F.col("user_id") != F.col("_owner")), F.lit("already_assigned")) \
         .otherwise(F.col("_reason"))
     return v.select("id", "user_id", "transaction_id", "seq", "environment", "revoked", "signed_date",
@@ -60,6 +65,16 @@ def purchase_validation(feed: DataFrame, users: DataFrame,
                     final.alias("reject_reason"))
 
 
+def stream_validation(feed: DataFrame, users: DataFrame, sandbox_ids=SANDBOX_USER_IDS) -> DataFrame:
+    """F17 + J9 over a stream: the states that break no rule by themselves, keyed as ``environment:transactionId``.
+
+    Which account owns a transaction depends on earlier rows; the stream's state decides that.
+    """
+    return _with_reason(feed, users, sandbox_ids).where("_reason IS NULL").select(
+        "user_id", "id", F.concat("environment", F.lit(":"), "transaction_id").alias("transaction_id"),
+        store_product_credit("product_id").alias("credit_micros"), "revoked", "signed_date", "arrival")
+
+
 def accepted_store_events(validated: DataFrame) -> DataFrame:
     """Accepted states keyed as ``environment:transactionId`` for the state machine."""
     return (validated.where(F.col("reject_reason").isNull())

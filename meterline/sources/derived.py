@@ -282,6 +282,19 @@ def store_feed(ev0: DataFrame) -> DataFrame:
                     (ca + F.col("v.arr")).alias("arrival"))
 
 
+SESSION7_MS = 7 * DAY
+
+
+def prior_transactions(ev0: DataFrame) -> DataFrame:
+    """Transactions delivered before a stream begins, of every 29th purchase: owned by an account that does not exist any more in the
+    feed (its id plus 20,000,000), or by nobody where the state's id is divisible by 3 (a tombstone)."""
+    s = store_feed(ev0).where((F.col("seq") == 0) & (F.expr("id div 8") % 29 == 0))
+    owner = F.when(F.col("id") % 3 != 0, F.col("user_id") + 20_000_000)
+    return s.select(owner.alias("user_id"), F.concat("environment", F.lit(":"), "transaction_id").alias("transaction_id"), F.lit(0).alias("revoked"),
+                    F.col("signed_date").alias("last_signed"), F.lit(1).cast("long").alias("revision"), F.lit(0).cast("long").alias("removed"),
+                    F.lit(0).cast("long").alias("credit")).dropDuplicates(["transaction_id"])
+
+
 def analytics_state(spark: SparkSession, tracking_started_at: int = TRACKING_STARTED_AT) -> DataFrame:
     """The one scalar state row (``tracking_started_at``)."""
     return spark.createDataFrame([("tracking_started_at", tracking_started_at)], "key string, value long")
