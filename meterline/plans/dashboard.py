@@ -2,7 +2,7 @@
 
 Shared rollup, not shared raw events: the run events of the widest day-aligned window
 are aggregated once into ``activity_daily`` -- (day, user, event, slug, source, status)
--> count -- and that rollup (persisted) feeds the period, weekly, daily, failure, source,
+-> count -- and that rollup (written once) feeds the period, weekly, daily, failure, source,
 feature and payer sections.  Every bound of those sections is a whole UTC day, so they
 are exact on the rollup (the operators take the count as a row weight).  Only what needs
 millisecond precision reads raw rows: the (slug, duration) latency histogram for P95, the
@@ -13,7 +13,6 @@ weeks), which is what ``collect_list`` gathers into the single JSON row.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +21,7 @@ from meterline.operators import cohorts as coh
 from meterline.operators import engagement as eng
 from meterline.operators import features as feat
 from meterline.operators import money
+from meterline.session import materialize
 from meterline.sources.derived import Model
 
 
@@ -53,7 +53,7 @@ def latency_histogram(m: Model, c) -> DataFrame:
 def dashboard(m: Model, now_ms: int, days, tracking_since: int) -> DataFrame:
     c = clock(now_ms, days)
     lo = min(c.previous_start, c.end - 14 * DAY)
-    act = activity_daily(m, lo, c.end).persist(StorageLevel.MEMORY_AND_DISK)
+    act = materialize(activity_daily(m, lo, c.end))
     periods = eng.period_engagement(act, c)
     current = periods.where(F.col("period") == "current").drop("period")
     previous = periods.where(F.col("period") == "previous").drop("period")
@@ -61,7 +61,7 @@ def dashboard(m: Model, now_ms: int, days, tracking_since: int) -> DataFrame:
     cohort_ev = (eng.successes(m.events_between(cohort_start, c.end), cohort_start, c.end)
                  .select("event_name", "user_id", "created_at"))
     accounts = coh.account_lifecycle(m.users, cohort_ev, m.ledger, m.store_transactions, c, tracking_since)
-    cohorts = coh.signup_cohorts(accounts, c)
+    cohorts = materialize(coh.signup_cohorts(accounts, c))  # a few weeks, used twice
     today_ev = m.events_between(c.end, c.now + 1)
     parts = [
         _one(current, "current"), _one(previous, "previous"),

@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meterline.functions.clock import DAY
-from meterline.operators import kpi
+from meterline.operators import engagement as eng
+from meterline.operators import features as feat
+from meterline.operators import kpi, money
 from meterline.plans import q_engagement as qe
 from meterline.plans import q_money as qm
+from meterline.plans.dashboard import activity_daily, dashboard
 from meterline.plans.registry import TRACKING_SINCE, register
+from meterline.session import materialize
 from meterline.sources.catalog import catalog_dict, read_catalog
+from meterline.sources.derived import Model, tracking_since
 
 
 def _num_sql(x: str) -> str:
@@ -63,14 +68,17 @@ CROSS JOIN (SELECT CAST(greatest(1, MAX(runs + failures)) AS BIGINT) AS chart_sc
 
 @register("kpi_rates", KPI_SQL)
 def q_kpi_rates(spark, sf_dir):
-    w = qe.q_weekly_repeat_users(spark, sf_dir)
-    per = qe.q_period_engagement(spark, sf_dir)
+    # one written rollup of the run events serves all sections whose bounds are whole days, as in the dashboard
+    m = Model(spark, sf_dir)
+    act = materialize(activity_daily(m, min(qe.C30.start, qe.C7.previous_start), qe.C30.end))
+    w = eng.weekly_repeat_users(act, qe.C30)
+    per = eng.period_engagement(act, qe.C7)
     c = per.where(F.col("period") == "current").select(*[F.col(x).alias(f"c_{x}") for x in per.columns])
     p = per.where(F.col("period") == "previous").select(*[F.col(x).alias(f"p_{x}") for x in per.columns])
     t = qm.q_cohort_totals(spark, sf_dir)
-    m = qm.q_money_summary(spark, sf_dir).withColumnRenamed("signups", "money_signups")
-    b = qe.q_credit_blocked_users(spark, sf_dir)
-    d = qe.q_daily_series(spark, sf_dir).agg(
+    m = money.money_summary(m.users, act, m.ledger, m.store_transactions, qm.CM).withColumnRenamed("signups", "money_signups")
+    b = eng.credit_blocked_users(act, qe.C30)
+    d = eng.daily_series(act, qe.C30, TRACKING_SINCE).agg(
         F.greatest(F.lit(1), F.max(F.col("runs") + F.col("failures"))).cast("long").alias("chart_scale"))
     r, col = kpi.ratio, F.col
     # Every input is one row: these cross joins are 1 x 1.
@@ -122,8 +130,6 @@ LEFT JOIN cat c ON c.slug = f.slug LEFT JOIN lab l ON l.slug = f.slug"""
 
 @register("feature_report", FEATURE_REPORT_SQL)
 def q_feature_report(spark, sf_dir):
-    from meterline.operators import engagement as eng
-    from meterline.operators import features as feat
     ev = qe._events(spark, sf_dir, qe.C30.previous_start, qe.C30.end)
     f = feat.feature_table(ev, qe.C30)
     active = eng.period_engagement(ev, qe.C30).where(F.col("period") == "current").select(F.col("active").alias("_act"))
@@ -159,9 +165,32 @@ def q_source_report(spark, sf_dir):
 
 
 # --- V12 / S7 assembled dashboard (golden-tested; rows-only here) ------------------------
-@register("dashboard_json")
+def _object_sql(sql: str) -> str:
+    return f"(SELECT CAST(to_json(x) AS VARCHAR) FROM ({sql}) x)"
+
+
+def _list_sql(sql: str, order: str) -> str:
+    return f"(SELECT CAST(coalesce(to_json(list(x ORDER BY {order})), '[]') AS VARCHAR) FROM ({sql}) x)"
+
+
+_C = qe.C30
+_START = max(_C.start, TRACKING_SINCE)
+_PERIOD = "SELECT attempts, runs, active, repeat_users, active_days FROM ({}) WHERE period = '{}'"
+_PARTS = {
+    "current": _object_sql(_PERIOD.format(qe.period_sql(_C), "current")), "previous": _object_sql(_PERIOD.format(qe.period_sql(_C), "previous")),
+    "weekly": _object_sql(qe.WEEKLY_SQL), "cohorts": _list_sql(qm.cohorts_sql(_C, _START), "week"),
+    "totals": _object_sql(qm.totals_sql(_C, _START)), "money": _object_sql(qm.money_sql(_C)),
+    "failures": _list_sql(qe.FAILURES_SQL, "attempts DESC, status NULLS LAST"),
+    "features": _list_sql(qe.FEATURE_SQL, "users DESC, runs DESC, slug NULLS LAST"), "sources": _list_sql(qe.SOURCES_SQL, "runs DESC, source"),
+    "today": _object_sql(qe.TODAY_SQL), "daily": _list_sql(qe.DAILY_SQL, "day")}
+_FLAGS = ", ".join(f"'{k}': {str(v).lower()}" for k, v in (
+    ("period", TRACKING_SINCE <= _C.start), ("comparison", TRACKING_SINCE <= _C.previous_start), ("weekly", TRACKING_SINCE <= _C.end - 14 * DAY)))
+_HEAD = (f"to_json({{'days': 30, 'start': {_C.start}, 'end': {_C.end}, 'trackingSince': {TRACKING_SINCE}, 'updatedAt': {_C.now}, "
+         f"'coverage': {{{_FLAGS}}}}})")
+DASHBOARD_SQL = f"""SELECT 30 AS days, concat(rtrim(CAST({_HEAD} AS VARCHAR), '}}'), '}}', {", ".join(f"',\"{k}\":', {v}" for k, v in _PARTS.items())}, '}}') AS json"""
+
+
+@register("dashboard_json", DASHBOARD_SQL)
 def q_dashboard_json(spark, sf_dir):
-    from meterline.plans.dashboard import dashboard
-    from meterline.sources.derived import Model, tracking_since
     m = Model(spark, sf_dir)
     return dashboard(m, qe.NOW, 30, tracking_since(m.state, qe.NOW))

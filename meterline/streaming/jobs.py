@@ -27,7 +27,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.session import checkpoint_dir
+from meterline.session import checkpoint_dir, materialize
 from meterline.sources.derived import analytics_events, base_events_from, checkout_feed
 from meterline.sources.tables import SCHEMAS
 
@@ -39,12 +39,15 @@ def _run_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
 
 
+# Bytes of the files of a micro-batch, unless their number is given: this bounds what a task holds of one key.
+MAX_BYTES = 256 << 20
+
+
 def event_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None,
                  name: str = "events.parquet") -> DataFrame:
-    """The events table (one file, or a folder of part files) as a stream (explicit schema, no inference)."""
+    """The events table (one file, or a folder of part files) as a stream (explicit schema, no inference), some files a trigger."""
     r = spark.readStream.schema(SCHEMAS["events"])
-    if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
+    r = r.option("maxFilesPerTrigger", max_files) if max_files else r.option("maxBytesPerTrigger", MAX_BYTES)
     # braces make it a pattern: the file source takes a plain path for a folder only
     return r.parquet(f"{sf_dir.rstrip('/')}/{{{name}}}")
 
@@ -121,11 +124,11 @@ def checkout_stream(spark: SparkSession, sf_dir: str, users: DataFrame, existing
              .withColumn("user_id", safe_positive_int(F.col("meta_user_id")))
              .withColumn("credit_micros", safe_positive_int(F.col("meta_credit")))
              .where(F.col("user_id").isNotNull() & F.col("credit_micros").isNotNull()))
-    known_users = users.select(F.col("id").alias("user_id"))
+    known_users = materialize(users.select(F.col("id").alias("user_id")))  # both snapshots are read in every micro-batch
     sink = f"{base}/ledger"
     spark.createDataFrame([], "session_id string, user_id long, credit_micros long") \
         .write.mode("overwrite").parquet(f"{sink}/batch=-1")
-    seen0 = existing_sessions.select("session_id").distinct()
+    seen0 = materialize(existing_sessions.select("session_id").distinct())
 
     def write(batch: DataFrame, batch_id: int) -> None:
         done = spark.read.parquet(sink).where(F.col("batch") != batch_id).select("session_id")

@@ -5,7 +5,7 @@ store between micro-batches.  Within a micro-batch a key's rows are ordered by
 (time, id) before folding; across micro-batches rows are applied in arrival order,
 which is the service's own semantics (requests are handled as they arrive).  The
 micro-batch size, not the key's history, bounds what one group holds in memory
-(``maxFilesPerTrigger`` / ``maxBytesPerTrigger`` on the source).
+(``maxFilesPerTrigger``, else ``maxBytesPerTrigger``, on the source).
 
 Sinks are ``foreachBatch`` writes to ``<run>/out/batch=<id>`` with overwrite: a replayed
 batch replaces its own output.
