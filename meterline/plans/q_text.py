@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from meterline.operators import catalog as cg
+from meterline.operators import search
 from meterline.operators import textprep as tp
 from meterline.plans.oracle import with_base
 from meterline.plans.registry import register
+from meterline.session import checkpoint_dir
 from meterline.sources.catalog import catalog_dict, read_catalog
 from meterline.sources.derived import Model
 from meterline.sources.tables import read_table
@@ -47,6 +51,20 @@ def q_document_search(spark, sf_dir):
         .select("doc_id", "lang", "source", "n_chars")
 
 
+_QUERIES = "SELECT doc_id AS query_id, lower(substring(text, 11, 12)) AS query FROM documents WHERE doc_id % 20 = 0"
+
+
+@register("indexed_search", f"""SELECT query_id, d.doc_id FROM ({_QUERIES}) q JOIN documents d
+  ON contains(lower(d.text), q.query) WHERE q.query <> ''""")
+def q_indexed_search(spark, sf_dir):
+    """F20 + X3: twelve signs of every 20th document looked up in all documents by a trigram index."""
+    docs = _m(spark, sf_dir).table("documents")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/search-{uuid.uuid4().hex}"
+    search.write_index(docs, path)
+    queries = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 11, 12).alias("query"))
+    return search.search(search.read_index(spark, path), docs, queries)
+
+
 @register("search_counts", f"""SELECT lang, CAST(COUNT(*) AS BIGINT) AS matches FROM documents
 WHERE contains(lower(concat_ws(' ', text, lang, source)), '{SEARCH_QUERY}') GROUP BY lang""")
 def q_search_counts(spark, sf_dir):
