@@ -46,11 +46,17 @@ def _marks() -> str:
 
 
 _WORD = re.compile(rf"(?:[^\W\d_]+[{_marks()}]*)+")
+_PLAIN = re.compile(r"[^\W\d_]+")
+_BELOW_MARKS = bytes(range(0xCC))  # no UTF-8 form of a combining mark (U+0300 and above) consists of these alone
 _MARK = "▁"  # word start, as the vocabulary writes it
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters with their combining marks, in small letters; most texts hold no mark and take the plainer search."""
+    small = text.lower()
+    if small.isascii() or not small.encode("utf-8", "replace").translate(None, _BELOW_MARKS):
+        return _PLAIN.findall(small)
+    return _WORD.findall(small)
 
 
 def vocabulary(path: str) -> list[str]:

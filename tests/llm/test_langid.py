@@ -78,6 +78,8 @@ def test_marks_belong_to_their_words():
     assert langid.words_of("e\u0301te\u0301 \u0e20\u0e32\u0e29\u0e32\u0e44\u0e17\u0e22\u0e17\u0e35\u0e48") == [
         "e\u0301te\u0301", "\u0e20\u0e32\u0e29\u0e32\u0e44\u0e17\u0e22\u0e17\u0e35\u0e48"]
     assert langid.words_of("\u0301 1_2") == []
+    for text in ("Ünï cödé", "e\u0301 \u4e2d\u6587", "a\u0300b c", "ÿ\u02ffz"):
+        assert langid.words_of(text) == langid._WORD.findall(text.lower())
 
 
 def test_long_words_are_scored_whole():
