@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from meterline.operators import ledger as lg
 from meterline.operators import reconcile
 from meterline.plans.oracle import with_base
 from meterline.plans.registry import register
-from meterline.sources.derived import LEDGER_CUTOFF, Model, stored_balances
+from meterline.session import checkpoint_dir
+from meterline.sources import merge
+from meterline.sources.derived import LEDGER_CUTOFF, Model, opening_balances, stored_balances
 
 BAL_CTE = """bal AS (SELECT u.id AS user_id, CAST(COALESCE(s.n_rows, 0) AS BIGINT) AS n_rows,
   CAST(COALESCE(s.balance_micros, 0) AS BIGINT) AS balance_micros
@@ -34,6 +38,20 @@ def q_balance_differences(spark, sf_dir):
     return reconcile.balance_differences(m.ledger, stored_balances(m.ev0))
 
 
+@register("merged_balances", with_base("""SELECT user_id, CAST(o + coalesce(l, 0) AS BIGINT) AS balance_micros
+  FROM (SELECT DISTINCT user_id, (user_id % 5) * 4000 AS o FROM ev0) LEFT JOIN (SELECT user_id, sum(amount_micros) AS l FROM ledger GROUP BY user_id) USING (user_id)"""))
+def q_merged_balances(spark, sf_dir):
+    """Two batches of ledger rows merged into a stored table of balances, then both sent again."""
+    m = Model(spark, sf_dir)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/balances-{uuid.uuid4().hex}"
+    rows = m.ledger.select(F.col("id").alias("event_id"), "user_id", "amount_micros", "created_at")
+    late = F.col("created_at") >= LEDGER_CUTOFF
+    merge.create(opening_balances(m.ev0), path, 16)
+    for batch in (rows.where(~late), rows.where(late), rows):
+        merge.merge(spark, path, batch.drop("created_at"), 16)
+    return merge.balances(spark, path)
+
+
 @register("running_balance", with_base("""SELECT id, user_id, created_at, amount_micros,
   CAST(SUM(amount_micros) OVER (PARTITION BY user_id ORDER BY created_at, id
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS balance_micros,

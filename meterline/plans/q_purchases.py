@@ -162,6 +162,30 @@ def q_rate_limit_flags(spark, sf_dir):
     return folds.rate_limit_flags(hits, RATE_WINDOW_MS, RATE_MAX)
 
 
+# --- O5 column back-fill ------------------------------------------------------------------
+# Transactions of purchases: revoked where the id is divisible by 3; every other revoked one has a refund row of half its credit (odd ids).
+BACKFILL_SQL = with_base("""SELECT t.id, t.revoked, t.credit_micros,
+  CAST(CASE WHEN t.revoked = 1 THEN coalesce(-r.amount_micros, t.credit_micros) ELSE 0 END AS BIGINT) AS removed_micros
+FROM tx t LEFT JOIN refunds r ON r.apple_event_id = concat('refund:', t.id)""",
+    """tx AS (SELECT id, event_id, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS revoked, credit_micros FROM (
+  SELECT concat(CASE WHEN k % 5 = 3 THEN 'Production:' ELSE 'Sandbox:' END, CAST(event_id AS VARCHAR)) AS id, event_id,
+    CAST(floor(value * 1000000) AS BIGINT) AS credit_micros FROM ev0 WHERE event_type = 'purchase' AND k % 5 >= 3))""",
+    """refunds AS (SELECT concat('refund:', id) AS apple_event_id, -(credit_micros // 2) AS amount_micros FROM tx
+  WHERE revoked = 1 AND event_id % 2 = 1)""")
+
+
+@register("refund_backfill", BACKFILL_SQL)
+def q_refund_backfill(spark, sf_dir):
+    ev0 = Model(spark, sf_dir).ev0
+    env = F.when(F.col("k") % 5 == 3, "Production:").otherwise("Sandbox:")
+    tx = (ev0.where((F.col("event_type") == "purchase") & (F.col("k") % 5 >= 3))
+          .select(F.concat(env, F.col("event_id").cast("string")).alias("id"), "event_id", (F.col("event_id") % 3 == 0).cast("int").alias("revoked"),
+                  F.floor(F.col("value") * 1_000_000).cast("long").alias("credit_micros"), F.lit(0).cast("long").alias("removed_micros")))
+    refunds = tx.where("revoked = 1 AND event_id % 2 = 1").select(
+        F.concat(F.lit("refund:"), F.col("id")).alias("apple_event_id"), (-F.floor(F.col("credit_micros") / 2)).cast("long").alias("amount_micros"))
+    return pu.refund_backfill(tx, refunds).select("id", "revoked", "credit_micros", "removed_micros")
+
+
 # --- F18 / J13 store notifications ------------------------------------------------------
 # Fixed rule: each delivered state is also sent as a notification; variant 6 arrives as an
 # unhandled type, ids divisible by 97 are TEST pings, ids divisible by 89 lack a payload.
