@@ -119,19 +119,23 @@ def _duration_sql(ms: str) -> str:
             f"ELSE concat({_num_sql(ms + ' / 3600000')}, ' hr') END")
 
 
+# Two of the slugs go by one that the catalog lists and one that the labels list; the rest are unknown to both.
+SLUGS = {"wf-0": "boil-down", "wf-1": "custom-api"}
+_NAMED = "CASE slug " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in SLUGS.items()) + " ELSE slug END"
+
 FEATURE_REPORT_SQL = f"""WITH {_catalog_names_sql()}
 SELECT f.slug, COALESCE(c.name, l.name, f.slug, 'Unknown') AS name, COALESCE(c.category, 'API') AS category,
   {_ratio_sql('f.users', 'a.active')} AS reach, {_ratio_sql('f.runs', 'f.attempts')} AS success_rate,
   {_ratio_sql('f.repeat_users', 'f.users')} AS repeat_share, f.attempts - f.runs AS failed,
   {_duration_sql('f.p95_ms')} AS p95_label
-FROM ({qe.FEATURE_SQL}) f CROSS JOIN (SELECT * FROM ({qe.period_sql(qe.C30)}) WHERE period = 'current') a
+FROM (SELECT * REPLACE ({_NAMED} AS slug) FROM ({qe.FEATURE_SQL})) f CROSS JOIN (SELECT * FROM ({qe.period_sql(qe.C30)}) WHERE period = 'current') a
 LEFT JOIN cat c ON c.slug = f.slug LEFT JOIN lab l ON l.slug = f.slug"""
 
 
 @register("feature_report", FEATURE_REPORT_SQL)
 def q_feature_report(spark, sf_dir):
     ev = qe._events(spark, sf_dir, qe.C30.previous_start, qe.C30.end)
-    f = feat.feature_table(ev, qe.C30)
+    f = feat.feature_table(ev, qe.C30).replace(SLUGS, subset=["slug"])
     active = eng.period_engagement(ev, qe.C30).where(F.col("period") == "current").select(F.col("active").alias("_act"))
     j = kpi.with_feature_name(f.crossJoin(active), read_catalog(spark))
     r = kpi.ratio
@@ -165,6 +169,16 @@ def q_source_report(spark, sf_dir):
 
 
 # --- V12 / S7 assembled dashboard (golden-tested; rows-only here) ------------------------
+@register("today_report", f"""SELECT attempts, runs, attempts - runs AS failures, active, strftime(make_timestamp(last_event * 1000), '%b %-d, %Y') AS last_day,
+  strftime(make_timestamp(last_event // 1000 * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS last_second FROM ({qe.TODAY_SQL})""")
+def q_today_report(spark, sf_dir):
+    """V9 + X14: today's failures beside its attempts, and the labels of the last event's day and second."""
+    last = F.timestamp_millis("last_event")
+    return qe.q_today(spark, sf_dir).select("attempts", "runs", (F.col("attempts") - F.col("runs")).alias("failures"), "active",
+                                            F.date_format(last, "MMM d, yyyy").alias("last_day"),
+                                            F.date_format(last, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last_second"))
+
+
 def _object_sql(sql: str) -> str:
     return f"(SELECT CAST(to_json(x) AS VARCHAR) FROM ({sql}) x)"
 

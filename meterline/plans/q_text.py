@@ -7,11 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from meterline.operators import catalog as cg
+from meterline.operators import pricing as pr
 from meterline.operators import search
 from meterline.operators import textprep as tp
+from meterline.plans import q_pricing as qp
 from meterline.plans.oracle import with_base
 from meterline.plans.registry import register
 from meterline.session import checkpoint_dir
+from meterline.sources import dims as D
 from meterline.sources.catalog import catalog_dict, read_catalog
 from meterline.sources.derived import Model
 from meterline.sources.tables import read_table
@@ -74,19 +77,32 @@ def q_search_counts(spark, sf_dir):
 
 
 # --- X10 secret scan --------------------------------------------------------------------
+# Every 7th document leaks its key once, every 21st twice.
+_LEAKY = """(SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN concat(text, ' aa_live_', doc_id, '-x_Y ', CASE WHEN doc_id % 21 = 0 THEN 'key=aa_live_z;' ELSE '' END)
+  ELSE text END AS text FROM documents)"""
+
+
 @register("secret_scan", f"""SELECT doc_id, CAST(len(regexp_extract_all(text, '{tp.SECRET_PATTERN}')) AS BIGINT) AS n_secrets,
   CAST(length(text) AS BIGINT) AS chars,
   CAST(length(regexp_replace(text, '{tp.SECRET_PATTERN}', '{tp.SECRET_REDACTION}', 'g')) AS BIGINT) AS redacted_chars
-FROM documents""")
+FROM {_LEAKY}""")
 def q_secret_scan(spark, sf_dir):
-    return tp.secret_scan(_m(spark, sf_dir).table("documents"), "doc_id", "text")
+    i = F.col("doc_id")
+    leak = F.concat(F.col("text"), F.lit(" aa_live_"), i.cast("string"), F.lit("-x_Y "), F.when(i % 21 == 0, "key=aa_live_z;").otherwise(""))
+    docs = _m(spark, sf_dir).table("documents").select("doc_id", F.when(i % 7 == 0, leak).otherwise(F.col("text")).alias("text"))
+    return tp.secret_scan(docs, "doc_id", "text")
 
 
 # --- L5 token budgets -------------------------------------------------------------------
-@register("token_budget", f"""SELECT doc_id, CAST({_jslen('text')} AS BIGINT) AS chars,
-  CAST(ceil({_jslen('text')} / 4) AS BIGINT) AS est_tokens, {_jslen('text')} > 200000 AS too_large FROM documents""")
+# A request holds its document 1 + doc_id % 40 times, so that some are too large.
+_REQUEST = f"({_jslen('text')} * (1 + doc_id % 40))"
+
+
+@register("token_budget", f"""SELECT doc_id, CAST({_REQUEST} AS BIGINT) AS chars,
+  CAST(ceil({_REQUEST} / 4) AS BIGINT) AS est_tokens, {_REQUEST} > 200000 AS too_large FROM documents""")
 def q_token_budget(spark, sf_dir):
-    return tp.token_budget(_m(spark, sf_dir).table("documents"), "doc_id", "text")
+    docs = _m(spark, sf_dir).table("documents")
+    return tp.token_budget(docs.select("doc_id", F.expr("repeat(text, cast(1 + doc_id % 40 as int))").alias("text")), "doc_id", "text")
 
 
 @register("conversation_budget", f"""SELECT conv_id, CAST(COUNT(*) AS BIGINT) AS turns, CAST(SUM({_jslen('text')}) AS BIGINT) AS chars,
@@ -294,7 +310,13 @@ def _drop_empty_sections_sql(x: str) -> str:
     return f"replace({cleaned}, chr(1), '')"
 
 
-MEETING_SQL = f"""SELECT conv_id, concat({_drop_empty_sections_sql(f"regexp_replace(COALESCE(summary, ''), '{TRIM_WS}', '', 'g')")},
+# Sections that a model adds: empty ones in two of three conversations, in the middle or at the end.
+_SECTIONS = ("\n\nRisks\n- None.\n\nNext\n- write", "\n\nNext\n- call\n\nOpen\n- none", "\n\nRisks\n- None of them")
+_SECTIONS_SQL = "(CASE conv_id % 3 " + " ".join(
+    f"WHEN {i} THEN '" + x.replace("\n", "' || chr(10) || '") + "'" for i, x in enumerate(_SECTIONS)) + " END)"
+
+
+MEETING_SQL = f"""SELECT conv_id, concat({_drop_empty_sections_sql(f"regexp_replace(COALESCE(summary, '') || {_SECTIONS_SQL}, '{TRIM_WS}', '', 'g')")},
   chr(10) || chr(10) || 'Transcript' || chr(10), COALESCE(transcript, '')) AS text FROM (
   SELECT conv_id, arg_max(text, turn) FILTER (WHERE role = 'assistant') AS summary,
     arg_min(text, turn) FILTER (WHERE role = 'user') AS transcript FROM conversations GROUP BY conv_id)"""
@@ -308,7 +330,9 @@ def q_meeting_notes(spark, sf_dir):
                  F.when(F.col("role") == "assistant", F.col("turn"))).alias("summary"),
         F.min_by(F.when(F.col("role") == "user", F.col("text")),
                  F.when(F.col("role") == "user", F.col("turn"))).alias("transcript"))
-    return per.select("conv_id", tp.with_transcript(F.coalesce("summary", F.lit("")),
+    k = F.col("conv_id") % 3
+    added = F.when(k == 0, _SECTIONS[0]).when(k == 1, _SECTIONS[1]).when(k == 2, _SECTIONS[2])
+    return per.select("conv_id", tp.with_transcript(F.concat(F.coalesce("summary", F.lit("")), added),
                                                     F.coalesce("transcript", F.lit(""))).alias("text"))
 
 
@@ -449,3 +473,30 @@ def q_classification_answers(spark, sf_dir):
     a = turns.withColumn("choice", tp.answered_choice(answer))
     status, cost = tp.classification_result(F.col("names"), F.col("choice"), F.col("chars"))
     return a.select("conv_id", "turn", "choice", status.cast("int").alias("status"), cost.alias("cost_micros"))
+
+
+# --- X8 image values, X18 cost labels ---------------------------------------------------
+_IMAGE = """CASE doc_id % 5 WHEN 0 THEN concat('data:image/png;base64,', base64(encode(substring(text, 1, 30)))) WHEN 1 THEN concat(' /9j/', doc_id, chr(10), 'ab')
+  WHEN 2 THEN concat('iVBOR', substring(text, 1, 9)) WHEN 3 THEN 'data:image/tiff;base64,AAAA' ELSE text END"""
+
+
+@register("image_values", f"""SELECT doc_id, CASE WHEN regexp_matches(v, '^data:image/(jpeg|png|webp|gif);base64,') THEN v
+  WHEN starts_with(v, '/9j/') THEN concat('data:image/jpeg;base64,', v) WHEN starts_with(v, 'iVBOR') THEN concat('data:image/png;base64,', v)
+  ELSE '' END AS image_url FROM (SELECT doc_id, regexp_replace({_IMAGE}, '[\\t\\n\\x0B\\f\\r ]+', '', 'g') AS v FROM documents)""")
+def q_image_values(spark, sf_dir):
+    """X8 over typed, bare and other values derived from the documents."""
+    i = F.col("doc_id") % 5
+    v = (F.when(i == 0, F.concat(F.lit("data:image/png;base64,"), F.base64(F.encode(F.substring("text", 1, 30), "UTF-8"))))
+         .when(i == 1, F.concat(F.lit(" /9j/"), F.col("doc_id").cast("string"), F.lit("\nab")))
+         .when(i == 2, F.concat(F.lit("iVBOR"), F.substring("text", 1, 9))).when(i == 3, "data:image/tiff;base64,AAAA").otherwise(F.col("text")))
+    return _m(spark, sf_dir).table("documents").select("doc_id", tp.image_url(v).alias("image_url"))
+
+
+@register("cost_labels", with_base("""SELECT id, CASE WHEN c < 0.01 THEN '<0.01¢' ELSE concat('~', regexp_replace(CAST(two AS VARCHAR), '\\.0$', ''), '¢') END AS label
+FROM (SELECT id, c, CASE WHEN e < 0 THEN round(c / pow(10.0, e)) / pow(10.0, -e) ELSE round(c / pow(10.0, e)) * pow(10.0, e) END AS two
+  FROM (SELECT *, floor(log10(c)) - 1 AS e FROM (SELECT id, cost_micros / 1000000.0::DOUBLE * 100 AS c FROM cost WHERE cost_micros > 0)))""",
+    qp.PRICES, qp.PRICED, qp.TOKENS, qp.COST))
+def q_cost_labels(spark, sf_dir):
+    """The cost of each metered request in cents, two significant digits."""
+    cost = pr.usage_cost(_m(spark, sf_dir).usage, D.text_prices(spark)).where("cost_micros > 0")
+    return cost.select("id", cg.cost_label(F.col("cost_micros") / F.lit(1_000_000.0)).alias("label"))
