@@ -175,6 +175,34 @@ def usage_by_user(settled: DataFrame) -> DataFrame:
         F.coalesce(F.sum("actual_micros"), F.lit(0)).cast("long").alias("charged_micros"))
 
 
+def recording_costs(usage: DataFrame, prices: DataFrame) -> DataFrame:
+    """P10: a recording is one request of two calls, the transcription and the notes on its transcript, each settled by itself.
+
+    ``(id, user_id, status, n_calls, audio_micros, notes_micros, cost_micros)``, one row per recording. The notes are made from
+    the transcript (``response_chars`` signs, a quarter as many tokens in, a sixteenth out, at the default model's price); none are made where the
+    transcription failed (its error's status, nothing charged) or nothing was heard (422, the transcription is charged). Inadmissible recordings
+    have no call.
+    """
+    default = prices.where(F.col("model") == D.DEFAULT_MODEL).select("price_in", "price_out")
+    u = usage.where(F.col("kind") == "audio").crossJoin(F.broadcast(default))  # one row
+    size = F.col("response_chars")
+    admitted = F.when(F.col("audio_bytes") == 0, 400).when(F.col("audio_bytes") > 25 * 1024 * 1024, 413).otherwise(200)
+    heard = (F.col("admitted") == 200) & F.col("provider_error").isNull()
+    minutes = F.coalesce(F.col("audio_seconds"), F.lit(D.DEFAULT_AUDIO_SECONDS)) / F.lit(60)
+    worst = audio_cost_expr(F.greatest(_d(1.0), F.col("audio_bytes") / F.lit(D.MIN_AUDIO_BYTES_PER_MINUTE)))
+    notes = F.least(text_cost_expr(ceil_div4(size), F.ceil(size / F.lit(16)).cast("long"), F.col("price_in"), F.col("price_out")),
+                    text_cost_expr(size, _d(D.DEFAULT_MAX_TOKENS), F.col("price_in"), F.col("price_out")))
+    zero = F.lit(0).cast("long")
+    u = u.select("id", "user_id", "provider_error", "kind", size.alias("size"), admitted.alias("admitted"),
+                 F.least(audio_cost_expr(minutes), worst).alias("audio"), notes.alias("notes"))
+    return u.select("id", "user_id", F.when(F.col("admitted") != 200, F.col("admitted")).when(
+                        F.col("provider_error").isNotNull(), 502).when(F.col("size") == 0, 422).otherwise(200).cast("int").alias("status"),
+                    F.when(F.col("admitted") != 200, 0).when(heard & (F.col("size") > 0), 2).otherwise(1).alias("n_calls"),
+                    F.when(heard, F.col("audio")).otherwise(zero).alias("audio_micros"),
+                    F.when(heard & (F.col("size") > 0), F.col("notes")).otherwise(zero).alias("notes_micros")) \
+        .withColumn("cost_micros", F.col("audio_micros") + F.col("notes_micros"))
+
+
 def retail_prices(prices: DataFrame) -> DataFrame:
     """Price list as sold (provider price x markup), plus the 2-decimal display text."""
     m = _d(D.MARKUP)

@@ -290,5 +290,6 @@ def classification_result(names: Column, choice: Column, input_chars: Column) ->
     ok = F.array_contains(names, choice)
     status = F.when(F.size(names) < 2, 400).when(ok, 200).otherwise(502)
     tokens = F.ceil(input_chars / F.lit(4)).cast("long") + D.CLASSIFIER_ESTIMATE_EXTRA
-    cost = F.when(status == 200, pr.classifier_cost_expr(tokens)).when(status == 502, F.lit(0).cast("long"))
+    reserved = pr.classifier_cost_expr(input_chars + D.CLASSIFIER_OVERHEAD_TOKENS)
+    cost = F.when(status == 200, F.least(pr.classifier_cost_expr(tokens), reserved)).when(status == 502, F.lit(0).cast("long"))
     return status, cost

@@ -104,3 +104,21 @@ def q_settlement(spark, sf_dir):
     PRICES, PRICED, TOKENS, COST, RESERVE, SETTLE))
 def q_usage_by_user(spark, sf_dir):
     return pr.usage_by_user(pr.settlement(*_m(spark, sf_dir)))
+
+
+RECORDINGS_SQL = with_base(f"""SELECT id, user_id, CAST(status AS INTEGER) AS status, CASE WHEN admitted <> 200 THEN 0 WHEN status = 200 THEN 2 ELSE 1 END AS n_calls,
+  audio_micros, notes_micros, audio_micros + notes_micros AS cost_micros
+FROM (SELECT *, CASE WHEN status IN (200, 422) THEN least(said, worst) ELSE 0 END AS audio_micros, CASE WHEN status = 200 THEN least(notes, most) ELSE 0 END AS notes_micros
+  FROM (SELECT *, CASE WHEN admitted <> 200 THEN admitted WHEN provider_error IS NOT NULL THEN 502 WHEN response_chars = 0 THEN 422 ELSE 200 END AS status
+    FROM (SELECT u.*, CASE WHEN audio_bytes = 0 THEN 400 WHEN audio_bytes > {25 * 1024 * 1024} THEN 413 ELSE 200 END AS admitted,
+        CAST(ceil(COALESCE(audio_seconds, 60) / 60 * {_dbl(D.AUDIO_PER_MINUTE)} * {M} * {_dbl(D.MICROS)}) AS BIGINT) AS said,
+        CAST(ceil(greatest({_dbl(1)}, audio_bytes / {D.MIN_AUDIO_BYTES_PER_MINUTE}) * {_dbl(D.AUDIO_PER_MINUTE)} * {M} * {_dbl(D.MICROS)}) AS BIGINT) AS worst,
+        CAST(ceil((ceil(response_chars / 4) * p.price_in + ceil(response_chars / 16) * p.price_out) * {M}) AS BIGINT) AS notes,
+        CAST(ceil((response_chars * p.price_in + {_dbl(D.DEFAULT_MAX_TOKENS)} * p.price_out) * {M}) AS BIGINT) AS most
+      FROM usage_requests u CROSS JOIN (SELECT * FROM prices WHERE model = '{D.DEFAULT_MODEL}') p WHERE u.kind = 'audio')))""", PRICES)
+
+
+@register("recording_costs", RECORDINGS_SQL)
+def q_recording_costs(spark, sf_dir):
+    """P10: recordings with notes, two calls a request."""
+    return pr.recording_costs(*_m(spark, sf_dir))
