@@ -86,7 +86,8 @@ def typical_cost(catalog: DataFrame, prices: DataFrame) -> DataFrame:
     text = pr.text_cost_expr(tin, tout, F.col("price_in"), F.col("price_out"))
     audio = F.when(F.coalesce(F.col("audio"), F.lit(False)),
                    pr.audio_cost_expr(F.col("typicalMinutes"))).otherwise(F.lit(0))
-    micros = (F.when(F.coalesce(F.col("picksChoice"), F.lit(False)), pr.classifier_cost_expr(F.lit(500)))
+    micros = (F.when(F.coalesce(F.col("makesImage"), F.lit(False)), pr.image_cost_expr(tin, tout))
+              .when(F.coalesce(F.col("picksChoice"), F.lit(False)), pr.classifier_cost_expr(F.lit(500)))
               .otherwise(text + audio))
     return j.select("slug", (micros / F.lit(float(D.MICROS))).alias("typicalCost"))
 

@@ -120,6 +120,46 @@ def prompt_table(requests: DataFrame, catalog: DataFrame) -> DataFrame:
                     F.when(status == 200, content).alias("content"))
 
 
+def request_admission(requests: DataFrame, catalog: DataFrame) -> DataFrame:
+    """F21 + L1: ``(request_id, slug, route, status)``: which handler a run goes to and the first rule that it breaks.
+
+    ``requests``: request_id, slug, input, instructions, has_image, recipe_version, audio_bytes. Routes: ``audio`` (the recording itself),
+    ``image`` (makes one), ``choice``, ``text``; null for an unknown slug (404). 426: an automation with a recipe version got another
+    one. 400: nothing to work on, fewer than two choices, missing picture or instructions. 413: recording over 25 MiB, picture description over
+    2,048 signs, instructions over 8,000, text and instructions (choices: as JSON) over 200,000.
+    """
+    cat = catalog.select("slug", "audio", "makesImage", "picksChoice", "recipeVersion", "image", "acceptsImage", "defaultInstructions",
+                         "needsInstructions", F.lit(True).alias("known"))
+    r = requests.join(F.broadcast(cat), "slug", "left")
+
+    def flag(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(False))
+
+    given = F.coalesce(F.col("instructions"), F.lit(""))
+    route = (F.when(F.col("known").isNull(), F.lit(None).cast("string")).when(flag("audio"), "audio").when(flag("makesImage"), "image")
+             .when(flag("picksChoice"), "choice").otherwise("text"))
+    r = r.select("request_id", "slug", route.alias("route"), js_trim(F.coalesce(F.col("input"), F.lit(""))).alias("inp"), given.alias("given"),
+                 js_trim(given).alias("instr"), "audio_bytes", "has_image", flag("image").alias("image"), flag("acceptsImage").alias("accepts"),
+                 "defaultInstructions", "needsInstructions",
+                 (F.col("recipeVersion").isNotNull() & ~F.col("recipeVersion").eqNullSafe(F.col("recipe_version"))).alias("outdated"))
+    choices = F.when(F.col("route") == "choice", parse_choices(F.col("given")))
+    r = r.withColumn("names", F.coalesce(F.size(choices), F.lit(0))).withColumn("criteria", js_length(F.to_json(F.map_from_entries(choices))))
+    sized = F.coalesce(F.col("audio_bytes"), F.lit(0).cast("long"))
+    audio = F.when(sized == 0, 400).when(sized > 25 * 1024 * 1024, 413).otherwise(200)
+    words = js_trim(F.concat_ws(". ", F.nullif(F.col("inp"), F.lit("")), F.nullif(F.col("instr"), F.lit(""))))
+    picture = F.when(words == "", 400).when(js_length(words) > 2048, 413).otherwise(200)
+    choice = (F.when((F.col("inp") == "") | (F.col("names") < 2), 400)
+              .when(js_length(F.col("inp")) + F.col("criteria") > D.MAX_BODY_CHARS, 413).otherwise(200))
+    seen = (F.col("image") | F.col("accepts")) & F.col("has_image")
+    instr = F.coalesce(F.nullif(F.col("instr"), F.lit("")), F.col("defaultInstructions"), F.lit(""))
+    text = (F.when((F.col("image") & ~seen) | ((F.col("inp") == "") & ~seen), 400).when(js_length(instr) > D.MAX_INSTRUCTIONS, 413)
+            .when(F.col("needsInstructions").isNotNull() & (instr == ""), 400)
+            .when(js_length(F.col("inp")) + js_length(instr) > D.MAX_BODY_CHARS, 413).otherwise(200))
+    status = (F.when(F.col("route").isNull(), 404).when(F.col("route") == "audio", audio).when(F.col("outdated"), 426)
+              .when(F.col("route") == "image", picture).when(F.col("route") == "choice", choice).otherwise(text))
+    return r.select("request_id", "slug", "route", status.alias("status"))
+
+
 # ---- X20-X22 / L3 structured answers --------------------------------------------------
 
 def json_object_text(text: Column) -> Column:

@@ -135,27 +135,36 @@ def q_erasure_transactions(spark, sf_dir):
     return pv.erase(t.tables(), t.erased)["store_transactions"].select("id", "user_id", "environment")
 
 
-# Rows of erased accounts written after the erasure (late writes): events and ledger rows whose id is divisible by 7.
-_orph = []
-for name, tbl in [("events", "analytics_events"), ("api_keys", "api_keys"), ("sessions", "sessions"),
-                  ("identities", "identities"), ("ledger", "ledger"), ("store_transactions", "app_store_transactions")]:
-    late = " OR id % 7 = 0" if name in ("events", "ledger") else ""
-    cond = "" if name == "store_transactions" else f" AND (user_id NOT IN (SELECT user_id FROM erased){late})"
-    null_tx = (" CASE WHEN user_id IN (SELECT user_id FROM erased) THEN NULL ELSE user_id END"
-               if name == "store_transactions" else " user_id")
-    _orph.append(f"""SELECT '{name}' AS "table", CAST(COUNT(*) AS BIGINT) AS orphans FROM (SELECT{null_tx} AS user_id FROM {tbl}
+def _orphans_sql(late: dict[str, str]) -> str:
+    parts = []
+    for name, tbl in [("events", "analytics_events"), ("api_keys", "api_keys"), ("sessions", "sessions"),
+                      ("identities", "identities"), ("ledger", "ledger"), ("store_transactions", "app_store_transactions")]:
+        cond = "" if name == "store_transactions" else f" AND (user_id NOT IN (SELECT user_id FROM erased){late.get(name, '')})"
+        null_tx = (" CASE WHEN user_id IN (SELECT user_id FROM erased) THEN NULL ELSE user_id END"
+                   if name == "store_transactions" else " user_id")
+        parts.append(f"""SELECT '{name}' AS "table", CAST(COUNT(*) AS BIGINT) AS orphans FROM (SELECT{null_tx} AS user_id FROM {tbl}
   WHERE true{cond}) x WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT id FROM users WHERE id NOT IN (SELECT user_id FROM erased))""")
+    return _acc("\nUNION ALL ".join(parts))
 
 
-@register("orphans", _acc("\nUNION ALL ".join(_orph)))
+def _children(t: _T) -> tuple[dict, dict]:
+    after = pv.erase(t.tables(), t.erased)
+    return after, {k: after[k] for k in ("events", "api_keys", "sessions", "identities", "ledger", "store_transactions")}
+
+
+@register("orphans", _orphans_sql({}))
 def q_orphans(spark, sf_dir):
+    after, children = _children(_T(spark, sf_dir))
+    return pv.orphans(children, after["users"])
+
+
+# Late writes: events and ledger rows of erased accounts whose id is divisible by 7 come after the erasure.
+@register("late_orphans", _orphans_sql({"events": " OR id % 7 = 0", "ledger": " OR id % 7 = 0"}))
+def q_late_orphans(spark, sf_dir):
     t = _T(spark, sf_dir)
-    before = t.tables()
-    after = pv.erase(before, t.erased)
-    children = {k: after[k] for k in ("events", "api_keys", "sessions", "identities", "ledger",
-                                      "store_transactions")}
-    for k in ("events", "ledger"):
-        children[k] = children[k].unionByName(before[k].where("id % 7 = 0").join(t.erased, "user_id", "left_semi").select(*children[k].columns))
+    after, children = _children(t)
+    for k, rows in (("events", t.m.events), ("ledger", t.m.ledger)):
+        children[k] = children[k].unionByName(rows.where("id % 7 = 0").join(t.erased, "user_id", "left_semi").select(*children[k].columns))
     return pv.orphans(children, after["users"])
 
 
@@ -198,10 +207,21 @@ def q_id_allocation(spark, sf_dir):
     return _ident(t).where(F.col("action") == "created").select("claim_id", F.col("user_id").alias("id"))
 
 
+@register("id_reuse_violations", _acc("""SELECT id, 'reused' AS violation FROM nid WHERE new_id IN (SELECT id FROM users)
+UNION ALL SELECT id, 'removed' FROM (SELECT DISTINCT id FROM users) r
+  WHERE id NOT IN (SELECT id FROM users UNION SELECT new_id FROM nid)""".replace(
+    "SELECT id, 'reused' AS violation FROM nid", "SELECT new_id AS id, 'reused' AS violation FROM nid"), *IDENT_CTES))
+def q_id_reuse_violations(spark, sf_dir):
+    t = _T(spark, sf_dir)
+    new_ids = _ident(t).where(F.col("action") == "created").select(F.col("user_id").alias("id"))
+    after = pv.registry_seed(new_ids, pv.erase(t.tables(), t.erased)["registry"])
+    return pv.id_reuse_violations(new_ids, t.registry, after)
+
+
 # Planted faults: registered ids divisible by 50 are handed out again, those divisible by 60 vanish from the registry.
-@register("id_reuse_violations", _acc("""SELECT DISTINCT id, 'reused' AS violation FROM users WHERE id % 50 = 0 OR id IN (SELECT new_id FROM nid)
+@register("planted_id_violations", _acc("""SELECT DISTINCT id, 'reused' AS violation FROM users WHERE id % 50 = 0 OR id IN (SELECT new_id FROM nid)
 UNION ALL SELECT DISTINCT id, 'removed' FROM users WHERE id % 60 = 0""", *IDENT_CTES))
-def q_id_reuse_violations(spark, sf_dir):
+def q_planted_id_violations(spark, sf_dir):
     t = _T(spark, sf_dir)
     new_ids = _ident(t).where(F.col("action") == "created").select(F.col("user_id").alias("id"))
     again = t.registry.where("id % 50 = 0").select("id")

@@ -208,6 +208,59 @@ def q_prompt_table(spark, sf_dir):
     return tp.prompt_table(req, cat)
 
 
+# --- F21 / L1 admission of runs ---------------------------------------------------------
+def _admission_values() -> str:
+    rows = []
+    for i, a in enumerate(catalog_dict()["automations"]):
+        route = "audio" if a.get("audio") else "image" if a.get("makesImage") else "choice" if a.get("picksChoice") else "text"
+        extra = [str(a.get(k, False)).lower() for k in ("image", "acceptsImage")]
+        default = "'" + a.get("defaultInstructions", "").replace("'", "''") + "'"
+        rows.append(f"({i}, '{a['slug']}', '{route}', {a.get('recipeVersion', 'NULL')}, {', '.join(extra)}, {str('needsInstructions' in a).lower()}, {default})")
+    return "cat(pos, slug, route, version, image, accepts, needs, dflt) AS (VALUES " + ", ".join(rows) + ")"
+
+
+# Runs of all user turns: one in eleven names an unknown slug, one in nine is 3,000 times as long, one in thirteen is blank.
+_RUN_SQL = f"""runs AS (SELECT x.conv_id * 1000 + x.turn AS request_id, CASE WHEN x.conv_id % 11 = 0 THEN 'gone' ELSE c.slug END AS slug,
+  CASE WHEN x.turn % 13 = 0 THEN ' ' WHEN x.conv_id % 9 = 0 THEN repeat(x.text, 3000) ELSE x.text END AS input,
+  CASE x.conv_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'yes: it is; no' WHEN 2 THEN x.text ELSE 'one' END AS instructions, x.conv_id % 3 <> 0 AS has_image,
+  CASE WHEN x.conv_id % 2 = 0 THEN 2 WHEN x.conv_id % 5 = 0 THEN NULL ELSE 1 END AS recipe_version, (x.conv_id % 7) * 6000000 AS audio_bytes
+  FROM conversations x JOIN cat c ON c.pos = (x.conv_id + x.turn) % {N_CATALOG} WHERE x.role = 'user')"""
+
+
+def _trimmed(x: str) -> str:
+    return f"regexp_replace({x}, '{TRIM_WS}', '', 'g')"
+
+
+_CHOICE_NAMES = f"""list_distinct(list_transform(list_filter(list_transform(regexp_split_to_array(r.instructions, if(regexp_matches(r.instructions, '[\\n;]'), '[\\n;]+', ',+')),
+    lambda p: {_trimmed('p')}), lambda p: p <> ''), lambda p: if(strpos(p, ':') > 1, {_trimmed("substr(p, 1, strpos(p, ':') - 1)")}, p)))"""
+ADMISSION_SQL = f"""WITH {_admission_values()}, {_RUN_SQL}
+SELECT request_id, slug, route, CASE WHEN route IS NULL THEN 404 WHEN route = 'audio' THEN CASE WHEN audio_bytes = 0 THEN 400 WHEN audio_bytes > 26214400 THEN 413 ELSE 200 END
+  WHEN version IS NOT NULL AND version IS DISTINCT FROM recipe_version THEN 426
+  WHEN route = 'image' THEN CASE WHEN words = '' THEN 400 WHEN {_jslen('words')} > 2048 THEN 413 ELSE 200 END
+  WHEN route = 'choice' THEN CASE WHEN inp = '' OR names < 2 THEN 400 WHEN {_jslen('inp')} > 200000 THEN 413 ELSE 200 END
+  ELSE CASE WHEN image AND NOT seen OR inp = '' AND NOT seen THEN 400 WHEN {_jslen('wish')} > 8000 THEN 413 WHEN needs AND wish = '' THEN 400
+    WHEN {_jslen('inp')} + {_jslen('wish')} > 200000 THEN 413 ELSE 200 END END AS status
+FROM (SELECT *, {_trimmed("concat_ws('. ', nullif(inp, ''), nullif(instr, ''))")} AS words, (image OR accepts) AND has_image AS seen,
+    coalesce(nullif(instr, ''), dflt) AS wish
+  FROM (SELECT r.*, c.route, c.version, c.image, c.accepts, c.needs, c.dflt, {_trimmed('r.input')} AS inp, {_trimmed('r.instructions')} AS instr,
+    len({_CHOICE_NAMES}) AS names FROM runs r LEFT JOIN cat c ON c.slug = r.slug))"""
+
+
+@register("request_admission", ADMISSION_SQL)
+def q_request_admission(spark, sf_dir):
+    """route and status of every run; all routes, 404, 400, 413 and 426 occur."""
+    cat = read_catalog(spark)
+    conv, turn = F.col("conv_id"), F.col("turn")
+    x = _m(spark, sf_dir).table("conversations").where(F.col("role") == "user")
+    runs = x.join(F.broadcast(cat.select("pos", F.col("slug").alias("listed"))), ((conv + turn) % N_CATALOG) == F.col("pos")).select(
+        (conv * 1000 + turn).alias("request_id"), F.when(conv % 11 == 0, "gone").otherwise(F.col("listed")).alias("slug"),
+        F.when(turn % 13 == 0, " ").when(conv % 9 == 0, F.repeat("text", 3000)).otherwise(F.col("text")).alias("input"),
+        F.when(conv % 4 == 0, "").when(conv % 4 == 1, "yes: it is; no").when(conv % 4 == 2, F.col("text")).otherwise("one").alias("instructions"),
+        (conv % 3 != 0).alias("has_image"), F.when(conv % 2 == 0, 2).when(conv % 5 == 0, F.lit(None)).otherwise(1).cast("long").alias("recipe_version"),
+        ((conv % 7) * 6_000_000).alias("audio_bytes"))
+    return tp.request_admission(runs, cat)
+
+
 # --- X20-X22 structured answers derived from view events --------------------------------
 ANSWER_SQL_TEXT = """CASE WHEN k % 23 = 0 THEN 'Sorry, no JSON today.' ELSE concat('Here is the result: {"meal": "',
     CASE WHEN k % 11 = 0 THEN '  ' WHEN k % 13 = 0 THEN repeat('x', 130) ELSE concat('Meal ', CAST(k AS VARCHAR)) END,

@@ -30,7 +30,7 @@ AUTOMATION = T.StructType([
     T.StructField("acceptsImage", B), T.StructField("imageModel", S),
     T.StructField("defaultInstructions", S), T.StructField("needsInstructions", S),
     T.StructField("format", S), T.StructField("picksChoice", B), T.StructField("audio", B),
-    T.StructField("typicalMinutes", T.DoubleType()),
+    T.StructField("typicalMinutes", T.DoubleType()), T.StructField("recipeVersion", L), T.StructField("makesImage", B),
 ])
 CATALOG_SCHEMA = T.StructType([T.StructField("categories", T.ArrayType(S)),
                                T.StructField("automations", T.ArrayType(AUTOMATION))])
