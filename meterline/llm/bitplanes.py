@@ -155,7 +155,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, files: int | None = None,
 
     Returns the written manifest ``(bucket, path, n_docs, n_ids)``, one row per file. Ids are cut into ranges by a
     quantile sketch; rows that share an id which spans several ranges are spread over those (any order
-    among equal ids is ascending). Null ids come first; null texts are empty texts and hold only the end id.
+    among equal ids is ascending). Null ids come first, all in the first range; null texts are empty texts and hold only the end id.
+    Repeated rows are written each. Very long texts are encoded whole and stored in blocks. Other columns are not read, whatever their names.
     Empty input writes no file.
     """
     spark = docs.sparkSession

@@ -257,7 +257,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, thres
     A text with fewer words than an item is compared with it as a whole. Items of fewer words than a shingle are one shingle; items and texts without words (null, empty, signs
     only) match nothing. Overlapping windows of an item give one row, the most similar (the first of equals). Repeated
     rows give their rows each, repeated items count once; null ids are kept; an empty table on either side
-    gives no rows.
+    gives no rows. Very long texts are searched whole; columns other than ``carry`` are not read, whatever their names.
     """
     items = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"),
                              F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL").distinct()

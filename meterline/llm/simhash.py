@@ -115,7 +115,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
     ``component_id`` is the least doc_id whose fingerprint is reachable over links of at most
     ``radius`` bits. Null and blank texts have fingerprint zero and link like any other;
     repeated rows each get their row; rows with a null id belong to their component but
-    never name it (all ids null: null). Empty input gives an empty result.
+    never name it (all ids null: null). Very long texts are fingerprinted whole, some thousand shingles at a time. A bit with
+    as many ones as zeros is 0. Other columns are not read, whatever their names. Empty input gives an empty result.
     """
     marked = save(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     least = save(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
