@@ -123,9 +123,9 @@ def ablation(ledger_rows: DataFrame, policy: str) -> DataFrame:
     return one.select(F.inline("r"))
 
 
-def oracle_sql(policy: str = "v1") -> str:
+def _measures_sql() -> str:
     word = r"[^\x20\x09-\x0D]+"
-    rules = " OR ".join(f"({c})" for name, c in RULES if BIT[name] & POLICIES[policy])
+    bits = " + ".join(f"CASE WHEN {c} THEN {BIT[name]} ELSE 0 END" for name, c in RULES)
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents),
 tri AS (SELECT doc_id, p, w[p] AS a, w[p + 1] AS b, w[p + 2] AS c
@@ -136,12 +136,24 @@ ln AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup
        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{word}') GROUP BY doc_id),
 top AS (SELECT doc_id, max(n) AS n_top_word FROM (SELECT doc_id, x, count(*) AS n FROM
         (SELECT doc_id, unnest(w) AS x FROM d) GROUP BY ALL) GROUP BY doc_id),
-m AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum([length(x) for x in w]), 0)::BIGINT AS word_chars,
+m0 AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum([length(x) for x in w]), 0)::BIGINT AS word_chars,
         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
         coalesce(n_lines, 0) AS n_lines, length(regexp_replace(text, '[^!]', '', 'g')) AS n_bangs,
         len([x for x in w if regexp_matches(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]')]) AS n_letter_words,
         coalesce(n_top_word, 0) AS n_top_word
-      FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN ln USING (doc_id) LEFT JOIN top USING (doc_id))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT ({rules}) AS kept FROM m"""
+      FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN ln USING (doc_id) LEFT JOIN top USING (doc_id)),
+m AS (SELECT *, CAST({bits} AS BIGINT) AS failed FROM m0)
+"""
+
+
+def oracle_sql(policy: str = "v1") -> str:
+    return _measures_sql() + f"""SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, failed & {POLICIES[policy]} = 0 AS kept, failed FROM m"""
+
+
+def ablation_sql(policy: str = "v1") -> str:
+    mask = POLICIES[policy]
+    return _measures_sql() + "\nUNION ALL ".join(f"""SELECT '{name}' AS rule, count(*) FILTER (failed & {bit} <> 0) AS n_failed,
+  count(*) FILTER (failed & {mask} = {bit}) AS n_rejected_alone, count(*) FILTER (failed & {mask & ~bit} = 0) AS n_kept_without FROM m"""
+                                                for name, bit in BIT.items() if bit & mask)

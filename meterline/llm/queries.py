@@ -38,12 +38,21 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements and verdicts of every whole text under the policies base and v1; null texts have no word."""
     rows = quality.ledger(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                       (~quality.verdict("base")).alias("base_failed"), quality.verdict("v1").alias("kept"))
+                       (~quality.verdict("base")).alias("base_failed"), quality.verdict("v1").alias("kept"), "failed")
 
 
 ORACLE["op3_quality_rules"] = quality.oracle_sql("v1")
 
 
+@_register
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy v1 rejects, alone and besides others, and what would be kept without it, from the ledger of all documents."""
+    return quality.ablation(quality.ledger(table(spark, sf_dir, "documents")), "v1")
+
+
+ORACLE["quality_ablation"] = quality.ablation_sql("v1")
+
+
 @_register
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of all secrets of every whole text; one row per document, null and empty texts have none."""
