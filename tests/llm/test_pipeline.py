@@ -55,19 +55,20 @@ def test_stages_take_nulls_repeats_and_empty_tables(spark):
 
 def test_every_operator_is_registered_and_sql_is_given_where_it_can_be():
     names = entry.queries()
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES if n != "quality_ablation"} == {f"op{i}" for i in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(names)
-    assert {"op1_license_scan", "op3_quality_rules"} <= set(entry.oracle_sql())
+    assert {"op1_license_scan", "op3_quality_rules", "quality_ablation", "op13_hard_negatives"} <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", ["op1_license_scan", "op3_quality_rules"])
+@pytest.mark.parametrize("name", ["op1_license_scan", "op3_quality_rules", "quality_ablation", "op13_hard_negatives"])
 def test_sql_agrees(spark, name):
     import duckdb
 
     from meterline.llm.queries import ORACLE
     from tools.compare_oracle import rows_of
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = QUERIES[name](spark, SF)
     cur = con.execute(ORACLE[name])
     cols = [c[0] for c in cur.description]
