@@ -67,3 +67,13 @@ def test_expired_sessions_are_purged_once(spark, tmp_path):
              [("e", 5, 20_000, 90_000)]]
     got = accounts.expired_sessions(spark, streams(spark, str(tmp_path), parts, schema)).collect()
     assert sorted(map(tuple, got)) == [("a", 1, 5000), ("c", 3, 8000)]  # d expires at the latest event time, not before it
+
+
+def test_sessions_of_a_share_end_one_by_one(spark, tmp_path):
+    schema = "token_hash string, user_id long, created_at long, expires_at long"
+    many = [(f"s{i}", i, 1000, 5000 + i) for i in range(300)]
+    parts = [many + [("null user", None, 1000, 6000), ("no end", 7, 1000, None), ("same end", 8, 1000, 5001), ("same end", 9, 1000, 5001)],
+             [("s5", 77, 2000, 5005), ("s6", 78, 2000, 9000), ("t", 1, 5100, 50_000)], [("u", 1, 5200, 5201), ("v", 1, 5250, 60_000)]]
+    got = accounts.expired_sessions(spark, streams(spark, str(tmp_path), parts, schema), shards=3).collect()
+    want = [(f"s{i}", i, 5000 + i) for i in range(250) if i != 6] + [("same end", 9, 5001), ("u", 1, 5201)]
+    assert sorted(map(tuple, got)) == sorted(want)  # s249 ends one ms before the latest event time, s250 at it
