@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterline.llm.common import column, doc_columns, map_texts, save, text_bytes, text_key, without
+from meterline.llm.common import column, doc_columns, map_texts, merged, save, text_bytes, text_key, without
 from meterline.llm.components import components
 
 # Different fingerprints of one block pair that are still compared with each other directly.
@@ -92,10 +92,10 @@ def close_pairs(fps: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFr
         F.struct(F.lit(i).alias("p"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k"))
         for i, m in enumerate(block_masks(radius, 2))])).alias("s")).select("s.p", "s.k", "fp")
     sizes = dealt.groupBy("p", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = save(dealt.join(sizes, ["p", "k"]), "met")
+    met = save(dealt.join(merged(sizes), ["p", "k"]), "met")
     few = met.where(F.col("n") <= bucket)
     pairs = (few.select("p", "k", F.col("fp").alias("a"))
-             .join(few.select("p", "k", F.col("fp").alias("b")), ["p", "k"]).where("a < b").select("a", "b"))
+             .join(merged(few.select("p", "k", F.col("fp").alias("b"))), ["p", "k"]).where("a < b").select("a", "b"))
     reach = (radius + 1) // 2
     many = met.where(F.col("n") > bucket).select("fp").distinct()
     mids = (many.select("fp", F.explode(F.lit(_ball(reach))).alias("flip"))
@@ -121,11 +121,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
     marked = save(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     least = save(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = components(close_pairs(least.select("fp"), radius))
-    named = least.join(roots, least["fp"] == roots["node"], "left").select(
+    named = least.join(merged(roots), least["fp"] == roots["node"], "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = named.join(ids, "root").select("fp", "root", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "h", "fp", "root", "component_id")
+    by_fp = named.join(merged(ids), "root").select("fp", "root", "component_id")
+    return marked.join(merged(by_fp), "fp").select("doc_id", "h", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id",
@@ -138,7 +138,7 @@ def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str
     found = save(near_duplicates(docs, shingle, radius, id_col, text_col), "near-duplicates")
     names = F.col("doc_id").eqNullSafe(F.col("component_id"))
     stays = found.where(names).groupBy("root").agg(F.min("h").alias("stays"))
-    gone = found.join(stays, "root").where(~(names & (F.col("h") == F.col("stays")))).select("doc_id", "h")
+    gone = found.join(merged(stays), "root").where(~(names & (F.col("h") == F.col("stays")))).select("doc_id", "h")
     kept = without(docs, save(gone, "near-gone"), id_col, text_col)
     if found.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
         kept = kept.dropDuplicates([id_col, text_col])

@@ -105,3 +105,18 @@ def test_one_of_each_keeps_one_row_and_its_columns(make_docs):
     assert len(got) == len({r.root for r in found})
     assert {r.doc_id for r in got} == {r.component_id for r in found}
     assert simhash.one_of_each(make_docs([])).count() == 0
+
+
+def test_no_side_of_a_join_goes_by_way_of_the_driver(make_docs, monkeypatch):
+    plans, whole = [], simhash.save
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return whole(df, name)
+    monkeypatch.setattr(simhash, "save", kept)
+    monkeypatch.setitem(components.__globals__, "save", kept)
+    rows = EDGE + [(20 + i, "a long passage of words that is the same " * 3 + str(i % 3)) for i in range(30)]
+    found = simhash.near_duplicates(make_docs(rows))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert found.count() == len(rows)
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
